@@ -1,0 +1,78 @@
+import hashlib
+import re
+from collections import Counter
+
+from lorespark.llm.quality_rules import quality_rules
+from lorespark.llm.secrets import find_secrets, op7_secrets, redact
+
+
+def base(text):
+    kinds = ["assign", "access", "hex"]
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(kinds[k], s, e) for s, k, e in sorted(found)]
+
+
+def spans(r):
+    return [(s["kind"], s["start"], s["end"]) for s in r.spans]
+
+
+def test_base_spans(spark, odd_docs, sf):
+    for docs in (odd_docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        want = Counter((r.doc_id, str(base(r.text or ""))) for r in docs.collect())
+        got = Counter((r.doc_id, str([s for s in spans(r) if s[0] != "novel"])) for r in find_secrets(docs).collect())
+        assert got == want
+
+
+def test_digest_columns(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op7_secrets(spark, sf).collect():
+        own = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in own).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, *_ in own) for x in ("assign", "access", "hex"))
+
+
+def test_novel_spans(spark, no_docs, clashing, odd_docs):
+    key, path = "Zk3vQ9xT7mB2nL8wR4yU6pC1", "config_settings_environment_variable_1"
+    prose = "the usual prose goes on and on, and then some more of it. " * 4
+    docs = spark.createDataFrame([(1, f"{prose}Authorization: Bearer {key} {prose}"), (2, f"{prose}the token is in {path} {prose}"), (3, f"{prose}{key}{prose}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_secrets(docs, redacted=True).collect()}
+    assert [s[0] for s in spans(got[1])] == ["novel"] and key not in got[1].redacted and "[SECRET]" in got[1].redacted
+    assert spans(got[2]) == [] and spans(got[3]) == []
+    assert find_secrets(no_docs).collect() == []
+    assert find_secrets(clashing).count() == odd_docs.count()
+
+
+def test_redact_merges_overlaps():
+    cut = lambda *p: [{"start": s, "end": e} for s, e in p]
+    assert redact("0123456789", cut((1, 3), (2, 5), (7, 8)), "_") == "0_56_89"
+    assert redact("abc", []) == "abc"
+
+
+def counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    runs = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    again = {j for i in range(len(w) - 7) if runs[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_counts(spark, odd_docs, sf, no_docs, clashing):
+    for docs in (odd_docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        want = Counter((r.doc_id, *counts(r.text or "")) for r in docs.collect())
+        got = quality_rules(docs).collect()
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+        assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
+        assert not any(r.kept and r.base_failed for r in got)
+    assert quality_rules(no_docs).collect() == []
+    assert quality_rules(clashing).count() == odd_docs.count()
+
+
+def test_quality_rules_follow_the_labels(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [r for r in quality_rules(spark.read.parquet(f"{d}/documents.parquet")).collect() if r.doc_id in labels and not r.base_failed]
+    good = [r.kept for r in got if labels[r.doc_id]]
+    bad = [r.kept for r in got if not labels[r.doc_id]]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
