@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .jaccard import op1_jaccard_join
 from .quality_rules import op9_quality_rules
 from .repeats import op3_repeats
 from .secrets import op7_secrets
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_repeats": op3_repeats,
     "op7_secrets": op7_secrets,
