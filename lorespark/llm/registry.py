@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .classifier import op4_quality_classifier
 from .jaccard import op1_jaccard_join
 from .quality_rules import op9_quality_rules
 from .repeats import op3_repeats
 from .secrets import op7_secrets
+from .sharding import OP5_SQL, op5_sharding
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_repeats": op3_repeats,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_sharding": op5_sharding,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}
