@@ -85,6 +85,26 @@ def _unframe(blob: bytes) -> list[bytes]:
     return parts
 
 
+def _code(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each word occurs, and the positions: 0 for a word's first
+    occurrence (words are numbered in that order), else 1 plus its rank by use."""
+    uses = np.bincount(flat, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(n)
+    first = np.ones(len(flat), bool)
+    first[1:] = np.diff(np.maximum.accumulate(flat)) > 0 if len(flat) else True
+    return uses, np.where(first, 0, rank[flat] + 1)
+
+
+def _decode(uses: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    order = np.argsort(-uses.astype(np.int64), kind="stable")
+    flat = np.empty(len(codes), np.int64)
+    first = codes == 0
+    flat[first] = np.arange(len(uses))
+    flat[~first] = order[codes[~first].astype(np.int64) - 1]
+    return flat
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     names = ["batch", "bucket", "info", "payload"]
@@ -105,18 +125,18 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", id_type)])) as out:
             out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], ["doc_id"]))
-        flat = np.concatenate(positions) if positions else np.zeros(0, np.uint32)
-        info = _frame([sink.getvalue().to_pybytes(), _planes(counts)])
-        rows = [(number, -1 - number % buckets, info, _planes(flat))]
+        flat = np.concatenate(positions).astype(np.int64) if positions else np.zeros(0, np.int64)
         raw = [w.encode() for w in words]
         home = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
+        uses, codes = _code(flat, len(raw))
+        info = _frame([sink.getvalue().to_pybytes(), _planes(counts), _planes(uses), _planes(home)])
+        rows = [(number, -1 - number % buckets, info, _planes(codes))]
         order = np.argsort(home, kind="stable")
         cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[a:b]
             payload = zstandard.compress(b"".join(raw[i] for i in own), 3)
-            info = _frame([_planes(own.astype(np.uint32)), _planes(np.array([len(raw[i]) for i in own], np.uint32))])
-            rows.append((number, int(home[own[0]]), info, payload))
+            rows.append((number, int(home[own[0]]), _planes(np.array([len(raw[i]) for i in own])), payload))
         return rows
 
     for batch in batches:
@@ -142,9 +162,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
             if bucket < 0:
                 yield _rows([(number, bucket, info, payload)])
                 continue
-            own, lengths = _unframe(info)
             raw, at, ids = zstandard.decompress(payload), 0, []
-            for n in _unplanes(lengths).tolist():
+            for n in _unplanes(info).tolist():
                 word = raw[at : at + n]
                 at += n
                 got = known.get(word)
@@ -153,20 +172,23 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                 ids.append(got)
             sizes = np.array([len(x) for x in ids], np.uint32)
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            yield _rows([(number, bucket, _frame([own, _planes(sizes)]), _planes(flat))])
+            yield _rows([(number, bucket, _planes(sizes), _planes(flat))])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: bool) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], path: str, pattern: str, buckets: int, keep: bool) -> Iterator[pa.RecordBatch]:
     _, table_bytes, table_offsets = encoder(path, pattern)
     table_lengths = np.diff(table_offsets)
 
     def batch_result(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        (info, payload), *rest = rows
-        head, counts = _unframe(info)
+        (_, info, payload), *rest = rows
+        head, counts, uses, home = _unframe(info)
         doc_ids = pa.ipc.open_stream(head).read_all().column(0).combine_chunks()
-        counts, flat = _unplanes(counts).astype(np.int64), _unplanes(payload)
-        parts = [(*map(_unplanes, _unframe(i)), _unplanes(p)) for i, p in rest]
-        n = sum(len(own) for own, _, _ in parts)
+        counts, flat = _unplanes(counts).astype(np.int64), _decode(_unplanes(uses), _unplanes(payload))
+        home = _unplanes(home)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+        parts = [(order[cuts[b] : cuts[b + 1]], _unplanes(i), _unplanes(p)) for b, i, p in rest]
+        n = len(home)
         starts, lengths, total = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
         for own, sizes, ids in parts:
             lengths[own] = sizes
@@ -195,12 +217,12 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep:
 
     last, rows = None, []
     for batch in batches:
-        for number, _bucket, info, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for number, bucket, info, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if number != last and rows:
                 yield from batch_result(rows)
                 rows = []
             last = number
-            rows.append((info, payload))
+            rows.append((bucket, info, payload))
     if rows:
         yield from batch_result(rows)
 
@@ -223,7 +245,7 @@ def bpe_round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | Non
     encoded = cut.repartition(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(lambda b: _encode(b, path, pattern), _SCHEMA)
     ordered = encoded.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket")
     schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
-    return ordered.mapInArrow(lambda b: _assemble(b, path, pattern, keep), schema)
+    return ordered.mapInArrow(lambda b: _assemble(b, path, pattern, buckets, keep), schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
