@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_byte_bpe
 from .classifier import op4_quality_classifier
+from .decontaminate import op10_decontamination
 from .jaccard import op1_jaccard_join
 from .quality_rules import op9_quality_rules
 from .repeats import op3_repeats
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}
