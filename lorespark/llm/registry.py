@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .classifier import op4_quality_classifier
 from .decontaminate import op10_decontamination
+from .html_text import op6_html_text
 from .jaccard import op1_jaccard_join
 from .quality_rules import op9_quality_rules
 from .repeats import op3_repeats
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
+    "op6_html_text": op6_html_text,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
