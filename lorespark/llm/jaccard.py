@@ -387,18 +387,40 @@ def class_links(sets: DataFrame) -> DataFrame:
     return materialize(links.distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+def labelled_sets(docs: DataFrame, ngram: int = NGRAM) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents (see ``shingle_sets``), and for each class of
+    equal sets its component's name and smallest id (``fp, component,
+    component_id``)."""
     sets = materialize(shingle_sets(docs, ngram), "sets")
     parts = components(class_links(sets))
     names = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = names.join(parts, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    return sets, named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+
+
+def jaccard_components(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    sets, label = labelled_sets(docs, ngram)
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp")
     linked = rows.filter("n_shingles > 0").join(label, "fp").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def jaccard_representatives(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
+    """One row of ``docs`` for each component: of its smallest id (null ids come
+    last), of such rows the one of the least MD5 of the text, and of wholly
+    repeated rows any one.  Rows without words are linked with nothing: all stay.
+    """
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
+    name = lambda k: F.concat_ws("|", F.coalesce(k["id"].cast("string"), F.lit("none")), k["md5"])
+    _, label = labelled_sets(docs.filter(~blank).select(key.alias("doc_id"), "text"), ngram)
+    keep = label.select(name(F.col("component_id")).alias("_keep")).distinct()
+    words = docs.filter(~blank).withColumn("_name", name(key))
+    chosen = words.join(keep, F.col("_name") == F.col("_keep"), "left_semi").dropDuplicates(["_name"]).drop("_name")
+    return chosen.unionByName(docs.filter(blank))
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

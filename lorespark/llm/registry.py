@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op8_byte_bpe
 from .classifier import op4_quality_classifier
 from .decontaminate import op10_decontamination
@@ -14,6 +16,7 @@ from .sharding import OP5_SQL, op5_sharding
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_repeats": op3_repeats,
