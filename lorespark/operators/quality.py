@@ -63,20 +63,19 @@ def supported_quotes(facts: DataFrame, sources: DataFrame, least: float = 0.6, n
 def quotes_anywhere(quotes: DataFrame, texts: DataFrame, n: int = 40) -> DataFrame:
     """(quote_id, doc_id) of the texts that hold a quote's first ``n`` characters.
 
-    An equi-join on the n-character prefix at candidate places: texts are looked
-    through for the quotes' first ``seed`` characters only where these are."""
+    Those contain whole words between blanks; the first two of these are the key
+    of an equi-join with the word pairs of the texts, and what meets is verified.
+    Quotes without two such words are compared with every text."""
     q = quotes.select("quote_id", F.substring(F.lower("quote"), 1, n).alias("start")).filter(F.length("start") == n)
-    seed = 12
-    q = q.withColumn("seed", F.substring("start", 1, seed))
-    seeds = q.agg(F.collect_set("seed").alias("seeds"), F.count("*").alias("n")).first()
-    if not seeds["seeds"] or seeds["n"] > 20_000:  # too many for one pattern: every window of every text
-        at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i: F.substring("low", i, F.lit(n)))))
-        return texts.withColumn("low", F.lower("text")).select("doc_id", at.alias("start")).join(q, "start").select("quote_id", "doc_id").distinct()
-    import re
-
-    pattern = "(?=((?:" + "|".join(sorted(map(re.escape, seeds["seeds"]))) + ").{" + str(n - seed) + "}))"
-    found = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?s)" + pattern), F.lit(1)))).alias("start"))
-    return found.join(q, "start").select("quote_id", "doc_id").distinct()
+    parts = F.split("start", " ")
+    q = q.withColumn("key", F.when(F.size(parts) >= 4, F.concat(parts[1], F.lit(" "), parts[2])))
+    low = texts.select("doc_id", F.lower("text").alias("low"))
+    words = low.select("doc_id", F.split("low", " ").alias("w")).filter(F.size("w") >= 4)
+    keys = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.col("w")[i], F.lit(" "), F.col("w")[i + 1])))).alias("key"))
+    near = keys.join(q.select("key", "quote_id", "start"), "key").select("doc_id", "quote_id", "start")
+    found = low.join(near, "doc_id").filter(F.col("low").contains(F.col("start"))).select("quote_id", "doc_id")
+    rest = low.join(q.filter("key is null").select("quote_id", "start"), F.col("low").contains(F.col("start"))).select("quote_id", "doc_id")
+    return found.unionByName(rest).distinct()
 
 
 def near_duplicate_texts(rows: DataFrame, threshold: float = 0.85, key: str = "project") -> DataFrame:

@@ -129,11 +129,11 @@ def test_keep_longest(spark):
     assert sorted(r.id for r in got.collect()) == [2, 4, 5]
 
 
-def test_quotes_with_many_seeds_match_the_pattern_path(spark):
-    docs = table(spark, [(1, "x" * 30 + "Quote one that is long enough to have forty characters"), (2, "nothing here")], "doc_id long, text string")
-    quotes = [(1, "quote ONE that is long enough to have forty characters"), (2, "too short")]
-    few = quality.quotes_anywhere(table(spark, quotes, "quote_id long, quote string"), docs)
-    assert [tuple(r) for r in few.collect()] == [(1, 1)]
+def test_quotes_anywhere(spark):
+    docs = table(spark, [(1, "x" * 30 + "Quote one that is long enough to have forty characters"), (2, "nothing here"), (3, "a" * 60), (4, None)], "doc_id long, text string")
+    quotes = [(1, "quote ONE that is long enough to have forty characters"), (2, "too short"), (3, "A" * 45), (4, None), (5, "one that is long enough to have forty characters and more")]
+    got = quality.quotes_anywhere(table(spark, quotes, "quote_id long, quote string"), docs)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 3), (5, 1)]
 
 
 def test_recency_and_confidence(spark):
