@@ -34,7 +34,7 @@ SAMPLE = 4_000
 RANK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
-TRIGRAMS = 2_048
+TRIGRAMS = 1_024
 #: Bands of the surface measures.
 BANDS = {
     "distinct": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],

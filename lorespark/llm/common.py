@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows of an Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 2048
+BATCH_ROWS = 512
 #: Bytes that the numpy kernels take at a time (a longer text is taken alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:

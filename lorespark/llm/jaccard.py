@@ -255,7 +255,7 @@ def shingle_sets(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(partitions(spark), size >> 24)
+    ranges = max(partitions(spark), size >> 23)
     dealt = rows.mapInArrow(_deal(ranges, ngram, id_type), _MOVE)
     counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_count, _MOVE)
     ordered = counted.repartition(partitions(spark), "batch").sortWithinPartitions("batch", "range")

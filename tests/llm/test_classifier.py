@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorespark.llm.classifier import NEIGHBOURS, _unit, classify, features, votes, weigh
+from lorespark.llm.classifier import NEIGHBOURS, TRIGRAMS, _unit, classify, features, votes, weigh
 
 
 def test_held_out_accuracy(spark, sf):
@@ -26,7 +26,7 @@ def test_votes_match_brute_force():
     r = np.random.default_rng(3)
     texts = [" ".join("".join(map(chr, r.integers(97, 105, 4))) for _ in range(r.integers(1, 40))).encode() for _ in range(60)]
     data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    x, idf = features(data, offs), np.ones(2048, np.float32)
+    x, idf = features(data, offs), np.ones(TRIGRAMS, np.float32)
     axes = r.normal(size=(x.shape[1], 8)).astype(np.float32)
     model = {"idf": idf, "axes": axes, "vectors": _unit(weigh(x[:40], idf) @ axes), "labels": r.integers(0, 2, 40).astype(np.float32), "prior": 0.5}
     own = _unit(weigh(x, idf) @ axes)
