@@ -1,6 +1,6 @@
 """Named queries; importing a module registers its own."""
 
-from . import activity, alerts, graph, quality, retrieval
+from . import activity, alerts, context, graph, quality, retrieval
 from .catalog import CATALOG
 
-__all__ = ["CATALOG", "activity", "alerts", "graph", "quality", "retrieval"]
+__all__ = ["CATALOG", "activity", "alerts", "context", "graph", "quality", "retrieval"]
