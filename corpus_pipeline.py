@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.bpe import bpe_round_trip
 from lorespark.llm.classifier import classify
-from lorespark.llm.common import materialize, prepare, table
+from lorespark.llm.common import forget, materialize, prepare, table
 from lorespark.llm.decontaminate import find_leaks
 from lorespark.llm.jaccard import jaccard_representatives
 from lorespark.llm.secrets import find_secrets
@@ -67,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        forget(done)
     return docs

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lower_ascii, materialize, mix, partitions, prefix_hash, prepare, ragged, slices, span_hash, table, utf8, window_hash, word_spans
+from .common import forget, lower_ascii, materialize, mix, partitions, prefix_hash, prepare, ragged, slices, span_hash, table, utf8, window_hash, word_spans
 from .graph import components
 
 NGRAM = 5
@@ -384,7 +384,10 @@ def class_links(sets: DataFrame) -> DataFrame:
     sent = wanted.join(members, ["hub", "ball", "block"]).join(classes, "fp").select("pair", "side", "fp", "hub", "ball", "n", "asked", "prefix", "shared")
     links = sent.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side").mapInArrow(_compare, "a binary, b binary")
     links = links.unionByName(placed.filter("ball").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    return materialize(links.distinct(), "links")
+    links = materialize(links.distinct(), "links")
+    for done in (classes, led, placed, groups):
+        forget(done)
+    return links
 
 
 def labelled_sets(docs: DataFrame, ngram: int = NGRAM) -> tuple[DataFrame, DataFrame]:
