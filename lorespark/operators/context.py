@@ -200,3 +200,24 @@ def backfill(items: DataFrame, fetched: DataFrame, least: int = 10) -> DataFrame
     """Raw text from outside where the item has none and it is long enough."""
     got = fetched.filter(F.length("text") > least).select("id", F.col("text").alias("_text"))
     return items.join(got, "id", "left").withColumn("raw_content", F.coalesce("raw_content", "_text")).drop("_text")
+
+
+def owned_by(commitments: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, entity_id) where the owner's text contains the entity's name: an
+    equi-join on the name's first word, then the containment itself.  A name that
+    begins within a word of the owner's text is not a match."""
+    tokens = F.explode(F.array_distinct(F.split(F.lower("owner"), " "))).alias("token")
+    owners = commitments.select("id", F.lower("owner").alias("owner"), tokens)
+    names = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name"), F.substring_index(F.lower("name"), " ", 1).alias("token"))
+    return owners.join(names, "token").filter(F.col("owner").contains(F.col("name"))).select("id", "entity_id").distinct()
+
+
+def propagate_corrections(entities: DataFrame, members: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, memberships and new facts after corrections (``kind, entity_id,
+    item_id, value, text, at``): labels replace, roles replace, facts are added.
+    The latest of a target's corrections counts."""
+    last = lambda kind, *keys: corrections.filter(F.col("kind") == kind).groupBy(*keys).agg(F.max_by("value", "at").alias("new"))
+    labelled = entities.join(last("label", "entity_id").withColumnRenamed("entity_id", "id"), "id", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    roles = members.join(last("role", "entity_id", "item_id"), ["entity_id", "item_id"], "left").withColumn("role", F.coalesce("new", "role")).drop("new")
+    facts = corrections.filter(F.col("kind") == "fact").select("entity_id", "text", "at")
+    return labelled, roles, facts

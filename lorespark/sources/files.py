@@ -95,3 +95,45 @@ def decode_array(column: str) -> F.Column:
 def incremental(rows: DataFrame, column: str, mark) -> DataFrame:
     """Rows after a high-water mark (all without one)."""
     return rows if mark is None else rows.filter(F.col(column) > F.lit(mark))
+
+
+def decode_vectors(rows: DataFrame, column: str, name: str = "embedding") -> DataFrame:
+    """Vectors stored as little-endian float32 bytes, as arrays; what isn't whole
+    numbers of floats, or null, gives null.  Arrow batches, one numpy view each."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept = [c for c in rows.columns if c != column]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+
+    def work(batches):
+        for batch in batches:
+            blobs = batch.column(len(kept)).to_pylist()
+            vectors = [np.frombuffer(b, "<f4") if b and len(b) % 4 == 0 else None for b in blobs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(vectors, pa.list_(pa.float32()))], [*kept, name])
+
+    return rows.select(*kept, column).mapInArrow(work, f"{types}, {name} array<float>")
+
+
+def recipients(header: str) -> F.Column:
+    """The addresses of a mail header, lower-cased, each once."""
+    found = F.regexp_extract_all(F.lower(header), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0))
+    return F.array_distinct(found)
+
+
+def sent_mails(mails: DataFrame, me: str) -> DataFrame:
+    """Threads (``thread_id, at, sender, to``) with whom I wrote to, and who wrote
+    first and last."""
+    mine = F.lower("sender").contains(me.lower())
+    own = mails.groupBy("thread_id").agg(F.min_by(mine, "at").alias("i_began"), F.max_by(mine, "at").alias("i_answered_last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mine, recipients("to")))))).alias("wrote_to"))
+    return own.filter(F.size("wrote_to") > 0)
+
+
+def table_after(spark: SparkSession, url: str, table: str, column: str, mark: int, **options: str) -> DataFrame:
+    """Rows of a JDBC table after a mark; the predicate goes to the database."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().filter(F.col(column) > mark)
+
+
+def names_only(rows: DataFrame, column: str) -> DataFrame:
+    """An array of structs with a name, as the array of the names."""
+    return rows.withColumn(column, F.transform(column, lambda x: x["name"]))
