@@ -279,20 +279,24 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[DataFrame]]:
     """``key, text, spans``: of different texts (``key, doc_id, text``; the rows of
-    a key have one text), those with repeated windows and the runs of these."""
+    a key have one text), those with repeated windows and the runs of these; and
+    the tables to forget when that has been read."""
     spark = texts.sparkSession
     n = partitions(spark)
     found = materialize(texts.select("key", "text").mapInArrow(_find(window, gram), "key binary, h long, p int, s0 int, s1 int"), "anchors")
     occurrence = F.xxhash64("key", "p")
     common = found.groupBy("h").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a <> b").select("h")
+    # as a table, so that the join below reads both sides from plain exchanges and a
+    # very frequent anchor's partition is split
+    common = materialize(common, "common")
     mine = found.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "p", "s0", "s1")).alias("anchors"))
     one = texts.groupBy("key").agg(F.min("doc_id").alias("rep")).withColumnRenamed("key", "k")
     mine = mine.join(one, F.col("key") == F.col("k")).drop("k").withColumnRenamed("key", "k")
     whole = texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", F.col("text").cast("binary").alias("text"), "anchors")
     whole = materialize(whole, "texts")
-    forget(found)
+    forget(found), forget(common)
     _release(spark)
 
     near = whole.mapInArrow(_stretches(window), "key binary, h long, p int, before int, count int, bytes binary")
@@ -311,7 +315,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     spans = runs.unionByName(all_of).groupBy("h", "fh").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     placed = near.select("key", "h", "fh", "p").join(spans, ["h", "fh"]).select("key", F.transform("runs", lambda r: F.struct((r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
     placed = placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    return whole.select("key", "text").join(placed, "key")
+    return whole.select("key", "text").join(placed, "key"), [whole, near, group]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = False) -> DataFrame:
@@ -322,8 +326,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     texts = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     rows = texts.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *([F.col("text").cast("binary").alias("whole")] if keep else []))
     copied = rows.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"))
-    cut = repeated_spans(texts, window, gram).mapInArrow(_cut(window), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: bigint, end: bigint>>")
+    found, tables = repeated_spans(texts, window, gram)
+    cut = found.mapInArrow(_cut(window), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: bigint, end: bigint>>")
     cut = materialize(cut if keep else cut.drop("kept", "removed"), "cut")
+    for done in tables:
+        forget(done)
     _release(spark)
     gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= window)
     pick = lambda a, b, c: F.when(gone, a).otherwise(F.coalesce(b, c))
