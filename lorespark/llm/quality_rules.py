@@ -31,6 +31,9 @@ from .common import _SPACE, materialize, mix, prefix_hash, prepare, slices, span
 WINDOW = 8
 LEAST = 200
 WIDTH = 3.0
+#: Thresholds of up to so many groups (100 bytes each) are broadcast; more are
+#: joined by shuffle, where both sides are tables and a hot group is split.
+BROADCAST_GROUPS = 50_000
 #: Measures, the side that is bad, and the part of the distance to the far percentile.
 MEASURES = {"symbol_share": (1, 1 / 25), "upper_share": (1, 1 / 25), "dup_line_share": (1, 1 / 6), "repeat_share": (1, 1 / 6), "distinct_share": (-1, 1 / 6)}
 SYMBOLS = b"#*$%&|<>"
@@ -149,7 +152,9 @@ def thresholds(rows: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Measures, thresholds and verdict (``kept``) of every row."""
     rows = materialize(measured(docs), "measures")
-    limits = thresholds(rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    limits = materialize(thresholds(rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "limits")
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     beyond = F.lit(False)
