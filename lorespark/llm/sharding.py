@@ -24,7 +24,7 @@ from .common import materialize, prepare, table
 BITS = 60
 STEP = 6
 #: Bytes of a shard.
-LIMIT = 4 << 20
+LIMIT = 1 << 20
 
 
 def row_hash(*keys: Column) -> Column:
