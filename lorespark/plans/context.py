@@ -230,7 +230,7 @@ def next_due(t: Tables) -> DataFrame:
     return t.commitments().filter("state = 'active'").orderBy(F.asc_nulls_last("due_date"), "id").limit(40).select("id")
 
 
-@query("R17 R29")
+@query("R17")
 def hierarchical_search(t: Tables) -> DataFrame:
     v = t.vectors()
     themes = graph.centroids(v).select(F.col("project").alias("id"), F.col("centroid").alias("vector"))
@@ -242,7 +242,7 @@ def hierarchical_search(t: Tables) -> DataFrame:
     return retrieval.top(near, 20)
 
 
-@query("C4 C5 C11 C12 C14 C16 C26 C27 C28", f"SELECT project, source, count(*) AS n FROM knowledge WHERE source_date >= {_T} - INTERVAL 3 DAY AND importance IN ('critical', 'high') GROUP BY ALL")
+@query("C3 C4", f"SELECT project, source, count(*) AS n FROM knowledge WHERE source_date >= {_T} - INTERVAL 3 DAY AND importance IN ('critical', 'high') GROUP BY ALL")
 def briefing_selection(t: Tables) -> DataFrame:
     own = rollups.select_where(t.knowledge(), importance=["critical", "high"]).filter(since("source_date", NOW, 3))
     return own.groupBy("project", "source").agg(F.count("*").alias("n"))

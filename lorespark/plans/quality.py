@@ -157,7 +157,7 @@ def claim_counts(t: Tables) -> DataFrame:
     return t.read("documents").select(F.col("doc_id").alias("id"), F.size(quality.claims(F.col("text"))).cast("long").alias("claims"))
 
 
-@query("S7 S13", "SELECT doc_id AS id, len(range(1, greatest(1, length(text) - 500)::BIGINT + 1, 3500)) AS chunks, length(substring(text, 1, 4000)) AS first FROM documents")
+@query("S7", "SELECT doc_id AS id, len(range(1, greatest(1, length(text) - 500)::BIGINT + 1, 3500)) AS chunks, length(substring(text, 1, 4000)) AS first FROM documents")
 def text_chunks(t: Tables) -> DataFrame:
     parts = text.chunks(F.col("text"))
     return t.read("documents").select(F.col("doc_id").alias("id"), F.size(parts).cast("long").alias("chunks"), F.length(parts[0]).cast("long").alias("first"))

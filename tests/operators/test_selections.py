@@ -82,3 +82,17 @@ def test_facts_and_quotes(spark):
     assert [r.fact_id for r in quality.supported_quotes(facts, sources).collect()] == [1]
     items = spark.createDataFrame([(1, ["a"]), (2, None)], "id long, x array<string>")
     assert {r.id for r in context.needs_vector(items, "x").collect()} == {2}
+
+
+def test_sinks(spark, tmp_path):
+    from lorespark.sources import sinks
+
+    root = str(tmp_path)
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    sinks.save_result(a, root, "k", history="one")
+    sinks.save_result(a.limit(1), root, "k")
+    assert sinks.load_result(spark, root, "k").count() == 1 and sinks.load_result(spark, root, "k-history/one").count() == 2
+    target = sinks.upsert_table(spark, f"{root}/k-history/one", spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string"), ["id"], "2")
+    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    sinks.save_text(context.markdown(a, F.col("x"), F.col("id").cast("string")), f"{root}/text")
+    assert [r.value for r in spark.read.text(f"{root}/text").collect()] == ["- **a** 1", "- **b** 2"]
