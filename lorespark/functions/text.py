@@ -18,10 +18,11 @@ TONES = {
     "formal": ["proposal", "agreement", "contract", "terms", "compliance"],
     "collaborative": ["partnership", "together", "collaborate", "aligned", "synergy"],
 }
+#: "tell assistant": the name by which users address the system.
 INTENTS = [
     ("action", r"^(draft|send|email|schedule|remind|book|create|set up|approve|reject)\b"),
     ("action", r"\b(draft an? email|send an? email|schedule a? meeting|remind me|set a? reminder)\b"),
-    ("correction", r"^(actually|no,|correct|update|change|mark|tell prime|that's wrong)\b"),
+    ("correction", r"^(actually|no,|correct|update|change|mark|tell assistant|that's wrong)\b"),
     ("correction", r"\bis (a |an )?(vendor|client|partner|employee|carrier|broker)\b"),
     ("search", r"^(find|search|who is|when did|look up|show me|get me)\b"),
     ("investigation", r"^(analyze|compare|investigate|why is|deep dive|full picture|what should)\b"),
