@@ -313,9 +313,10 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         twice = many.groupBy("w").count().filter("count > 1").select("w")
         runs = runs.unionByName(many.join(twice, "w").select("h", "fh", "first", F.col("first").alias("last")))
     spans = runs.unionByName(all_of).groupBy("h", "fh").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    spans = materialize(spans, "spans")  # the join splits a stretch that is very frequent
     placed = near.select("key", "h", "fh", "p").join(spans, ["h", "fh"]).select("key", F.transform("runs", lambda r: F.struct((r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
     placed = placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    return whole.select("key", "text").join(placed, "key"), [whole, near, group]
+    return whole.select("key", "text").join(placed, "key"), [whole, near, group, spans]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = False) -> DataFrame:
