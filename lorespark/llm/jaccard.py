@@ -427,3 +427,20 @@ def jaccard_representatives(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The same by all pairs of sets that share a shingle, and their closure.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(d, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT e.b, r.root FROM reach r JOIN both_ e ON e.a = r.d)
+SELECT doc_id, len(s) AS n_shingles, min(root) AS component_id FROM sets JOIN reach ON d = doc_id GROUP BY ALL
+"""

@@ -8,9 +8,9 @@ from .bpe import op8_byte_bpe
 from .classifier import op4_quality_classifier
 from .decontaminate import op10_decontamination
 from .html_text import op6_html_text
-from .jaccard import op1_jaccard_join
+from .jaccard import OP1_SQL, op1_jaccard_join
 from .quality_rules import op9_quality_rules
-from .repeats import op3_repeats
+from .repeats import OP3_SQL, op3_repeats
 from .secrets import op7_secrets
 from .sharding import OP5_SQL, op5_sharding
 from .token_counts import op2_token_counts
@@ -28,4 +28,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op5_sharding": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op3_repeats": OP3_SQL, "op5_sharding": OP5_SQL}

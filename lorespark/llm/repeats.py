@@ -351,3 +351,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same by a hash of every window.
+OP3_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM bytes),
+windows AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS k FROM places),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS b FROM windows WHERE k IN (SELECT k FROM again)),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits) GROUP BY ALL),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+         UNION ALL SELECT b.doc_id, coalesce(max(z), 0), any_value(length(h) // 2) FROM bytes b LEFT JOIN runs USING (doc_id) GROUP BY b.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z) AS left_ FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(left_)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
