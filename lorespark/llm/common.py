@@ -27,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [path])])
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

@@ -38,6 +38,8 @@ LIMIT = 4096
 TABLE_WORDS = 32_768
 SKETCH_WORDS = 4_096
 CACHE_WORDS = 400_000
+#: Tasks that merge sketches.
+MERGES = 16
 
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
@@ -126,10 +128,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_segments(texts: DataFrame) -> list[str]:
-    """The frequent segments of all texts, from sketches merged as a tree."""
-    sketches = texts.mapInArrow(_sketch, "sketch binary")
-    while (parts := sketches.rdd.getNumPartitions()) > 32:
-        sketches = sketches.repartition(-(-parts // 16)).mapInArrow(_merge, "sketch binary")
+    """The frequent segments of all texts: sketches merge in ``MERGES`` tasks, one
+    by one and cut back each time, and the driver merges what these give."""
+    sketches = texts.mapInArrow(_sketch, "sketch binary").repartition(MERGES).mapInArrow(_merge, "sketch binary")
     counts: Counter = Counter()
     for (blob,) in sketches.collect():
         for k, n in _unpack(blob):
