@@ -43,12 +43,13 @@ def shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     depth, found, left = min(BITS, even + STEP), [], points
     top = 0
     while True:
-        prefix = lambda d: F.shiftright("hash", F.lit(BITS) - d)
         fine = left.withColumn("fine", F.expr(f"shiftright(hash, {BITS - depth})")).groupBy("fine").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
         nodes = fine.withColumn("depth", F.explode(F.sequence(F.lit(top), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(fine, {depth} - depth)"))
         sizes = nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"), F.sum("kinds").alias("kinds"))
-        fits = sizes.filter((F.col("shard_bytes") <= limit) | (F.col("kinds") == 1))
-        best = nodes.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("b"))
+        fits = materialize(sizes.filter((F.col("shard_bytes") <= limit) | (F.col("kinds") == 1)), "fits")
+        # no bucket is shallower than this, so no short prefix gathers all rows
+        least = fits.agg(F.min("depth")).first()[0]
+        best = nodes.select("fine", "depth", "prefix").filter(F.col("depth") >= F.lit(top if least is None else least)).join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("b"))
         at = left.withColumn("fine", F.expr(f"shiftright(hash, {BITS - depth})")).join(best, "fine", "left")
         at = materialize(at.select("hash", "bytes", "n", "b"), "placed")
         found.append(at.filter("b is not null").select("hash", "b.*"))
