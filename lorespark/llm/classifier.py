@@ -34,7 +34,9 @@ SAMPLE = 4_000
 RANK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
-TRIGRAMS = 1_024
+TRIGRAMS = 2_048
+#: Texts that are dense at a time.
+ROWS = 128
 #: Bands of the surface measures.
 BANDS = {
     "distinct": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
@@ -48,6 +50,13 @@ BAND_WEIGHT = 0.35
 WIDTH = TRIGRAMS + sum(len(b) + 1 for b in BANDS.values())
 
 
+def _chunks(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts as ``slices`` gives them, of at most ``ROWS`` texts."""
+    for i, j in slices(offs):
+        for at in range(i, j, ROWS):
+            yield at, min(at + ROWS, j)
+
+
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Trigram counts and band indicators of each text."""
     n = len(offs) - 1
@@ -93,7 +102,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(TRIGRAMS, np.int64), 0
     for batch in batches:
         data, offs = utf8(batch.column(0))
-        for i, j in slices(offs):
+        for i, j in _chunks(offs):
             own, at = data[offs[i] : offs[j]].astype(np.uint64), offs[i : j + 1] - offs[i]
             n += j - i
             if len(own) < 3:
@@ -119,7 +128,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = utf8(batch.column(1))
-        parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs)]
+        parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in _chunks(offs)]
         blobs = [row.tobytes() for part in parts for row in part]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["label", "vector"])
 
@@ -169,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", carry:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(width))
-            parts = [votes(features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), model.value) for i, j in slices(offs)]
+            parts = [votes(features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), model.value) for i, j in _chunks(offs)]
             scores = pa.array(np.concatenate(parts) if parts else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], scores], [*batch.schema.names[:width], "score"])
 

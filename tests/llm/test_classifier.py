@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lorespark.llm import classifier
 from lorespark.llm.classifier import NEIGHBOURS, TRIGRAMS, _unit, classify, features, votes, weigh
 
 
@@ -37,6 +38,23 @@ def test_votes_match_brute_force():
         assert abs(got - want) < 1e-4
 
 
+def test_trigrams_keep_apart_in_a_long_text():
+    r = np.random.default_rng(1)
+    data = r.integers(97, 123, 4000).astype(np.uint8)
+    filled = np.count_nonzero(features(data, np.array([0, len(data)]))[0, :TRIGRAMS])
+    assert TRIGRAMS == 2048 and filled > 1024
+
+
+def test_chunks_change_no_features(monkeypatch):
+    texts = [b"abc", b"", b"the same words again and again", b"x" * 50, b"abcabd " * 9] * 3
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    monkeypatch.setattr(classifier, "ROWS", 2)
+    parts = list(classifier._chunks(offs))
+    assert [k for i, j in parts for k in range(i, j)] == list(range(len(texts))) and max(j - i for i, j in parts) == 2
+    got = np.concatenate([features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in parts])
+    assert np.array_equal(got, features(data, offs))
+
+
 def test_odd_inputs(spark, odd_docs, no_docs, clashing):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 40)] + [(1, 1, 1), (None, 1, 1), (2, None, 0)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)
