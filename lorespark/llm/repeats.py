@@ -292,10 +292,16 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     # very frequent anchor's partition is split
     common = materialize(common, "common")
     mine = found.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "p", "s0", "s1")).alias("anchors"))
-    one = texts.groupBy("key").agg(F.min("doc_id").alias("rep")).withColumnRenamed("key", "k")
+    ids = texts.groupBy("key", "doc_id").count()
+    one = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), (F.max("count") > 1).alias("again")).withColumnRenamed("key", "k")
     mine = mine.join(one, F.col("key") == F.col("k")).drop("k").withColumnRenamed("key", "k")
-    whole = texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", F.col("text").cast("binary").alias("text"), "anchors")
+    whole = texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", F.col("text").cast("binary").alias("text"), "anchors", "again")
     whole = materialize(whole, "texts")
+    if whole.filter("again").take(1):
+        # texts that repeat with one id, of which the join takes every row
+        once = materialize(whole.filter("again").dropDuplicates(["key"]), "once")
+        whole = whole.filter("not again").unionByName(once)
+    whole = whole.drop("again")
     forget(found), forget(common)
     _release(spark)
 

@@ -55,6 +55,21 @@ def test_matches_brute_force(spark, monkeypatch, group):
     assert got == want
 
 
+def test_equal_rows_that_share_a_passage(spark):
+    rows = texts()
+    shared = next(t for t in rows if t and len(t) > 1000)
+    own = [(None, shared)] * 6 + [(7, shared)] * 3 + [(8, "x" * 300 + shared[:600]), (9, "y" * 700)] + [(5, rows[8] + shared)] * 4
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    want = Counter((i, *x) for (i, _), x in zip(own, brute([t for _, t in own], 400), strict=True))
+    assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == want
+    # one id or none for all copies
+    for same in (None, 1):
+        own = [(same, shared)] * 5 + [(2, "x" * 300 + shared[:600])]
+        want = Counter((i, *x) for (i, _), x in zip(own, brute([t for _, t in own], 400), strict=True))
+        got = Counter(tuple(r) for r in remove_repeats(spark.createDataFrame(own, "doc_id long, text string")).collect())
+        assert got == want
+
+
 def test_documents(spark, sf, no_docs, clashing):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.collect()
