@@ -3,8 +3,8 @@
 The base patterns give spans of the kinds assign, access and hex.  The method
 adds spans of the kind novel: a string of 20 or more key characters, with a
 letter and a digit, that follows a sensitive word closely and overlaps no base
-span is compressed by zstandard after its surroundings, with a dictionary of
-common identifiers loaded.  The bytes that it adds per character are its
+span is compressed by zstandard after its surroundings (without further copies
+of it), with a dictionary of common identifiers loaded.  The bytes that it adds per character are its
 novelty; at ``NOVELTY`` or more nothing around it explains it, and it is
 reported.  Base spans carry their novelty as well.
 
@@ -53,6 +53,23 @@ _SPAN = "array<struct<kind: string, start: int, end: int, novelty: double>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """The surroundings of a string, with blanks for further copies of it, also of
+    those that the edge cuts: a copy doesn't explain it.  Copies may differ in what
+    a ``=`` joins to them."""
+    own = text[start:end]
+    pieces = [own, *(p for p in own.split("=") if 20 <= len(p) < len(own))]
+
+    def side(first: int, last: int, lo: int, hi: int) -> str:
+        part = text[lo:hi]
+        for piece in pieces:
+            part = part.replace(piece, " " * len(piece))
+        return part[first - lo : last - lo]
+
+    first, last = max(0, start - AROUND), end + AROUND
+    return side(first, start, max(0, first - len(own)), start) + side(end, last, end, last + len(own))
+
+
 class Novelty:
     """Marginal compressed bytes of a string, a character."""
 
@@ -61,7 +78,7 @@ class Novelty:
         self.press = zstandard.ZstdCompressor(level=9, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        near = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+        near = _around(text, start, end).encode()
         own = text[start:end].encode()
         return (len(self.press(near + own)) - len(self.press(near))) / max(1, len(own))
 

@@ -44,6 +44,17 @@ def test_novel_spans(spark, no_docs, clashing, odd_docs):
     assert find_secrets(clashing).count() == odd_docs.count()
 
 
+def test_a_key_printed_twice_is_novel_twice(spark):
+    key, prose = "Zk3vQ9xT7mB2nL8wR4yU6pC1hJ5dF0sGaEiOqKtX", "the usual prose goes on and on, and then some more of it. "
+    twice = [f"{prose}Authorization: Bearer {a} {prose * n}bearer {b} {prose}" for n in (0, 2, 6, 7) for a, b in [(key, key), (key + "==", key), (key, "v=" + key)]]
+    cut = [f"bearer {key}{(' ' + prose * 9)[: 400 - k]} bearer {key} {prose}" for k in (0, 10, 20, 30, 45)]
+    docs = spark.createDataFrame(list(enumerate(twice + cut)), "doc_id long, text string")
+    for r in find_secrets(docs, redacted=True).collect():
+        assert [s[0] for s in spans(r)] == ["novel", "novel"] and key not in r.redacted
+    path = "config_settings_environment_variable_1"
+    assert not find_secrets(spark.createDataFrame([(1, f"{prose}the token is in {path} {prose}token {path}")], "doc_id long, text string")).first().spans
+
+
 def test_redact_merges_overlaps():
     cut = lambda *p: [{"start": s, "end": e} for s, e in p]
     assert redact("0123456789", cut((1, 3), (2, 5), (7, 8)), "_") == "0_56_89"
