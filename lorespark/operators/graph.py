@@ -100,27 +100,36 @@ def thread_candidates(members: DataFrame, items: DataFrame, threshold: float = 0
     return scored.filter(F.col("score") >= threshold)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) by smallest labels; the state is checkpointed each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) by smallest nodes.  Two contractions alternate until nothing
+    changes: every node links its larger neighbours to its smallest one, then its
+    smaller neighbours to it; the state is checkpointed each round."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         # a folder that all executors share is set on a cluster (spark.checkpoint.dir)
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, "a").groupBy(F.col("b").alias("a")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "a").withColumn("label", F.least("label", "near")).drop("near")
-        # and the label of the label, which halves what is left of a path
-        jump = new.select(F.col("a").alias("l"), F.col("label").alias("ll"))
-        new = new.join(jump, F.col("label") == F.col("l"), "left").select("a", F.least("label", "ll").alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "a").filter("label <> old").take(1)
-        labels = new
-        if not changed:
+    u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    every = edges.filter("a is not null and b is not null").select(u, v).distinct().checkpoint()
+    links = every.filter("u <> v")
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        small = star.join(star.groupBy("u").agg(F.min("v").alias("m")), "u")
+        new = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+        same = new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty()
+        links = new
+        if same:
             break
-    return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+    roots = links.select("v").distinct()
+    alone = every.filter("u = v").select("u").join(links.select("u").unionByName(roots.withColumnRenamed("v", "u")), "u", "left_anti")
+    return (
+        links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        .unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+        .unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("component")))
+    )
 
 
 def threads(candidates: DataFrame) -> DataFrame:

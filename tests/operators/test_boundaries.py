@@ -205,3 +205,11 @@ def test_row_order_changes_nothing(spark):
     b = activity.communication_baseline(table(spark, rows[::-1], SCHEMA).repartition(3), AS_OF).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
     assert one(spark, days_between(at("2024-01-02"), at("2024-01-01"))) == 1.0
+
+
+def test_components_of_long_paths(spark):
+    path = [(i, i + 1) for i in range(1000, 1079)] + [(1079, 1)]
+    other = [(3000, 3000), (2001, 2000), (2000, 2001), (None, 5), (6, None)]
+    got = dict(map(tuple, graph.components(table(spark, path + other, "a long, b long")).collect()))
+    assert got == {1: 1, **dict.fromkeys(range(1000, 1080), 1), 2000: 2000, 2001: 2000, 3000: 3000}
+    assert graph.components(table(spark, [], "a long, b long")).collect() == []
