@@ -44,8 +44,15 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea noembed noframes svg math object canvas head".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Comments, declarations, and tags: attributes as the HTML standard reads them (a
+#: quote inside a name or a bare value is part of it).  A tag whose quote is never
+#: closed ends at the next ``>``.
+_TOKEN = re.compile(
+    r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++|(?=>)))?+)*+)>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    re.S,
+)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[^\W_]+")
 
@@ -77,11 +84,12 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
         if not m:
             break
         at = m.end()
-        name = (m.group(2) or "").lower()
+        ends, name, marked = (m.group(k) or m.group(k + 3) or "" for k in (1, 2, 3))
+        name = name.lower()
         if not name:
             continue
-        if name in RAW and not m.group(1):
-            if not m.group(3).endswith("/"):
+        if name in RAW and not ends:
+            if not marked.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page) if name != "head" else at
             continue
@@ -90,7 +98,7 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
             close()
         elif name == "br":
             parts.append(" ")
-        if m.group(1):
+        if ends:
             if name == "a":
                 in_link = max(0, in_link - 1)
             for k in range(len(stack) - 1, -1, -1):
@@ -114,7 +122,7 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
             del stack[k:]
         if name == "a":
             in_link += 1
-        marks = [p.lower() for g in _MARKS.findall(m.group(3)) for x in g for p in _PART.findall(x)]
+        marks = [p.lower() for g in _MARKS.findall(marked) for x in g for p in _PART.findall(x)]
         stack.append((name, [name, *(f".{p}" for p in marks)]))
     close()
     return out
