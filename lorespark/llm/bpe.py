@@ -2,7 +2,8 @@
 
 1. Each batch of documents is cut into pre-tokens with their positions; within
    the batch a position holds the number of its word in the batch's dictionary.
-   The dictionaries go, by word hash, to ``buckets`` (as packed words).
+   The dictionaries go, by word hash, to ``buckets`` (as packed words); their number
+   follows the bytes of the documents, so a bucket's share stays the same.
 2. A bucket encodes each distinct word once and sends the ids back to the
    batches that asked.
 3. A batch joins the ids to its positions, which gives every document's ids in
@@ -34,12 +35,19 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, prepare, ragged, strings, table
+from .common import partitions, prepare, ragged, settled, strings, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of the documents that share a dictionary.
 BATCH_CHARS = 1 << 23
+#: Bytes of documents for which there is a bucket.  More than ``MOST_BUCKETS`` would
+#: give a batch more buckets than it has words; a bucket then reads more, as a stream.
+BUCKET_BYTES = 1 << 24
+MOST_BUCKETS = 1 << 16
+#: Bytes of words that a bucket remembers; what is forgotten is encoded again.
+KNOWN_BYTES = 64 << 20
 
 _SCHEMA = "batch long, bucket int, info binary, payload binary"
 _ENCODERS: dict[tuple, tuple] = {}
@@ -157,6 +165,7 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoding, _, _ = encoder(path, pattern)
     known: dict[bytes, list[int]] = {}
+    size = 0
     for batch in batches:
         for number, bucket, info, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket < 0:
@@ -168,7 +177,12 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                 at += n
                 got = known.get(word)
                 if got is None:
-                    got = known[word] = encoding._encode_single_piece(word)
+                    got = encoding._encode_single_piece(word)
+                    size += 200 + 10 * n
+                    if size > KNOWN_BYTES:
+                        known.clear()
+                        size = 0
+                    known[word] = got
                 ids.append(got)
             sizes = np.array([len(x) for x in ids], np.uint32)
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
@@ -235,11 +249,10 @@ def bpe_round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | Non
     """
     spark = prepare(docs.sparkSession)
     path, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    buckets = partitions(spark)
-    rows = docs.select("doc_id", "text")
+    rows = settled(docs.select("doc_id", "text"), "settled")  # documents are numbered by their order in a task
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), min(MOST_BUCKETS, size // BUCKET_BYTES))
     kind = rows.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(kind)
     cut = rows.mapInArrow(lambda b: _cut(b, pattern, buckets, id_type), _SCHEMA)
     encoded = cut.repartition(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(lambda b: _encode(b, path, pattern), _SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,10 @@ CHUNK_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package and keep Arrow batches small.
+
+    Both are settings of the session, and both stay: the plans of the DataFrames
+    that operators return read them when they run."""
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
@@ -37,35 +41,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share.  Where none is set, a local one if all
+    tasks run on this machine, else an error: others couldn't read it."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorespark-"))
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorespark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Files that a table is written as, at most, for each core: a plan of many partitions
+#: would make each small table thousands of files.  Tasks that are joined take their
+#: partitions one after the other, so none needs more memory.
+FILES_A_CORE = 4
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+_WRITTEN: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and
     an executor lost later costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorespark-{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.add(path)
+    few_files(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-    tops = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for top in tops:
+    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lorespark-" in top:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(hadoop).delete(path, True)
+            _delete(df.sparkSession, top)
+            _WRITTEN.difference_update([x for x in _WRITTEN if x.rsplit("/", 1)[1] == top.rsplit("/", 1)[1]])
+
+
+def forget_all(spark: SparkSession) -> int:
+    """Delete all tables that operators of this process have left: those that the
+    DataFrames which they returned still read.  To be called when these are done
+    with; the number of tables."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with an order of rows that a task which runs again finds again: as it
+    is if its plan only reads files, else written first (rows that come out of a
+    shuffle may come in another order the next time)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df, name) if re.search(r"Exchange|Join|Window|Limit|Sample|InMemory|Scan ExistingRDD", plan) else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,9 @@ segment's length:
 1. a compact table of the most frequent segments of the corpus, found by
    mergeable heavy-hitter sketches over all documents and broadcast (at most
    ``TABLE_WORDS`` entries, whatever the input);
-2. for the rest, a cache in each Python worker in front of the library.
+2. for the rest, a cache in each Python worker in front of the library (of at most
+   ``CACHE_WORDS`` segments of at most ``CACHED_CHARS`` characters; longer ones, such
+   as texts without blanks, are encoded where they occur).
 
 Only sketches of at most ``SKETCH_WORDS`` entries move between tasks.
 
@@ -38,6 +40,8 @@ LIMIT = 4096
 TABLE_WORDS = 32_768
 SKETCH_WORDS = 4_096
 CACHE_WORDS = 400_000
+#: Longer segments are encoded each time: neither tier holds them, which bounds the bytes of both.
+CACHED_CHARS = 64
 #: Tasks that merge sketches.
 MERGES = 16
 
@@ -111,7 +115,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for text in strings(batch.column(0)).to_pylist():
-            counts.update(k for k in segments(text) if len(k) <= 64 and "\0" not in k)
+            counts.update(k for k in segments(text) if len(k) <= CACHED_CHARS and "\0" not in k)
             if len(counts) > 8 * SKETCH_WORDS:
                 _trim(counts)
     yield pa.RecordBatch.from_arrays([pa.array([_pack(counts)], pa.binary())], ["sketch"])
@@ -157,12 +161,13 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
                 cache.clear()
                 missing = {k for t in texts for k in t if k not in known}
             fresh = list(missing)
-            cache.update(zip(fresh, segment_lengths(processor, fresh), strict=True))
-            both = cache | known if len(cache) < len(known) else None
-            if both is not None:
-                totals = [sum(map(both.__getitem__, t)) for t in texts]
+            found = dict(zip(fresh, segment_lengths(processor, fresh), strict=True))
+            cache.update((k, n) for k, n in found.items() if len(k) <= CACHED_CHARS)
+            if len(cache) < len(known):
+                own = known | cache | found
+                totals = [sum(map(own.__getitem__, t)) for t in texts]
             else:
-                totals = [sum([known[k] if k in known else cache[k] for k in t]) for t in texts]
+                totals = [sum([known[k] if k in known else cache[k] if k in cache else found[k] for k in t]) for t in texts]
             arrays = [batch.column(0), batch.column(2), pa.array(totals, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens"])
 
