@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
+from . import pipeline
 from .bpe import op8_byte_bpe
 from .classifier import op4_quality_classifier
 from .decontaminate import op10_decontamination
 from .html_text import op6_html_text
 from .jaccard import OP1_SQL, op1_jaccard_join
-from .quality_rules import op9_quality_rules
+from .quality_rules import OP9_SQL, op9_quality_rules
 from .repeats import OP3_SQL, op3_repeats
 from .secrets import op7_secrets
 from .sharding import OP5_SQL, op5_sharding
 from .token_counts import op2_token_counts
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_repeats": op3_repeats,
@@ -28,4 +27,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op3_repeats": OP3_SQL, "op5_sharding": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op3_repeats": OP3_SQL, "op5_sharding": OP5_SQL, "op9_quality_rules": OP9_SQL}

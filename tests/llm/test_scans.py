@@ -123,6 +123,54 @@ def test_quality_counts(spark, odd_docs, sf, no_docs, clashing):
     assert quality_rules(clashing).count() == odd_docs.count()
 
 
+def kept_by_brute_force(rows):
+    """The stated rule from lists of exact bins, in whole numbers."""
+    def shares(text):
+        words, chars, symbols, dup, again = counts(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+        distinct = len(set(re.findall(r"[^\x20\x09-\x0D]+", text)))
+        upper = sum("A" <= c <= "Z" for c in text)
+        return [a / b if b else 0.0 for a, b in ((symbols, chars), (upper, chars), (dup, lines), (again, words), (distinct, words))], words < 20 or 100 * again > 30 * words
+
+    def cut(x):
+        u = int(x * 2**20)
+        low = max(0, u.bit_length() - 7)
+        return u >> low << low
+
+    own = [(r.lang, r.source, *shares(r.text or "")) for r in rows]
+    total, langs = len(own), Counter(x[0] for x in own)
+    out = []
+    limits = {}
+    for lang, source in {x[:2] for x in own}:
+        for m, (side, part) in enumerate([(1, 25), (1, 25), (1, 6), (1, 6), (-1, 6)]):
+            weights = Counter()
+            for a, b, s, _ in own:
+                weights[cut(s[m])] += 50 * langs[lang] + (50 * total if a == lang else 0) + (langs[lang] * total if (a, b) == (lang, source) else 0)
+            order, every = sorted(weights), sum(weights.values())
+
+            def at(r):
+                upto = 0
+                for x in order:
+                    upto += weights[x]
+                    if 100 * upto >= r * every:
+                        return x
+
+            near, far = (75, 98) if side > 0 else (25, 2)
+            limits[lang, source, m] = (at(near) + side * 3.0 * max(at(75) - at(25), abs(at(far) - at(50)) / part)) / 2**20
+    for lang, source, s, failed in own:
+        beyond = any(s[m] > limits[lang, source, m] if m < 4 else s[m] < limits[lang, source, m] for m in range(5))
+        out.append(not failed and not beyond)
+    return out
+
+
+def test_quality_verdict_equals_brute_force(spark, odd_docs, sf):
+    for docs in (odd_docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        rows = docs.collect()
+        want = Counter(zip((r.doc_id for r in rows), kept_by_brute_force(rows), strict=True))
+        for parts in (1, 7, 23):
+            assert Counter((r.doc_id, r.kept) for r in quality_rules(docs.repartition(parts)).collect()) == want
+
+
 def test_quality_rules_follow_the_labels(spark, sf):
     d = sf.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
