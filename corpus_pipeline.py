@@ -1,72 +1,5 @@
-"""A corpus pipeline: classify, drop near copies, decontaminate, redact, encode.
+"""The corpus pipeline: its stages, its SQL and ``run``, from ``lorespark.llm``."""
 
-Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it is
-written as Parquet and read again as the docs of the next.  All but the last
-return the columns of documents.
-"""
+from lorespark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lorespark.llm.bpe import bpe_round_trip
-from lorespark.llm.classifier import classify
-from lorespark.llm.common import forget, materialize, prepare, table
-from lorespark.llm.decontaminate import find_leaks
-from lorespark.llm.jaccard import jaccard_representatives
-from lorespark.llm.secrets import find_secrets
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_CARRIED = COLUMNS[1:]
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    scored = classify(docs, table(spark, sf_dir, "labels"), carry=_CARRIED)
-    return scored.filter("predicted = 1").select(*COLUMNS)
-
-
-def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links: the one of
-    the smallest id (of rows that share that id and text, one)."""
-    prepare(spark)
-    return jaccard_representatives(docs).select(*COLUMNS)
-
-
-def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=_CARRIED)
-    return found.filter(F.size("leaks") == 0).select(*COLUMNS)
-
-
-def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark."""
-    clean = find_secrets(docs, carry=["lang", "source", "n_chars"], redacted=True)
-    length = F.when(F.size("spans") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", length.alias("n_chars"))
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and hashes of the ids and of the bytes decoded from them."""
-    return bpe_round_trip(docs)
-
-
-STAGES = [
-    ("quality", good_quality),
-    ("near_copies", no_near_copies),
-    ("decontamination", no_benchmark),
-    ("secrets", no_secrets),
-    ("bpe", encoded),
-]
-
-#: No stage but the second has an exact form in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        done, docs = docs, materialize(stage(spark, docs, sf_dir), name)
-        forget(done)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
