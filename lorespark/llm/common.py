@@ -184,10 +184,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums whose differences identify any span of ``data`` (see span_hash)."""
+    """Sums whose differences identify any span of ``data``, bytes or hashes of words
+    (see span_hash)."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_MULT, n)[:n], out=sums[1:])
+    values = _BYTE[data] if data.dtype == np.uint8 else mix(data) | np.uint64(1)
+    np.cumsum(values * _powers(_MULT, n)[:n], out=sums[1:])
     return sums
 
 

@@ -1,18 +1,23 @@
-"""Removal of repeated byte strings: depth-limited radix sort of suffixes.
+"""Removal of repeated strings: depth-limited radix sort of suffixes.
 
 A byte goes if a string of ``WINDOW`` bytes that covers it also starts anywhere
 else.  Suffixes are ordered by most-significant-digit passes, only through
 ``WINDOW`` bytes; groups that are equal then are exactly the repeated windows.
-
-First digit.  Of the ``GRAM``-byte grams inside a window, the one with the
-smallest hash (the last such) is its anchor: it depends on the window's content
-alone, so equal windows have equal anchors at equal places.  The corpus is
-dealt by anchor, about one in 150 bytes; anchors that occur once end there.
+The same passes, with words as the letters, find the passages of ``PASSAGE`` words
+and more that also stand in another text.
+
+First digit.  Of the grams (``GRAM`` bytes, ``PASSAGE_GRAM`` words) inside a window,
+the one with the smallest hash (the last such) is its anchor: it depends on the
+window's content alone, so equal windows have equal anchors at equal places.  The
+corpus is dealt by anchor, about one in 150 bytes and one in 20 words, packed by
+batches; anchors that occur once end there.
 Further digits.  The stretches around the anchors that are left are grouped
-(identical ones at once, before anything is shuffled), and within an anchor's
-group the windows go through passes of ``DIGIT`` bytes, each dropping what is
-alone.  Groups of more than ``GROUP`` different stretches are not brought into
-one task: their windows are counted by hash, with map-side aggregation.
+(identical ones at once, before anything is shuffled).  A group of more than
+``GROUP`` different stretches is split: its windows are halved by the anchor's place
+in them, and what all windows of a half have around the anchor is the next digit.
+That goes on until groups are small or the digit is the whole window, so a passage
+that fills the corpus never meets in one task.  Within a small group the windows go
+through passes of ``DIGIT`` bytes, each dropping what is alone.
 
 Identity is by content: a text is its MD5, digits are 64-bit hashes.  Copies of
 a text are one text; all of it goes if it has ``WINDOW`` bytes and a copy.
@@ -24,27 +29,45 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, mix, partitions, prefix_hash, prepare, slices, span_hash, table, utf8
+from .common import forget, materialize, mix, partitions, prefix_hash, prepare, settled, slices, span_hash, table, utf8, window_hash, word_spans
+from .packed import MOVE, ascending, bits, by_group, frame, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
 
 WINDOW = 400
 GRAM = 100
 DIGIT = 100
-GROUP = 20_000
+#: Words of a passage, of its grams and of its digits.
+PASSAGE = 51
+PASSAGE_GRAM = 12
+PASSAGE_DIGIT = 13
+GROUP = 1_000
 #: Stretches that are sorted together in memory.
 BLOCK = 3_000
+#: Bytes of text in a batch whose anchors travel together.
+BATCH_BYTES = 1 << 23
 
 _PLACE = np.uint64((1 << 22) - 1)
 
 
+class Letters(NamedTuple):
+    """What a window is made of: bytes (kind 0) or words (kind 1)."""
+
+    kind: int
+    window: int
+    gram: int
+    digit: int
+
+
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     n = len(a) - width + 1
@@ -56,11 +79,12 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(hashes: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """(hash, text number, place, first start, last start) of the anchors of all
-    windows; places and starts count from the text's begin.  ``data`` has less
-    than 2^22 bytes, or is one text (whose windows are then taken in parts)."""
-    n = len(data)
+    windows, from the hashes of all grams; places and starts count from the text's
+    begin.  The texts have less than 2^22 letters, or are one (whose windows are then
+    taken in parts)."""
+    n = int(offs[-1])
     if n < window:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     most = int(_PLACE)
@@ -68,13 +92,10 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int
         found, step = [], most - window
         for a in range(0, n - window + 1, step):
             b = min(n, a + step + window - 1)
-            h, t, p, s0, s1 = anchors(data[a:b], np.array([0, b - a]), window, gram)
+            h, t, p, s0, s1 = anchors(hashes[a : b - gram + 1], np.array([0, b - a]), window, gram)
             found.append((h, t, p + a, s0 + a, s1 + a))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
-    sums = prefix_hash(data)
-    at = np.arange(n - gram + 1)
-    hashes = span_hash(sums, at, at + gram)
-    packed = (hashes & ~_PLACE) | (_PLACE - at.astype(np.uint64))
+    packed = (hashes & ~_PLACE) | (_PLACE - np.arange(n - gram + 1, dtype=np.uint64))
     least = _sliding_min(packed, window - gram + 1)
     place = (_PLACE - (least & _PLACE)).astype(np.int64)
     starts = np.arange(len(place))
@@ -82,7 +103,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int
     fits = starts + window <= offs[text + 1]
     place, starts, text = place[fits], starts[fits], text[fits]
     if not len(starts):
-        return anchors(data[:0], np.zeros(1, np.int64))
+        return anchors(hashes, np.zeros(1, np.int64), window, gram)
     first = np.ones(len(starts), bool)
     first[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(first)
@@ -91,41 +112,146 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int
     return hashes[place[first]], text[first], place[first] - base, starts[first] - base, starts[last] - base
 
 
-def _find(window: int, gram: int):
+def byte_anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    at = np.arange(max(0, len(data) - gram + 1))
+    return anchors(span_hash(prefix_hash(data), at, at + gram), offs, window, gram)
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and the offsets of the texts in them."""
+    starts, ends, text = word_spans(data, offs)
+    return span_hash(prefix_hash(data), starts, ends), np.searchsorted(text, np.arange(len(offs)))
+
+
+def word_anchors(data: np.ndarray, offs: np.ndarray, window: int = PASSAGE, gram: int = PASSAGE_GRAM) -> tuple[np.ndarray, ...]:
+    words, of_text = _words(data, offs)
+    h, *rest = anchors(window_hash(words, gram), of_text, window, gram)
+    return mix(h ^ np.uint64(gram)), *rest
+
+
+def _find(ranges: int, window: int, gram: int):
+    """Anchors of batches of texts by hash range: each anchor once a batch, with an
+    occurrence (text and place; of a word anchor the text alone) and whether there are
+    others; and a row with all of the batch's anchors."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[list[np.ndarray]] = []
+        keys: list[bytes] = []
+        size = 0
+
+        def rows() -> list[tuple]:
+            h, doc, kind, p, s0, s1 = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc, kind, p, s0, s1 = (x[order] for x in (h, doc, kind, p, s0, s1))
+            own = frame(b"".join(keys), ascending(h), *map(planes, (doc, kind, p, p - s0, s1 - s0)))
+            out = [(number, own_range(number, ranges), own)]
+            if len(h):
+                text = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[doc, 0]
+                seen = mix(text ^ np.where(kind == 1, np.uint64(0), mix(p.astype(np.uint64)))) & np.uint64(0xFFFFFFFF)
+                begins = np.flatnonzero(np.diff(h, prepend=h[0] + np.uint64(1)))
+                low, high = np.minimum.reduceat(seen, begins), np.maximum.reduceat(seen, begins)
+                each = h[begins]
+                out += [(number, r, frame(ascending(each[a:b]), planes(low[a:b]), bits(low[a:b] != high[a:b]))) for r, a, b in range_cuts(each, 64, ranges)]
+            return out
+
         for batch in batches:
             data, offs = utf8(batch.column(1))
-            keys = batch.column(0)
+            names = batch.column(0).to_pylist()
             for i, j in slices(offs):
-                h, t, p, s0, s1 = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
-                columns = [keys.take(pa.array(t + i)), pa.array(h.view(np.int64)), *(pa.array(x, pa.int32()) for x in (p, s0, s1))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "h", "p", "s0", "s1"])
+                part = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                for kind, found in enumerate((byte_anchors(*part, window, gram), word_anchors(*part))):
+                    h, t, p, s0, s1 = found
+                    held.append([h, t + len(keys), np.full(len(h), kind), p, s0, s1])
+                keys += names[i:j]
+                size += int(offs[j] - offs[i])
+                if size >= BATCH_BYTES or len(keys) >= 60_000:
+                    yield moves(rows())
+                    number += 1
+                    size = 0
+                    held.clear(), keys.clear()
+        if keys:
+            yield moves(rows())
 
     return work
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range, which anchors occur more than once, back to each batch."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = [unframe(p) for *_, p in rows]
+        each = [unascending(h) for h, *_ in parts]
+        h, low = np.concatenate(each), np.concatenate([unplanes(x) for _, x, _ in parts])
+        many = np.concatenate([unbits(x, len(e)) for (*_, x), e in zip(parts, each, strict=True)])
+        order = np.argsort(h, kind="stable")
+        begins = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] + np.uint64(1)))
+        own = low[order]
+        common = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)) | np.logical_or.reduceat(many[order], begins)
+        out = np.empty(len(h), bool)
+        out[order] = np.repeat(common, np.diff(np.append(begins, len(h))))
+        at = 0
+        for (number, r, _), e in zip(rows, each, strict=True):
+            yield moves([(number, r, frame(len(e).to_bytes(8, "little"), bits(out[at : at + len(e)])))])
+            at += len(e)
+
+    yield from by_group(batches, 1, solve)
+
+
+_ANCHOR = [("w", pa.int32()), ("h", pa.int64()), ("p", pa.int32()), ("s0", pa.int32()), ("s1", pa.int32())]
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The common anchors of each text that has any."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (*_, own), *rest = rows
+        keys, h, *others = unframe(own)
+        h = unascending(h)
+        doc, kind, p, before, after = (unplanes(x).astype(np.int64) for x in others)
+        if not len(h):
+            return
+        each = [unbits(b, int.from_bytes(n, "little")) for n, b in (unframe(x) for *_, x in rest)]
+        begins = np.flatnonzero(np.diff(h, prepend=h[0] + np.uint64(1)))
+        left = np.repeat(np.concatenate(each), np.diff(np.append(begins, len(h))))
+        order = np.flatnonzero(left)
+        order = order[np.argsort(doc[order], kind="stable")]
+        texts, first = np.unique(doc[order], return_index=True)
+        s0 = (p - before)[order]
+        columns = [kind[order], h[order].view(np.int64), p[order], s0, s0 + after[order]]
+        found = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ANCHOR, strict=True)], [n for n, _ in _ANCHOR])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), found)
+        yield pa.RecordBatch.from_arrays([pa.array([keys[16 * t : 16 * t + 16] for t in texts.tolist()], pa.binary()), lists], ["k", "anchors"])
+
+    yield from by_group(batches, 0, solve)
+
+
 def _stretches(window: int):
-    """Of each text, the bytes around its anchors, relative to the anchor."""
+    """Of each text, the letters around its anchors, relative to the anchor."""
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "h", "p", "before", "count", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("key", "w", "h", "p", "before", "count", "letters")}
             texts = batch.column(1).cast(pa.large_binary())
             for key, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 raw = memoryview(text.as_buffer())
+                words = None
                 for a in found:
+                    if a["w"] and words is None:
+                        data = np.frombuffer(raw, np.uint8)
+                        words = memoryview(_words(data, np.array([0, len(data)]))[0].astype("<u8").tobytes())
+                    for name in ("w", "h", "p"):
+                        out[name].append(a[name])
                     out["key"].append(key)
-                    out["h"].append(a["h"])
-                    out["p"].append(a["p"])
                     out["before"].append(a["p"] - a["s0"])
                     out["count"].append(a["s1"] - a["s0"] + 1)
-                    out["bytes"].append(bytes(raw[a["s0"] : a["s1"] + window]))
+                    out["letters"].append(bytes(words[8 * a["s0"] : 8 * (a["s1"] + PASSAGE)] if a["w"] else raw[a["s0"] : a["s1"] + window]))
                 if len(out["key"]) >= 2000:
                     yield flush(out)
             yield flush(out)
 
     def flush(out: dict[str, list]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
         for v in out.values():
             v.clear()
@@ -134,16 +260,6 @@ def _stretches(window: int):
     return work
 
 
-def _windows(rows: dict[str, np.ndarray], data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start from the row's first, byte position, first-digit key) of all windows."""
-    count = rows["count"]
-    ends = np.cumsum(count)
-    row = np.repeat(np.arange(len(count)), count)
-    start = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
-    place = (rows["before"][row] - start).astype(np.uint64)
-    return row, start, rows["base"][row] + start, mix(rows["h"][row] ^ mix(place))
-
-
 def _alike(keys: np.ndarray) -> np.ndarray:
     """Which keys are not alone."""
     order = np.argsort(keys)
@@ -155,18 +271,30 @@ def _alike(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(rows: dict[str, np.ndarray], data: np.ndarray, window: int = WINDOW, digit: int = DIGIT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start) of the windows that occur more than once: the radix passes."""
-    row, start, at, key = _windows(rows, data)
+def repeated_windows(rows: dict[str, np.ndarray], data: np.ndarray, letters: Letters) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the windows that occur more than once (of words: in more than
+    one text): the radix passes."""
+    count = rows["count"]
+    ends = np.cumsum(count)
+    row = np.repeat(np.arange(len(count)), count)
+    start = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
+    place = (rows["before"][row] - start).astype(np.uint64)
+    at, key = rows["base"][row] + start, mix(rows["g"][row] ^ mix(place))
     sums = prefix_hash(data)
-    for d in range(0, window, digit):
+    for d in range(0, letters.window, letters.digit):
         left = np.flatnonzero(_alike(key))
         row, start, at, key = row[left], start[left], at[left], key[left]
         if not len(key):
-            break
-        key = mix(key ^ span_hash(sums, at + d, at + min(d + digit, window)))
+            return row, start
+        key = mix(key ^ span_hash(sums, at + d, at + min(d + letters.digit, letters.window)))
     left = np.flatnonzero(_alike(key))
-    return row[left], start[left]
+    row, start, key = row[left], start[left], key[left]
+    if letters.kind and len(key):
+        order = np.argsort(key, kind="stable")
+        own, begins = rows["own"][row[order]], np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + np.uint64(1)))
+        apart = np.repeat(np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins), np.diff(np.append(begins, len(key))))
+        row, start = row[order[apart]], start[order[apart]]
+    return row, start
 
 
 def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,24 +310,59 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[first], start[first], start[last]
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The number columns and the bytes of a batch of stretches."""
-    data, offs = _raw(batch.column(batch.schema.get_field_index("bytes")))
-    rows = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "fh", "before", "count")}
-    rows["h"] = rows["h"].view(np.uint64)
-    rows["base"] = offs[:-1]
-    return rows, data
-
-
-def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
+def _columns(batch: pa.RecordBatch, letters: Letters) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The number columns and the letters of the stretches of one kind in a batch."""
+    own = batch.filter(pa.compute.equal(batch.column(batch.schema.get_field_index("w")), letters.kind))
+    column = own.column(own.schema.get_field_index("letters")).cast(pa.large_binary())
+    rows = {k: own.column(own.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "fh", "g", "own", "a", "b", "before", "count")}
+    rows["g"] = rows["g"].view(np.uint64)
+    if not len(own):
+        return rows | {"base": np.zeros(0, np.int64)}, np.zeros(0, np.uint8)
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
+    each = 8 if letters.kind else 1
+    rows["base"] = (offs[:-1] - offs[0]) // each
+    return rows, data.view("<u8") if letters.kind else data
+
+
+_STRETCH = "w int, h long, fh long, g long, own long, a int, b int, before int, count int, letters binary"
+
+
+def _split(alphabets: list[Letters]):
+    """Each stretch's windows in two halves by the anchor's place in them; the digit of a
+    half is what all its windows have around the anchor."""
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4, pa.binary()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                for letters in alphabets:
+                    rows, data = _columns(batch.slice(i, 1000), letters)
+                    if not len(rows["h"]):
+                        continue
+                    sums, each = prefix_hash(data), 8 if letters.kind else 1
+                    raw, middle = memoryview(data.tobytes()), (rows["a"] + rows["b"]) // 2
+                    for a, b in ((rows["a"], middle), (middle + 1, rows["b"])):
+                        low, high = np.maximum(a, rows["before"] - rows["count"] + 1), np.minimum(b, rows["before"])
+                        left = np.flatnonzero((low <= high) & (a <= b))
+                        if not len(left):
+                            continue
+                        a_, b_, low, high = a[left], b[left], low[left], high[left]
+                        base = rows["base"][left] + rows["before"][left] - high
+                        digit = span_hash(sums, base + high - a_, base + high + letters.window - b_)
+                        g = mix(digit ^ mix((a_ * 1000 + b_ * 2 + letters.kind).astype(np.uint64))).view(np.int64)
+                        count = high - low + 1
+                        cut = [bytes(raw[each * s : each * (s + n - 1 + letters.window)]) for s, n in zip(base.tolist(), count.tolist(), strict=True)]
+                        columns = [np.full(len(left), letters.kind), rows["h"][left], rows["fh"][left], g, rows["own"][left], a_, b_, high, count, cut]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return work
 
 
-def _sort(window: int):
-    """Radix passes over the rows of a partition, which come ordered by anchor."""
+def _sort(alphabets: list[Letters]):
+    """Radix passes over the rows of a partition, which come ordered by group."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,8 +373,7 @@ def _sort(window: int):
             if size < BLOCK:
                 continue
             both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            h = both.column(0).to_numpy(zero_copy_only=False)
-            begins = np.flatnonzero(np.diff(h)) + 1
+            begins = np.flatnonzero(np.diff(both.column(both.schema.get_field_index("g")).to_numpy(zero_copy_only=False))) + 1
             done = int(begins[-1]) if len(begins) else 0
             if done:
                 yield from solve(both.slice(0, done))
@@ -221,28 +383,24 @@ def _sort(window: int):
             yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, data = _columns(batch)
-        row, start = repeated_windows(rows, data, window)
-        row, first, last = _runs(row, start)
-        columns = [rows["h"].view(np.int64)[row], rows["fh"][row], first - rows["before"][row], last - rows["before"][row]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "fh", "first", "last"])
+        for letters in alphabets:
+            rows, data = _columns(batch, letters)
+            row, start = repeated_windows(rows, data, letters)
+            row, first, last = _runs(row, start)
+            columns = [rows["h"][row], rows["fh"][row], first - rows["before"][row], last - rows["before"][row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "fh", "first", "last"])
 
     return work
 
 
-def _hash_windows(window: int):
-    """Each window of the large groups as a row."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                rows, data = _columns(batch.slice(i, 500))
-                row, start, at, key = _windows(rows, data)
-                key = mix(key ^ span_hash(prefix_hash(data), at, at + window))
-                columns = [key.view(np.int64), rows["h"].view(np.int64)[row], rows["fh"][row], start - rows["before"][row]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["w", "h", "fh", "first"])
-
-    return work
+def _merged(spans: list[dict], window: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted((s["first"], s["last"] + window) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def _cut(window: int):
@@ -250,51 +408,67 @@ def _cut(window: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "removed": []}
+            out: dict[str, list] = {"n_removed": [], "n_spans": [], "n_passages": [], "kept_sha256": [], "kept": [], "removed": []}
             for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts, merged, at = [], [], 0
-                for a, b in sorted((s["first"], s["last"] + window) for s in spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged, parts, at = _merged([s for s in spans if not s["w"]], window), [], 0
                 for a, b in merged:
                     parts.append(text[at:a])
                     at = b
                 left = b"".join([*parts, text[at:]])
                 out["n_removed"].append(len(text) - len(left))
                 out["n_spans"].append(len(merged))
+                out["n_passages"].append(len(_merged([s for s in spans if s["w"]], PASSAGE)))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["kept"].append(left)
                 out["removed"].append([{"start": a, "end": b} for a, b in merged])
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["key", *out])
 
     return work
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def common_anchors(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``k, anchors`` (``key`` of a text, ``w, h, p, s0, s1``) of the rows of ``texts``
+    with anchors that occur elsewhere."""
+    rows = settled(texts.select("key", "text"), "settled")  # batches are numbered by their order in a task
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions(texts.sparkSession)
+    ranges = max(n, size // BATCH_BYTES)
+    dealt = rows.mapInArrow(_find(ranges, window, gram), MOVE)
+    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_common, MOVE)
+    anchor = ", ".join(f"{n}: {'bigint' if k == pa.int64() else 'int'}" for n, k in _ANCHOR)
+    return counted.repartition(ranges, "batch").sortWithinPartitions("batch", "range").mapInArrow(_pick, f"k binary, anchors array<struct<{anchor}>>")
+
+
+def repeated_runs(stretches: DataFrame, alphabets: list[Letters]) -> DataFrame:
+    """``h, fh, first, last``: runs of windows that repeat among different stretches."""
+    n = partitions(stretches.sparkSession)
+    left, runs = stretches, None
+    while True:
+        sizes = left.groupBy("g").agg(F.count("*").alias("n"), (F.max("a") == F.max("b")).alias("whole"), (F.min("own") != F.max("own")).alias("apart"))
+        sizes = materialize(sizes.filter("n > 1"), "sizes")
+        few = left.join(sizes.filter(f"n <= {GROUP} and not whole").select("g"), "g").select(*stretches.columns)
+        done = few.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sort(alphabets), "h long, fh long, first int, last int")
+        # groups whose digit is the whole window
+        place = (-F.col("before")).alias("first"), (-F.col("before")).alias("last")
+        done = done.unionByName(left.join(sizes.filter("whole").select("g", "apart"), "g").filter("w = 0 or apart").select("h", "fh", *place))
+        done = materialize(done, "runs")
+        runs = done if runs is None else runs.unionByName(done)
+        many = sizes.filter(f"n > {GROUP} and not whole").select("g")
+        if not many.take(1):
+            return runs
+        left = materialize(left.join(many, "g").select(*stretches.columns).mapInArrow(_split(alphabets), _STRETCH), "halves")
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[DataFrame]]:
     """``key, text, spans``: of different texts (``key, doc_id, text``; the rows of
     a key have one text), those with repeated windows and the runs of these; and
     the tables to forget when that has been read."""
-    spark = texts.sparkSession
-    n = partitions(spark)
-    found = materialize(texts.select("key", "text").mapInArrow(_find(window, gram), "key binary, h long, p int, s0 int, s1 int"), "anchors")
-    occurrence = F.xxhash64("key", "p")
-    common = found.groupBy("h").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a <> b").select("h")
-    # as a table, so that the join below reads both sides from plain exchanges and a
-    # very frequent anchor's partition is split
-    common = materialize(common, "common")
-    mine = found.join(common, "h").groupBy("key").agg(F.collect_set(F.struct("h", "p", "s0", "s1")).alias("anchors"))
+    alphabets = [Letters(0, window, gram, DIGIT), Letters(1, PASSAGE, PASSAGE_GRAM, PASSAGE_DIGIT)]
+    mine = common_anchors(texts, window, gram).groupBy("k").agg(F.first("anchors").alias("anchors"))
     ids = texts.groupBy("key", "doc_id").count()
-    one = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), (F.max("count") > 1).alias("again")).withColumnRenamed("key", "k")
-    mine = mine.join(one, F.col("key") == F.col("k")).drop("k").withColumnRenamed("key", "k")
+    one = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), (F.max("count") > 1).alias("again"))
+    mine = mine.join(one, F.col("key") == F.col("k")).drop("key")
     whole = texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", F.col("text").cast("binary").alias("text"), "anchors", "again")
     whole = materialize(whole, "texts")
     if whole.filter("again").take(1):
@@ -302,45 +476,44 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         once = materialize(whole.filter("again").dropDuplicates(["key"]), "once")
         whole = whole.filter("not again").unionByName(once)
     whole = whole.drop("again")
-    forget(found), forget(common)
-    _release(spark)
 
-    near = whole.mapInArrow(_stretches(window), "key binary, h long, p int, before int, count int, bytes binary")
-    near = materialize(near.withColumn("fh", F.xxhash64("bytes", "before")), "stretches")
-    group = near.groupBy("h", "fh").agg(*(F.first(c).alias(c) for c in ("before", "count", "bytes")), (F.min(occurrence) != F.max(occurrence)).alias("copied"))
-    group = materialize(group, "groups")
+    near = whole.mapInArrow(_stretches(window), "key binary, w int, h long, p int, before int, count int, letters binary")
+    near = materialize(near.withColumn("fh", F.xxhash64("letters", "before")), "stretches")
+    occurrence = F.when(F.col("w") == 1, F.xxhash64("key")).otherwise(F.xxhash64("key", "p"))
+    group = near.groupBy("h", "fh").agg(*(F.first(c).alias(c) for c in ("w", "before", "count", "letters")), F.min(occurrence).alias("own"), F.max(occurrence).alias("other"))
+    # a stretch that several texts have is nobody's own
+    group = group.withColumn("copied", F.col("own") != F.col("other")).withColumn("own", F.when(F.col("copied"), F.xxhash64("h", "fh")).otherwise(F.col("own"))).drop("other")
+    last = F.when(F.col("w") == 1, PASSAGE - PASSAGE_GRAM).otherwise(window - gram).cast("int")
+    group = materialize(group.withColumn("g", F.col("h")).withColumn("a", F.lit(0)).withColumn("b", last), "groups")
     all_of = group.filter("copied").select("h", "fh", (-F.col("before")).alias("first"), (F.col("count") - 1 - F.col("before")).alias("last"))
-    sizes = group.groupBy("h").count()
-    large = sizes.filter(F.col("count") > GROUP).select("h")
-    few = group.join(sizes.filter(F.col("count").between(2, GROUP)).select("h"), "h").select("h", "fh", "before", "count", "bytes")
-    runs = few.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sort(window), "h long, fh long, first int, last int")
-    if large.take(1):
-        many = group.join(large, "h").select("h", "fh", "before", "count", "bytes").mapInArrow(_hash_windows(window), "w long, h long, fh long, first int")
-        twice = many.groupBy("w").count().filter("count > 1").select("w")
-        runs = runs.unionByName(many.join(twice, "w").select("h", "fh", "first", F.col("first").alias("last")))
+    runs = repeated_runs(group.select(*(x.split()[0] for x in _STRETCH.split(", "))), alphabets)
     spans = runs.unionByName(all_of).groupBy("h", "fh").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans = materialize(spans, "spans")  # the join splits a stretch that is very frequent
-    placed = near.select("key", "h", "fh", "p").join(spans, ["h", "fh"]).select("key", F.transform("runs", lambda r: F.struct((r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
+    forget(runs)
+    placed = near.select("key", "w", "h", "fh", "p").join(spans, ["h", "fh"])
+    placed = placed.select("key", F.transform("runs", lambda r: F.struct("w", (r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
     placed = placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
     return whole.select("key", "text").join(placed, "key"), [whole, near, group, spans]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; with
-    ``keep`` also the remaining bytes (``kept``) and the removed spans."""
-    spark = prepare(docs.sparkSession)
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and
+    ``n_passages``, the number of its longest runs of ``PASSAGE`` words and more that
+    also stand in another row's text (which are not removed for that); with ``keep``
+    also the remaining bytes (``kept``) and the removed spans."""
+    prepare(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    rows = texts.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *([F.col("text").cast("binary").alias("whole")] if keep else []))
+    passage = F.col("text").rlike(rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{{PASSAGE}}}")
+    rows = texts.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), passage.alias("passage"), *([F.col("text").cast("binary").alias("whole")] if keep else []))
     copied = rows.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"))
     found, tables = repeated_spans(texts, window, gram)
-    cut = found.mapInArrow(_cut(window), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: bigint, end: bigint>>")
+    cut = found.mapInArrow(_cut(window), "key binary, n_removed long, n_spans long, n_passages long, kept_sha256 string, kept binary, removed array<struct<start: bigint, end: bigint>>")
     cut = materialize(cut if keep else cut.drop("kept", "removed"), "cut")
     for done in tables:
         forget(done)
-    _release(spark)
-    gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= window)
-    pick = lambda a, b, c: F.when(gone, a).otherwise(F.coalesce(b, c))
+    copy = F.col("copied").isNotNull()
+    pick = lambda a, b, c: F.when(copy & (F.col("n_bytes") >= window), a).otherwise(F.coalesce(b, c))
     joined = rows.join(copied, "key", "left").join(cut, "key", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     more = [
@@ -351,7 +524,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         "doc_id", "n_bytes",
         pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
-        pick(F.lit(nothing), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"), *more,
+        pick(F.lit(nothing), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
+        F.when(copy & F.col("passage"), 1).otherwise(F.coalesce("n_passages", F.lit(0))).cast("long").alias("n_passages"), *more,
     )
 
 
@@ -370,7 +544,12 @@ runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM (SELECT *, sum(
 gaps AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
          UNION ALL SELECT b.doc_id, coalesce(max(z), 0), any_value(length(h) // 2) FROM bytes b LEFT JOIN runs USING (doc_id) GROUP BY b.doc_id),
 kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z) AS left_ FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
-gone AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
-SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(left_)) AS kept_sha256
-FROM bytes JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+gone AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id),
+words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+strings AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 50], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 49)) AS i FROM words)),
+elsewhere AS (SELECT k FROM strings GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+begins AS (SELECT doc_id, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 51 THEN 0 ELSE 1 END AS b FROM strings WHERE k IN (SELECT k FROM elsewhere)),
+passages AS (SELECT doc_id, sum(b)::BIGINT AS n FROM begins GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(left_)) AS kept_sha256, coalesce(n, 0) AS n_passages
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN passages USING (doc_id)
 """

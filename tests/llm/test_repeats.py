@@ -1,12 +1,27 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from lorespark.llm import repeats
-from lorespark.llm.repeats import anchors, remove_repeats
+from lorespark.llm.repeats import byte_anchors, remove_repeats
+
+
+def passages(texts):
+    """The longest runs of 51 words and more that also stand in another text of the list."""
+    seen = defaultdict(set)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for n, w in enumerate(words):
+        for i in range(len(w) - 50):
+            seen[tuple(w[i : i + 51])].add(n)
+    out = []
+    for w in words:
+        hit = [i for i in range(len(w) - 50) if len(seen[tuple(w[i : i + 51])]) > 1]
+        out.append(sum(not k or i > hit[k - 1] + 51 for k, i in enumerate(hit)))
+    return out
 
 
 def brute(texts, window):
@@ -16,7 +31,7 @@ def brute(texts, window):
         for i in range(len(x) - window + 1):
             seen[hashlib.md5(x[i : i + window]).digest()] += 1
     out = []
-    for x in raw:
+    for x, n in zip(raw, passages(texts), strict=True):
         gone = np.zeros(len(x) + 1, int)
         for i in range(len(x) - window + 1):
             if seen[hashlib.md5(x[i : i + window]).digest()] > 1:
@@ -25,7 +40,7 @@ def brute(texts, window):
         gone = np.cumsum(gone[:-1]) > 0
         left = bytes(b for b, g in zip(x, gone, strict=True) if not g)
         spans = int(np.sum(gone & ~np.concatenate([[False], gone[:-1]]))) if len(x) else 0
-        out.append((len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
+        out.append((len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), n))
     return out
 
 
@@ -88,8 +103,8 @@ def test_kept_bytes(spark):
 def test_long_texts_are_taken_in_parts(monkeypatch):
     r = np.random.default_rng(1)
     data = r.integers(97, 123, 6000).astype(np.uint8)
-    whole = anchors(data, np.array([0, len(data)]))
+    whole = byte_anchors(data, np.array([0, len(data)]))
     monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 11) - 1))
-    parts = anchors(data, np.array([0, len(data)]))
+    parts = byte_anchors(data, np.array([0, len(data)]))
     cover = lambda a: sorted((p, s) for p, s0, s1 in zip(*a[2:], strict=True) for s in range(s0, s1 + 1))
     assert cover(whole)[0] and len(cover(parts)) == len(data) - 399
