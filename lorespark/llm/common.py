@@ -104,8 +104,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` with an order of rows that a task which runs again finds again: as it
     is if its plan only reads files, else written first (rows that come out of a
     shuffle may come in another order the next time)."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return materialize(df, name) if re.search(r"Exchange|Join|Window|Limit|Sample|InMemory|Scan ExistingRDD", plan) else df
+    nodes = re.findall(r"(?m)^[^A-Za-z]*(?:\(\d+\) )?(\w+)", df._jdf.queryExecution().executedPlan().toString())
+    still = {"FileScan", "Scan", "Project", "Filter", "ColumnarToRow", "LocalTableScan", "WholeStageCodegen", "InputAdapter"}
+    return df if set(nodes) <= still else materialize(df, name)
 
 
 def partitions(spark: SparkSession) -> int:
