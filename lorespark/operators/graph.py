@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from ..session import shared_dir
 
 
 def pairs(members: DataFrame, item: str = "item_id", entity: str = "entity_id") -> DataFrame:
@@ -104,12 +105,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) by smallest nodes.  Two contractions alternate until nothing
     changes: every node links its larger neighbours to its smallest one, then its
     smaller neighbours to it; the state is checkpointed each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        # a folder that all executors share is set on a cluster (spark.checkpoint.dir)
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_dir(edges.sparkSession)
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     every = edges.filter("a is not null and b is not null").select(u, v).distinct().checkpoint()
     links = every.filter("u <> v")

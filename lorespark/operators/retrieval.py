@@ -164,9 +164,18 @@ def recency_label(ranked: DataFrame, as_of: str) -> DataFrame:
 
 
 def rerank(ranked: DataFrame, given: DataFrame) -> DataFrame:
-    """Positions given from outside (``id, rank``) first, the rest in their order."""
+    """Positions given from outside (``id, rank``) first, the rest in their order;
+    ``place`` numbers the result."""
     position = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # a page of results
-    return ranked.withColumn("position", position).join(given, "id", "left").orderBy(F.coalesce(F.col("rank"), F.col("position") + 1_000_000))
+    own = ranked.withColumn("position", position).join(given, "id", "left")
+    place = F.row_number().over(Window.orderBy(F.coalesce(F.col("rank"), F.col("position") + 1_000_000), "position"))
+    return own.withColumn("place", place.cast("long")).drop("position", "rank")
+
+
+def first_contact(entities: DataFrame, query: str) -> DataFrame:
+    """The contact whose name stands first in the query, the longest of several there."""
+    at = F.instr(F.lit(query.lower()), F.lower("name"))
+    return entities.filter((F.length("name") > 0) & (at > 0)).orderBy(at, F.desc(F.length("name")), "id").limit(1)
 
 
 def match_entities(entities: DataFrame, query: str) -> DataFrame:

@@ -34,6 +34,11 @@ def select_where(items: DataFrame, **wanted: object) -> DataFrame:
     return items
 
 
+def lookup(items: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The items of many keys at once."""
+    return items.join(keys.select(*on).distinct(), on, "left_semi")
+
+
 def contact_rollup(items: DataFrame, contact: str = "entity_id") -> DataFrame:
     """Mentions and sources of each contact."""
     return items.groupBy(contact).agg(F.count("*").alias("mentions"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.countDistinct("project").alias("n_projects"))

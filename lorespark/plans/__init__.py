@@ -1,6 +1,6 @@
 """Named queries; importing a module registers its own."""
 
-from . import activity, alerts, briefing, context, graph, quality, retrieval
+from . import activity, alerts, briefing, context, graph, quality, readers, retrieval
 from .catalog import CATALOG
 
-__all__ = ["CATALOG", "activity", "alerts", "briefing", "context", "graph", "quality", "retrieval"]
+__all__ = ["CATALOG", "activity", "alerts", "briefing", "context", "graph", "quality", "readers", "retrieval"]

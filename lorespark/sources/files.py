@@ -26,7 +26,7 @@ def latest_outputs(files: DataFrame) -> DataFrame:
     """Of versioned outputs (name_v2.md) the highest version, then the newest; with
     a reference of 16 hex digits from the path."""
     stem = F.regexp_replace("name", r"\.[^.]+$", "")
-    version = F.coalesce(F.regexp_extract(stem, r"[-_]?v(\d+)$", 1).try_cast("int") if hasattr(F.Column, "try_cast") else F.expr("try_cast(regexp_extract(regexp_replace(name, '\\\\.[^.]+$', ''), '[-_]?v(\\\\d+)$', 1) AS INT)"), F.lit(0))
+    version = F.coalesce(F.regexp_extract(stem, r"[-_]?v(\d+)$", 1).try_cast("int"), F.lit(0))
     folder = F.regexp_replace("path", r"/[^/]+$", "")
     own = files.withColumn("stem", F.regexp_replace(stem, r"[-_]?v\d+$", "")).withColumn("version", version).withColumn("folder", folder)
     rank = F.row_number().over(Window.partitionBy("folder", "stem").orderBy(F.desc("version"), F.desc("modified"), "path"))
@@ -63,16 +63,18 @@ def calendar_events(events: DataFrame, most: int = 5) -> DataFrame:
     return own.filter(~(F.col("all_day") & F.lower("title").rlike(r"^(home|office|out of office|busy|focus time|working from home|wfh)$")))
 
 
-def session_logs(spark: SparkSession, path: str, tool_chars: int = 3_000) -> DataFrame:
+def session_logs(spark: SparkSession, path: str, tool_chars: int = 3_000, session: str = r"([^/]+)\.jsonl$") -> DataFrame:
     """Agent sessions from JSON lines: session, position, role, text.  Content is
-    text, or a list of parts of which text is kept and tool output shortened."""
-    raw = spark.read.text(path, wholetext=False).withColumn("file", F.input_file_name())
-    raw = raw.filter(~F.element_at(F.split("file", "/"), -1).rlike("^(agent|task)-"))
+    text, or a list of parts of which text is kept and tool output shortened.
+    ``session`` finds the session's name in a file's path; sessions whose names
+    begin with agent- or task- are left out."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=False).withColumn("file", F.input_file_name())
+    raw = raw.withColumn("session", F.regexp_extract("file", session, 1)).filter(~F.col("session").rlike("^(agent|task)-"))
     v = F.try_parse_json("value")
     parts = F.from_json(F.get_json_object("value", "$.message.content"), "array<struct<type: string, text: string, content: string>>")
     text = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin("text", "tool_result")), lambda p: F.when(p["type"] == "text", p["text"]).otherwise(F.substring(p["content"], 1, tool_chars))), "\n")
     role = F.get_json_object("value", "$.message.role")
-    out = raw.filter(v.isNotNull()).select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session_id"), F.get_json_object("value", "$.timestamp").alias("at"), role.alias("role"), F.coalesce(text, F.get_json_object("value", "$.message.content")).alias("text"))
+    out = raw.filter(v.isNotNull()).select(F.col("session").alias("session_id"), F.get_json_object("value", "$.timestamp").alias("at"), role.alias("role"), F.coalesce(text, F.get_json_object("value", "$.message.content")).alias("text"))
     return out.filter(F.col("role").isin("user", "assistant") & (F.col("text") != ""))
 
 
@@ -97,6 +99,53 @@ def incremental(rows: DataFrame, column: str, mark) -> DataFrame:
     return rows if mark is None else rows.filter(F.col(column) > F.lit(mark))
 
 
+def encode_vectors(rows: DataFrame, column: str, name: str = "blob") -> DataFrame:
+    """Vectors as little-endian float32 bytes; null stays null."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept = [c for c in rows.columns if c != column]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+
+    def work(batches):
+        for batch in batches:
+            blobs = [None if v is None else np.array(v, "<f4").tobytes() for v in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(blobs, pa.binary())], [*kept, name])
+
+    return rows.select(*kept, column).mapInArrow(work, f"{types}, {name} binary")
+
+
+def chat_export(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of exported chats (a JSON row a conversation with its messages), and
+    the bodies of the artifacts that they hold: chat_id, position, sender, text,
+    artifacts."""
+    schema = "uuid string, name string, chat_messages array<struct<sender: string, text: string>>"
+    rows = spark.read.schema(schema).json(path)
+    each = rows.select(F.col("uuid").alias("chat_id"), F.posexplode("chat_messages").alias("position", "m"))
+    bodies = F.regexp_extract_all("m.text", F.lit(r"(?s)<antArtifact\b[^>]*>(.*?)</antArtifact>"), F.lit(1))
+    return each.select("chat_id", "position", F.col("m.sender").alias("sender"), F.col("m.text").alias("text"), bodies.alias("artifacts"))
+
+
+def transcript_importance(meetings: DataFrame, minutes: int = 30) -> DataFrame:
+    """Meetings (``id, minutes, speakers``): longer ones with several speakers are high."""
+    return meetings.withColumn("importance", F.when((F.col("minutes") > minutes) & (F.col("speakers") > 1), "high").otherwise("normal"))
+
+
+def drive_files(files: DataFrame, as_of, days: int, most: int = 10_000) -> DataFrame:
+    """Files modified lately (``id, owner, modifier, modified, text``) with their text
+    export, which is cut at ``most`` characters."""
+    from ..functions.time import since
+
+    return files.filter(since("modified", as_of, days)).select("id", "owner", "modifier", "modified", F.substring("text", 1, most).alias("text"))
+
+
+def remember(items: DataFrame, text: str, at) -> DataFrame:
+    """The items (``id, source, text, at``) and one captured by hand, named by its text."""
+    spark = items.sparkSession
+    one = spark.range(1).select(F.concat(F.lit("manual:"), F.md5(F.lit(text).cast("binary"))).alias("id"), F.lit("manual").alias("source"), F.lit(text).alias("text"), F.lit(at).cast("timestamp_ntz").alias("at"))
+    return items.unionByName(one)
+
+
 def decode_vectors(rows: DataFrame, column: str, name: str = "embedding") -> DataFrame:
     """Vectors stored as little-endian float32 bytes, as arrays; what isn't whole
     numbers of floats, or null, gives null.  Arrow batches, one numpy view each."""

@@ -113,3 +113,75 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregation over what is there; its whole result replaces the table at
+    ``path`` with each micro-batch, and a further run goes on from the checkpoint."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path)
+
+
+class VersionedTable:
+    """A keyed Parquet table that micro-batches bring up to date.  A batch writes the
+    next version beside the last, under its own number: one that runs again after a
+    failure writes the same version again, so nothing counts twice."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
+        self.spark, self.root, self.schema, self.version = spark, root, schema, -1
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.version if version is None else version
+        return self.spark.createDataFrame([], self.schema) if version < 0 else self.spark.read.schema(self.schema).parquet(f"{self.root}/{version}")
+
+    def sync(self, stream: DataFrame, checkpoint: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """One tick: the new table is ``change(table, new rows)`` for each micro-batch."""
+
+        def write(df: DataFrame, batch: int) -> None:
+            change(self.read(batch - 1), df).write.mode("overwrite").parquet(f"{self.root}/{batch}")
+            self.version = batch
+
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return self.read()
+
+
+def thread_update(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """Threads (``thread_id, messages, last_position, awaiting_reply``) after further
+    messages (``thread_id, position, sent``): counts grow, replays of a position that
+    is not after the last are left out, and the tag follows the last message."""
+    known = threads.select("thread_id", F.col("messages").alias("had"), "last_position", F.col("awaiting_reply").alias("was"))
+    new = messages.dropDuplicates(["thread_id", "position"]).join(known.select("thread_id", "last_position"), "thread_id", "left")
+    new = new.filter(F.col("last_position").isNull() | (F.col("position") > F.col("last_position")))
+    new = new.groupBy("thread_id").agg(F.count("*").alias("more"), F.max("position").alias("last"), F.max_by(~F.col("sent"), "position").alias("waits"))
+    return known.join(new, "thread_id", "full_outer").select(
+        "thread_id", (F.coalesce("had", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("messages"), F.coalesce("last", "last_position").alias("last_position"), F.coalesce("waits", "was").alias("awaiting_reply")
+    )
+
+
+# Hours between runs, and how long a lock holds.
+RUN_GAP_HOURS, LOCK_HOURS = 4, 1
+
+
+def may_run(state: DataFrame, as_of: str, gap: float = RUN_GAP_HOURS, lock: float = LOCK_HOURS) -> DataFrame:
+    """Jobs (``job, completed_at, locked_at``) and whether each may start: its last run
+    is ``gap`` hours old or none, and no lock younger than ``lock`` hours holds it."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    old = lambda c, hours: F.col(c).isNull() | (F.col(c) <= now - F.expr(f"INTERVAL '{int(hours * 60)}' MINUTE"))
+    return state.withColumn("ready", old("completed_at", gap) & old("locked_at", lock))
+
+
+def due_steps(steps: DataFrame, as_of: str) -> DataFrame:
+    """Steps (``step, every_hours, last_run``) whose cadence has passed."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    return steps.filter(F.col("last_run").isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_run").cast("timestamp")) > F.col("every_hours") * 3_600_000_000))
+
+
+def unexpired(contexts: DataFrame, as_of: str, minutes: float) -> DataFrame:
+    """Cached contexts (``key, made_at``, any more) that still hold; keys in any case."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    own = contexts.withColumn("key", F.lower("key"))
+    return own.filter(F.col("made_at") + F.expr(f"INTERVAL '{int(minutes * 60)}' SECOND") >= now)
