@@ -150,3 +150,11 @@ def frontmatter(text: Column) -> Column:
     """The key-value map between leading --- lines."""
     body = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1)
     return F.when(body != "", F.map_from_entries(F.transform(F.filter(F.split(body, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))))))
+
+
+def set_field(json: Column, name: str, value: str) -> Column:
+    """The JSON object with a top field set to a JSON value; text that is no object
+    becomes one of that field alone."""
+    rest = F.map_filter(F.from_json(json, "map<string, variant>"), lambda k, v: k != name)
+    own = F.create_map(F.lit(name), F.parse_json(F.lit(value)))
+    return F.to_json(F.map_concat(F.coalesce(rest, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), own))

@@ -171,3 +171,9 @@ def project_pipeline(items: DataFrame, as_of: str, least: int = 3) -> DataFrame:
     trend = F.when(F.col("week") > F.col("prior") * 1.5, "accelerating").when((F.col("week") > 0) & (F.col("week") >= F.col("prior") * 0.5), "steady").when(F.col("week") > 0, "decelerating").otherwise("stalled")
     total = own.agg(F.sum("items").alias("total"))
     return own.crossJoin(F.broadcast(total)).filter(F.col("items") >= least).select("project", "items", "week", "prior", "people", trend.alias("trend"), half_up(100 * F.col("items") / F.col("total")).alias("share"))
+
+
+def anomalies(baseline: DataFrame, severity: str | None = None) -> DataFrame:
+    """Entities whose communication departs from its baseline, of one severity if named."""
+    own = baseline.filter(F.col("anomaly").isNotNull())
+    return own if severity is None else own.filter(F.col("severity") == severity)

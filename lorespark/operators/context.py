@@ -139,14 +139,126 @@ def meeting_prep(meetings: DataFrame, items: DataFrame, commitments: DataFrame,
     return who.join(last, "entity_id", "left").join(open_, "entity_id", "left").select("meeting_id", "entity_id", F.coalesce(F.size("items"), F.lit(0)).alias("items"), F.coalesce("open", F.lit(0)).alias("open"))
 
 
-def hierarchical(themes: DataFrame, semantics: DataFrame, query: Column, top_themes: int = 3, top_semantics: int = 15) -> DataFrame:
-    """Items of the best semantics (``id, theme_id, vector, items``) of the themes
-    (``id, vector``) nearest to a query vector, each by its semantic's cosine."""
+def hierarchical(themes: DataFrame, semantics: DataFrame, episodes: DataFrame, items: DataFrame, query: DataFrame, top_themes: int = 3, top_semantics: int = 15, sure: float = 0.5) -> DataFrame:
+    """Items (``id, score``) of the best facts (``id, theme_id, embedding, items,
+    episodes``) of the themes (``id, embedding``) nearest to the query's vector, and if the
+    facts' mean cosine is below ``sure``, those of all their episodes (``id, items``).
+    An item's score is its own vector's cosine (``items``: id, embedding), else .5."""
     from ..functions.vector import cosine
 
-    best = themes.select(F.col("id").alias("theme_id"), cosine(F.col("vector"), query).alias("t")).orderBy(F.desc("t"), "theme_id").limit(top_themes)
-    near = semantics.join(best, "theme_id").select("id", "items", cosine(F.col("vector"), query).alias("score")).orderBy(F.desc("score"), "id").limit(top_semantics)
-    return near.select(F.explode("items").alias("id"), "score").groupBy("id").agg(F.max("score").alias("score"))
+    one = F.broadcast(query.select(F.col("embedding").alias("_query")).limit(1))
+    near = lambda rows: rows.crossJoin(one).withColumn("score", cosine(F.col("embedding"), F.col("_query")))  # noqa: E731  one row
+    best = near(themes).orderBy(F.desc("score"), "id").limit(top_themes).select(F.col("id").alias("theme_id"))
+    facts = near(semantics.join(best, "theme_id", "left_semi"))
+    first = facts.orderBy(F.desc("score"), "id").limit(top_semantics).select(F.explode("items").alias("id"))
+    unsure = F.broadcast(facts.agg((F.coalesce(F.avg("score"), F.lit(0.0)) < sure).alias("unsure")).filter("unsure"))  # one row or none
+    wider = facts.select(F.explode("episodes").alias("id")).distinct().join(episodes, "id").crossJoin(unsure).select(F.explode("items").alias("id"))
+    found = first.unionByName(wider).distinct()
+    scored = near(found.join(items.select("id", "embedding"), "id", "left"))
+    return scored.select("id", F.coalesce("score", F.lit(0.5)).alias("score"))
+
+
+def newest(rows: DataFrame, k: int, at: str = "at") -> DataFrame:
+    return rows.orderBy(F.desc(at), "id").limit(k)
+
+
+def moved_on(rows: DataFrame, column: str, to: Column) -> DataFrame:
+    """A date that only moves forward; one that is missing begins there."""
+    return rows.withColumn(column, F.greatest(F.coalesce(column, to), to))
+
+
+def topic_commitments(commitments: DataFrame, patterns: list[str], columns: list[str], k: int = 10) -> DataFrame:
+    """Commitments in which a topic, entity or project stands anywhere; overdue first."""
+    hit = F.lit(False)
+    for p in patterns:
+        for c in columns:
+            hit = hit | F.coalesce(F.lower(c).contains(p.lower()), F.lit(False))
+    return commitments.filter(hit).orderBy(ordinal("state", {"overdue": 0, "active": 1, "detected": 2}, 3), "due_date", "id").limit(k)
+
+
+def agent_feed(items: DataFrame, agent: str | None = None, k: int = 20) -> DataFrame:
+    """What agents reported, by source or tag, of one agent if named; newest first."""
+    own = items.filter(F.col("source").isin("agent-notification", "task") | F.coalesce(F.array_contains("tags", "agent-report"), F.lit(False)))
+    if agent is not None:
+        own = own.filter(F.array_contains("tags", f"agent:{agent}"))
+    return newest(own, k, "source_date")
+
+
+def reextraction_backlog(items: DataFrame, k: int) -> DataFrame:
+    """Items that no extractor or only the first one has read, newest first."""
+    return newest(items.filter(F.col("extraction_version").isNull() | (F.col("extraction_version") == 1)), k, "source_date")
+
+
+def narrative_inputs(profiles: DataFrame, acted: DataFrame, calendar: DataFrame, as_of: str, day: str, days: int = 2, k: int = 10) -> DataFrame:
+    """(kind, id, weight): profiles to surface (``id, weight``), the newest actions of the
+    last days and what stands in the day's calendar (``id, at``)."""
+    row = lambda rows, kind, weight: rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), weight.alias("weight"))
+    none = F.lit(None).cast("long")
+    today = calendar.filter(F.to_date("at") == F.to_date(at(day)))
+    return row(profiles, "profile", F.col("weight")).unionByName(row(newest(acted.filter(since("at", as_of, days)), k), "acted", none)).unionByName(row(today, "today", none))
+
+
+def dossier(near: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, part, place): neighbours of a query's vector (``id, score``), then the text
+    hits (``id, place``) that these lack."""
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long")  # a page of results
+    one = near.select("id", F.lit("vector").alias("part"), place.alias("place"))
+    return one.unionByName(hits.join(near, "id", "left_anti").select("id", F.lit("text").alias("part"), "place"))
+
+
+def project_brief(own: DataFrame, hits: DataFrame) -> DataFrame:
+    """(kind, name, n) of a project's items and of the text hits that it lacks: people,
+    sources and decisions, and where the items come from.
+
+    Both: id, source, contacts, decisions (arrays)."""
+    columns = ["id", "source", "contacts", "decisions"]
+    every = own.select(*columns, F.lit("project").alias("part")).unionByName(hits.join(own, "id", "left_anti").select(*columns, F.lit("text").alias("part")))
+    count = lambda kind, name: every.select(F.lit(kind).alias("kind"), name.alias("name")).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    return count("person", F.explode("contacts")).unionByName(count("source", F.col("source"))).unionByName(count("decision", F.explode("decisions"))).unionByName(count("item", F.col("part")))
+
+
+def topics(entities: DataFrame, threads: DataFrame, said: str, k: int = 5, known: int = 200) -> DataFrame:
+    """(kind, name, id, place) of what a text names: of the ``known`` people with the
+    longest names at most ``k`` whose name, or first name of over three letters, stands in
+    it, and the projects of active threads (``project, status``)."""
+    low = F.lit(said.lower())
+    name, first = F.lower("name"), F.substring_index(F.lower("name"), " ", 1)
+    longest = entities.filter(~F.col("dismissed")).orderBy(F.desc(F.length("name")), "id").limit(known)
+    found = longest.filter(low.contains(name) | ((F.length(first) > 3) & low.contains(first)))
+    by = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")  # noqa: E731  at most ``known`` rows, or the projects
+    one = found.select(F.lit("entity").alias("kind"), "name", "id", by(F.desc(F.length("name")), F.col("id")).alias("place")).filter(F.col("place") <= k)
+    named = threads.filter((F.col("status") == "active") & low.contains(F.lower("project"))).select("project").distinct()
+    return one.unionByName(named.select(F.lit("project").alias("kind"), F.col("project").alias("name"), F.lit(None).cast("long").alias("id"), by(F.col("project")).alias("place")))
+
+
+def follow_up_questions(found: DataFrame, entities: DataFrame, edges: DataFrame, threads: DataFrame, as_of: str) -> DataFrame:
+    """(place, question): about the first person's nearest one, another project, and what
+    has lain longest of the active threads (``title, project, status, latest``)."""
+    first = found.filter("kind = 'entity' and place = 1").select(F.col("id").alias("who"))
+    both = edges.select("a", "b", "n").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    near = both.join(F.broadcast(first), F.col("a") == F.col("who")).orderBy(F.desc("n"), "b").limit(1)
+    near = near.join(entities.select("id", "name"), F.col("b") == F.col("id")).select(F.lit(1).alias("place"), F.concat(F.lit("What about "), "name", F.lit("?")).alias("question"))
+    active = threads.filter((F.col("status") == "active") & F.col("project").isNotNull())
+    named = found.filter("kind = 'project' and place = 1").select(F.col("name").alias("project"))
+    other = active.groupBy("project").agg(F.max("latest").alias("latest")).join(F.broadcast(named), "project", "left_anti").orderBy(F.desc("latest"), "project").limit(1)
+    other = other.join(F.broadcast(named.select(F.lit(True).alias("named")))).select(F.lit(2).alias("place"), F.concat(F.lit("How does this affect "), "project", F.lit("?")).alias("question"))  # one row or none
+    stale = active.filter(F.col("latest") < ago(as_of, 7)).orderBy("latest", "title").limit(1)
+    return near.unionByName(other).unionByName(stale.select(F.lit(3).alias("place"), F.concat(F.lit("What should I do about "), "title", F.lit("?")).alias("question")))
+
+
+def chat_context(due: DataFrame, named: DataFrame, messages: DataFrame, hits: DataFrame, actions: DataFrame, as_of: str, last: int = 20) -> DataFrame:
+    """(part, ref, place): predictions to check (``id, check_by``), people named, the last
+    messages (``ref, at``), search hits (``id, place``) and waiting actions (``id, at``)."""
+    by = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
+    row = lambda rows, part, ref, place: rows.select(F.lit(part).alias("part"), ref.cast("string").alias("ref"), place.alias("place"))
+    said = messages.orderBy(F.desc("at"), "ref").limit(last)
+    return (
+        row(due.filter(F.col("check_by") <= at(as_of)), "prediction", F.col("id"), by("check_by", "id"))
+        .unionByName(row(named, "person", F.col("name"), F.col("place")))
+        .unionByName(row(said, "message", F.col("ref"), by(F.desc("at"), "ref")))
+        .unionByName(row(hits, "search", F.col("id"), F.col("place")))
+        .unionByName(row(actions, "action", F.col("id"), by("at", "id")))
+    )
 
 
 def deep_context(primary: DataFrame, mentions: DataFrame, items: DataFrame, most_entities: int = 5, k: int = 10) -> DataFrame:

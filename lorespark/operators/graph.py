@@ -154,14 +154,41 @@ def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     matches: exact name, address, normal name, alias, prefix (not dismissed)."""
     e = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("e_name"), F.col("normal").alias("e_normal"), F.col("email").alias("e_email"), "dismissed")
     tier = lambda found, k: found.select("name", "entity_id", F.lit(k).alias("tier"))
+    latest = entities.columns.count("last_seen") and entities.select(F.col("id").alias("entity_id"), "last_seen")
     every = (
         tier(names.join(e, F.col("name") == F.col("e_name")), 1)
         .unionByName(tier(names.join(e, F.lower("email") == F.lower("e_email")), 2))
         .unionByName(tier(names.join(e, F.col("normal") == F.col("e_normal")), 3))
         .unionByName(tier(names.join(aliases.select("entity_id", "alias"), F.col("normal") == F.col("alias")), 4))
-        .unionByName(tier(names.filter(~F.col("name").contains("@")).join(e.filter(~F.col("dismissed")), (F.substring("normal", 1, 3) == F.substring("e_normal", 1, 3)) & F.col("e_normal").startswith(F.col("normal"))), 5))
+        .unionByName(tier(names.filter(~F.col("name").contains("@")).join(e.filter(~F.col("dismissed")), (F.substring("normal", 1, 3) == F.substring("e_normal", 1, 3)) & F.col("e_normal").startswith(F.col("normal")) & ~F.col("e_name").contains("@")), 5))
+    )
+    order = [F.col("tier")]
+    if latest:  # of several that a prefix fits, the one seen last
+        every = every.join(latest, "entity_id")
+        order.append(F.when(F.col("tier") == 5, F.col("last_seen")).desc_nulls_last())
+    place = F.row_number().over(Window.partitionBy("name").orderBy(*order, "entity_id"))
+    return every.withColumn("place", place).filter("place = 1").select("name", "entity_id", "tier")
+
+
+def contact_graph(members: DataFrame, contact, items: DataFrame, relations: DataFrame) -> DataFrame:
+    """(kind, name, via, n): a contact's own items, those one hop away with the (least)
+    contact they come by, and counts of projects of both and of the relations of whom
+    the contact meets.
+
+    ``items``: item_id, project; ``relations``: entity_id, relation."""
+    own = members.filter(F.col("entity_id") == contact).select("item_id").distinct()
+    met = members.filter(F.col("entity_id") != contact).join(own, "item_id", "left_semi")
+    via = met.select(F.col("entity_id").alias("via")).distinct()
+    hop = members.join(via, F.col("entity_id") == F.col("via")).groupBy("item_id").agg(F.min("via").alias("via")).join(own, "item_id", "left_anti")
+    row = lambda rows, kind, name, via=F.lit(None).cast("long"), n=F.lit(1): rows.select(F.lit(kind).alias("kind"), name.cast("string").alias("name"), via.cast("long").alias("via"), n.cast("long").alias("n"))
+    both = own.unionByName(hop.select("item_id")).join(items, "item_id").groupBy("project").agg(F.count("*").alias("n"))
+    kinds = met.join(relations, "entity_id").groupBy("relation").agg(F.count("*").alias("n"))
+    return (
+        row(own, "direct", F.col("item_id"))
+        .unionByName(row(hop, "hop", F.col("item_id"), F.col("via")))
+        .unionByName(row(both, "project", F.col("project"), n=F.col("n")))
+        .unionByName(row(kinds, "relation", F.col("relation"), n=F.col("n")))
     )
-    return every.groupBy("name").agg(F.min(F.struct("tier", "entity_id")).alias("m")).select("name", "m.entity_id", "m.tier")
 
 
 def phantom_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -171,8 +198,10 @@ def phantom_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def centroids(vectors: DataFrame, by: str = "project") -> DataFrame:
     """The element-wise mean of each group."""
-    cells = vectors.select(by, F.posexplode("embedding").alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return cells.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vectors.groupBy(by).agg(vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("centroid"))
 
 
 def episodes(items: DataFrame) -> DataFrame:

@@ -187,6 +187,42 @@ def match_entities(entities: DataFrame, query: str) -> DataFrame:
 
 
 def passages(text: Column, needle: str, around: int = 250, most: int = 5) -> Column:
-    """Windows around the hits of a word in a text, apart from each other."""
-    pattern = f"(?is).{{0,{around}}}" + "\\Q" + needle + "\\E" + f".{{0,{around}}}"
-    return F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, most)
+    """Windows of ``around`` characters on both sides of the first hits of a word (in any
+    case), which don't overlap; windows may."""
+    n = len(needle)
+    parts = F.split(F.lower(text), "\\Q" + needle.lower() + "\\E", -1)
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + n).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    hits = F.aggregate(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(most))), start, step, lambda s: s["found"])
+
+    def window(at: Column) -> Column:
+        first = F.greatest(at - around, F.lit(0))
+        return F.substring(text, first + 1, F.least(at + n + around, F.length(text)) - first)
+
+    return F.when(F.size(parts) > 1, F.transform(hits, window)).otherwise(F.array().cast("array<string>"))
+
+
+def head_and_tail(text: Column, whole: int = 1500, part: int = 800) -> Column:
+    """A long text's begin and end, and how much is left out."""
+    gap = F.concat(F.lit("...["), (F.length(text) - 2 * part).cast("string"), F.lit(" chars omitted]..."))
+    return F.when(F.length(text) <= whole, text).otherwise(F.concat(F.substring(text, 1, part), gap, F.right(text, F.lit(part))))
+
+
+def page(text: Column, offset: int, limit: int) -> Column:
+    return F.substring(text, offset + 1, limit)
+
+
+def artifact_search(artifacts: DataFrame, needle: str) -> DataFrame:
+    """Of the latest versions, those with the words in title or content."""
+    from ..functions.text import like_any
+
+    return artifacts.filter(F.col("is_latest") & like_any(["title", "content"], needle))
+
+
+def title_links(texts: DataFrame, message: DataFrame, least: int = 2, sure: int = 3) -> DataFrame:
+    """(id, relevance) of texts (``id, title``) of which a message (one row, ``message``)
+    holds two title words of over three letters; three make it sure."""
+    ws = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", ""), " "), lambda w: F.length(w) > 3))
+    one = F.broadcast(message.select(F.lower("message").alias("_said")).limit(1))
+    hits = F.size(F.filter(ws, lambda w: F.col("_said").contains(w)))
+    return texts.crossJoin(one).withColumn("_hits", hits).filter(F.col("_hits") >= least).select("id", F.when(F.col("_hits") >= sure, 1.0).otherwise(0.7).alias("relevance"))  # one row

@@ -39,6 +39,11 @@ def lookup(items: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return items.join(keys.select(*on).distinct(), on, "left_semi")
 
 
+def with_bare_columns(rows: DataFrame, keys: list[str], bare: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates by key, with columns that the key determines."""
+    return rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in bare), *aggregates)
+
+
 def contact_rollup(items: DataFrame, contact: str = "entity_id") -> DataFrame:
     """Mentions and sources of each contact."""
     return items.groupBy(contact).agg(F.count("*").alias("mentions"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.countDistinct("project").alias("n_projects"))

@@ -97,18 +97,6 @@ def team_activity(t: Tables) -> DataFrame:
     return team.join(items, "entity_id", "left").join(owed, "entity_id", "left").fillna(0, ["items", "open"])
 
 
-@query(
-    "C28",
-    f"""SELECT 'profile' AS kind, count(*) AS n FROM entities WHERE label = 'partner' AND NOT dismissed UNION ALL SELECT 'acted', count(*) FROM knowledge WHERE source = 'purchase' AND source_date >= {_T} - INTERVAL 2 DAY
-UNION ALL SELECT 'today', count(*) FROM orders WHERE o_orderdate::DATE = {_O}::DATE""",
-)
-def narrative_inputs(t: Tables) -> DataFrame:
-    n = lambda rows, kind: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    acted = t.knowledge().filter((F.col("source") == "purchase") & since("source_date", NOW, 2))
-    today = t.read("orders").filter(F.to_date("o_orderdate") == F.to_date(at(ORDERS_NOW)))
-    return n(t.entities().filter("label = 'partner' and not dismissed"), "profile").unionByName(n(acted, "acted")).unionByName(n(today, "today"))
-
-
 @query(
     "R29",
     f"""SELECT id, place, CASE WHEN d > 30 THEN 'stale' WHEN d > 14 THEN 'ageing' ELSE 'fresh' END AS note FROM (SELECT id, row_number() OVER (ORDER BY value DESC, id) AS place, (epoch_us({_T}) - epoch_us(source_date)) / 86400000000.0 AS d FROM knowledge) WHERE place <= 15""",
@@ -120,7 +108,7 @@ def answer_context(t: Tables) -> DataFrame:
     return ranked.select("id", F.col("rank").alias("place"), F.when(age > 30, "stale").when(age > 14, "ageing").otherwise("fresh").alias("note"))
 
 
-@query("S13 S26", f"SELECT id, length(substring(raw_content, 1, 10000)) AS chars, source FROM texts WHERE day >= DATE '2024-01-01'")
+@query("S26", f"SELECT id, length(substring(raw_content, 1, 10000)) AS chars, source FROM texts WHERE day >= DATE '2024-01-01'")
 def recent_documents(t: Tables) -> DataFrame:
     own = t.texts().filter(F.col("day") >= F.lit("2024-01-01").cast("date"))
     return own.select("id", F.length(F.substring("raw_content", 1, 10_000)).cast("long").alias("chars"), "source")

@@ -13,19 +13,6 @@ from .catalog import query
 _T, _O = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{ORDERS_NOW}'"
 
 
-@query("G5 G6", "SELECT lower(trim(role)) AS name, min(conv_id) AS first_seen, max(conv_id) AS last_seen, count(DISTINCT conv_id) AS mentions FROM conversations GROUP BY 1")
-def graph_entities(t: Tables) -> DataFrame:
-    own = t.read("conversations").groupBy("conv_id").agg(F.collect_set("role").alias("contacts"))
-    items = own.select(F.col("conv_id").alias("id"), F.col("conv_id").alias("at"), F.lit(None).cast("boolean").alias("waiting"), "contacts")
-    return context.entity_rows(context.mention_rows(items)).drop("entity_id")
-
-
-@query("G11", "SELECT count(*) AS edges FROM (SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM members a JOIN members b ON a.item_id = b.item_id AND a.entity_id < b.entity_id JOIN supplier x ON x.s_suppkey = a.entity_id JOIN supplier y ON y.s_suppkey = b.entity_id WHERE x.s_acctbal >= 0 AND y.s_acctbal >= 0)")
-def edges_after_dismissal(t: Tables) -> DataFrame:
-    gone = t.read("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("entity_id"))
-    return context.dismiss(graph.cooccurrence_edges(t.members()), gone).agg(F.count("*").alias("edges"))
-
-
 @query("G12", "SELECT e.id, coalesce(CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' END, label) AS label FROM entities e LEFT JOIN customer ON c_custkey = e.id")
 def label_override(t: Tables) -> DataFrame:
     own = t.read("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "builder").alias("user_label"))
@@ -38,11 +25,6 @@ def signal_relabel(t: Tables) -> DataFrame:
     return context.signal_relabel(t.read("events").select(F.col("user_id").alias("entity_id"), signal.alias("signal")))
 
 
-@query("G18", "SELECT count(*) AS pairs FROM vectors a JOIN vectors b ON a.project = b.project AND a.id < b.id")
-def part_of_pairs(t: Tables) -> DataFrame:
-    return context.same_project(t.vectors()).agg(F.count("*").alias("pairs"))
-
-
 @query(
     "G32",
     """WITH n AS (SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT p_type || ' ' || p_brand FROM part), m AS (SELECT a.name, b.name AS longer FROM n a JOIN n b ON substring(lower(a.name), 1, 4) = substring(lower(b.name), 1, 4) AND length(b.name) > length(a.name) AND contains(lower(b.name), lower(a.name)))
@@ -66,11 +48,6 @@ def appended_positions(t: Tables) -> DataFrame:
     return context.append_positions(c.filter("role = 'user'"), c.filter("role = 'assistant'").select("thread_id", "id", "at")).select("thread_id", "id", "position")
 
 
-@query("G30", "SELECT count(DISTINCT a) AS texts FROM (SELECT md5(text) AS a FROM documents)")
-def semantic_dedup_exact(t: Tables) -> DataFrame:
-    return t.read("documents").agg(F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("texts"))
-
-
 @query("C6", "SELECT entity_id, name, mentions FROM (SELECT entity_id, count(*) AS mentions FROM mentions GROUP BY 1 HAVING count(*) >= 5) JOIN entities ON id = entity_id WHERE label IS NULL AND NOT dismissed ORDER BY mentions DESC, entity_id LIMIT 20")
 def classification_candidates(t: Tables) -> DataFrame:
     return context.candidates(t.mentions(), t.entities())
@@ -153,13 +130,13 @@ def deep_context(t: Tables) -> DataFrame:
     return context.deep_context(primary, t.mentions(), t.knowledge()).select("id")
 
 
-@query("C21 C29", "SELECT o_orderkey AS id, o_orderkey + 1 IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AS over FROM orders")
+@query("C21", "SELECT o_orderkey AS id, o_orderkey + 1 IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AS over FROM orders")
 def decision_log(t: Tables) -> DataFrame:
     own = t.read("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") - 1).alias("supersedes"))
     return context.decision_log(own).select("id", (~F.col("active")).alias("over"))
 
 
-@query("C22 C23 W14", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 3 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 50")
+@query("C22 W14", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 3 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 50")
 def question_queue(t: Tables) -> DataFrame:
     priority = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("normal")
     own = t.read("orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), priority.alias("priority"), F.col("o_orderdate").alias("created_at"))
@@ -212,13 +189,7 @@ def flattened_lines(t: Tables) -> DataFrame:
     return own
 
 
-@query("S19 J16", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
-def insert_ignore(t: Tables) -> DataFrame:
-    own = t.read("events").select("user_id", "event_type")
-    return rollups.insert_ignore(own.filter("event_type = 'view'").distinct(), own, ["user_id", "event_type"]).agg(F.count("*").alias("n"))
-
-
-@query("R25 R28 C20", "SELECT id FROM texts WHERE importance = 'high' AND project = 'fr' AND contains(lower(raw_content), 'tion') ORDER BY id LIMIT 30")
+@query("R25", "SELECT id FROM texts WHERE importance = 'high' AND project = 'fr' AND contains(lower(raw_content), 'tion') ORDER BY id LIMIT 30")
 def filtered_search(t: Tables) -> DataFrame:
     from ..functions.text import like_any
 
@@ -230,18 +201,6 @@ def next_due(t: Tables) -> DataFrame:
     return t.commitments().filter("state = 'active'").orderBy(F.asc_nulls_last("due_date"), "id").limit(40).select("id")
 
 
-@query("R17")
-def hierarchical_search(t: Tables) -> DataFrame:
-    v = t.vectors()
-    themes = graph.centroids(v).select(F.col("project").alias("id"), F.col("centroid").alias("vector"))
-    semantics = v.select("id", F.col("project").alias("theme_id"), F.col("embedding").alias("vector"), F.array("id").alias("items"))
-    one = v.filter("id = 0").select(F.col("embedding").alias("q"))
-    ready = themes.crossJoin(F.broadcast(one))  # one row
-    query_vector = F.col("q")
-    near = context.hierarchical(ready.withColumn("vector", F.col("vector")), semantics.crossJoin(F.broadcast(one)), query_vector)
-    return retrieval.top(near, 20)
-
-
 @query("C3 C4", f"SELECT project, source, count(*) AS n FROM knowledge WHERE source_date >= {_T} - INTERVAL 3 DAY AND importance IN ('critical', 'high') GROUP BY ALL")
 def briefing_selection(t: Tables) -> DataFrame:
     own = rollups.select_where(t.knowledge(), importance=["critical", "high"]).filter(since("source_date", NOW, 3))

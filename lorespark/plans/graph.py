@@ -54,7 +54,7 @@ def supersedes_pairs(t: Tables) -> DataFrame:
 
 
 @query(
-    "G23 G24",
+    "G23",
     """
 WITH e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey - 1 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 one AS (SELECT DISTINCT b AS node FROM s WHERE a = 7 AND b <> 7), two AS (SELECT DISTINCT s.b AS node FROM s JOIN one ON s.a = one.node WHERE s.b <> 7 AND s.b NOT IN (SELECT node FROM one))
@@ -92,11 +92,6 @@ def thread_candidates(t: Tables) -> DataFrame:
     return graph.thread_candidates(t.part_members(), items)
 
 
-@query("A15 G28", "SELECT project, round(avg(x), 6) AS first, round(min(n), 6)::DOUBLE AS size FROM (SELECT project, embedding[1] AS x, len(embedding)::DOUBLE AS n FROM vectors) GROUP BY 1")
-def theme_centroids(t: Tables) -> DataFrame:
-    return graph.centroids(t.vectors()).select("project", F.round(F.col("centroid")[0], 6).alias("first"), F.size("centroid").cast("double").alias("size"))
-
-
 @query(
     "G28",
     """
@@ -121,21 +116,6 @@ def phantom_edges_audit(t: Tables) -> DataFrame:
     return audit(phantom=graph.phantom_edges(graph.cooccurrence_edges(t.members()), t.members()))
 
 
-@query(
-    "G4 J5",
-    """
-WITH n AS (SELECT DISTINCT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'user_' || (c_custkey % 200) WHEN 1 THEN 'USER_' || (c_custkey % 200) ELSE 'nobody' || c_custkey END AS name FROM customer)
-SELECT name, min(id) AS entity_id, CASE WHEN name LIKE 'user%' THEN 1 ELSE 3 END AS tier FROM (SELECT DISTINCT name FROM n) JOIN entities e ON lower(n.name) = e.name GROUP BY 1, 3""".replace("(SELECT DISTINCT name FROM n) JOIN", "(SELECT DISTINCT name FROM n) n JOIN").replace("SELECT name, min(id)", "SELECT n.name, min(id)").replace("WHEN name LIKE", "WHEN n.name LIKE"),
-)
-def entity_resolution(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    name = F.when(k % 4 == 0, F.concat(F.lit("user_"), (k % 200).cast("string"))).when(k % 4 == 1, F.concat(F.lit("USER_"), (k % 200).cast("string"))).otherwise(F.concat(F.lit("nobody"), k.cast("string")))
-    names = t.read("customer").select(name.alias("name")).distinct().select("name", F.lower("name").alias("normal"), F.lit(None).cast("string").alias("email"))
-    entities = t.entities().select("id", "name", F.col("name").alias("normal"), F.lit(None).cast("string").alias("email"), "dismissed")
-    none = t.entities().select(F.col("id").alias("entity_id"), F.lit("").alias("alias")).limit(0)
-    return graph.resolve(names, entities, none).filter("tier <= 3")
-
-
-@query("G29 G31")
+@query("G29")
 def kmeans_themes(t: Tables) -> DataFrame:
     return graph.kmeans(t.vectors(), 5)

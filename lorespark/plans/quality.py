@@ -147,7 +147,7 @@ def page_candidates(t: Tables) -> DataFrame:
     return n.filter("items >= 3").orderBy(F.desc("items"), "entity_id").limit(16)
 
 
-@query("Q28 Q29", f"SELECT count(*) AS n FROM knowledge WHERE source_date < {_T} - INTERVAL 14 DAY AND importance <> 'critical'")
+@query("Q28", f"SELECT count(*) AS n FROM knowledge WHERE source_date < {_T} - INTERVAL 14 DAY AND importance <> 'critical'")
 def stale_count(t: Tables) -> DataFrame:
     return t.knowledge().filter(~since("source_date", NOW, 14) & (F.col("importance") != "critical")).agg(F.count("*").alias("n"))
 
@@ -157,27 +157,9 @@ def claim_counts(t: Tables) -> DataFrame:
     return t.read("documents").select(F.col("doc_id").alias("id"), F.size(quality.claims(F.col("text"))).cast("long").alias("claims"))
 
 
-@query("S7", "SELECT doc_id AS id, len(range(1, greatest(1, length(text) - 500)::BIGINT + 1, 3500)) AS chunks, length(substring(text, 1, 4000)) AS first FROM documents")
-def text_chunks(t: Tables) -> DataFrame:
-    parts = text.chunks(F.col("text"))
-    return t.read("documents").select(F.col("doc_id").alias("id"), F.size(parts).cast("long").alias("chunks"), F.length(parts[0]).cast("long").alias("first"))
-
-
 _INTENT = " ".join(f"WHEN regexp_matches(m, '{p.replace(chr(39), chr(39) * 2)}') THEN '{v}'" for v, p in text.INTENTS)
 
 
-@query(
-    "C15 C17",
-    f"""WITH x AS (SELECT conv_id, turn, trim(lower(CASE turn % 5 WHEN 0 THEN 'find ' WHEN 1 THEN 'draft an email ' WHEN 2 THEN 'why is ' WHEN 3 THEN 'actually ' ELSE '' END || text)) AS m FROM conversations WHERE role = 'user')
-SELECT CASE {_INTENT} WHEN regexp_matches(m, '{text.TROUBLE}') AND length(m) > 30 THEN 'investigation' ELSE 'question' END AS intent, count(*) AS n FROM x GROUP BY 1""",
-)
-def intent_classify(t: Tables) -> DataFrame:
-    k = F.col("turn") % 5
-    said = F.when(k == 0, "Find ").when(k == 1, "Draft an email ").when(k == 2, "Why is ").when(k == 3, "Actually ").otherwise("")
-    own = t.read("conversations").filter("role = 'user'").select(text.intent(F.concat(said, F.col("text"))).alias("intent"))
-    return own.groupBy("intent").agg(F.count("*").alias("n"))
-
-
 @query(
     "G1 G2 G3",
     """WITH c AS (SELECT c_custkey AS id, 'Dr. ' || c_name || ' Jr. <' || c_name || CASE c_custkey % 2 WHEN 0 THEN '@gmail.com>' ELSE '@firm.example>' END AS h FROM customer)
@@ -208,7 +190,7 @@ def mail_threads(t: Tables) -> DataFrame:
     return files.mail_threads(mails).select("thread_id", "messages", "first_sender", "last_sender")
 
 
-@query("P11 P12 S4", "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::BIGINT >= 50")
+@query("P11 S4", "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::BIGINT >= 50")
 def json_predicate(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return t.read("events").filter(k >= 50).select(F.col("event_id").alias("id"), k.alias("k"))
@@ -242,19 +224,12 @@ def entity_evidence(t: Tables) -> DataFrame:
     return own.groupBy("entity_id").agg(F.count_if(F.col("direction") == "inbound").alias("inbound"), F.count_if(F.col("direction") == "outbound").alias("outbound"), F.countDistinct("project").alias("projects"))
 
 
-@query("C25 J20 C24", "SELECT conv_id, turn, place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) WHERE place <= 5")
+@query("C25 J20", "SELECT conv_id, turn, place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) WHERE place <= 5")
 def sidebar_latest(t: Tables) -> DataFrame:
     own = rollups.top_per_group(t.read("conversations"), "conv_id", [F.desc("turn")], 5)
     return own.select("conv_id", "turn", F.col("rank").alias("place"))
 
 
-@query("C1 C2 C19", "SELECT id, min(part) AS part FROM (SELECT id, 1 AS part FROM texts WHERE project = 'de' UNION ALL SELECT id, 2 FROM texts WHERE contains(lower(summary), 'ung')) GROUP BY 1")
-def project_brief(t: Tables) -> DataFrame:
-    one = t.texts().filter("project = 'de'").select("id", F.lit(1).alias("part"))
-    two = t.texts().filter(text.like_any(["summary"], "ung")).select("id", F.lit(2).alias("part"))
-    return one.unionByName(two).groupBy("id").agg(F.min("part").alias("part"))
-
-
 @query("C18", "SELECT id, CASE WHEN name = 'user_1' THEN 0 WHEN starts_with(name, 'user_1') THEN 1 ELSE 2 END AS tier FROM entities WHERE contains(name, 'user_1')")
 def ranked_lookup(t: Tables) -> DataFrame:
     n = F.lower("name")

@@ -180,7 +180,3 @@ def text_like_search(t: Tables) -> DataFrame:
     return found.orderBy(ordinal("importance", IMPORTANCE_ORDER), F.desc("day"), "id").limit(20).select("id", "importance")
 
 
-@query("R27", "SELECT id, len(regexp_extract_all(raw_content, '(?is).{0,50}thing.{0,50}')) AS passages FROM texts WHERE contains(lower(raw_content), 'thing')")
-def passage_windows(t: Tables) -> DataFrame:
-    found = t.texts().filter(F.lower("raw_content").contains("thing"))
-    return found.select("id", F.size(retrieval.passages(F.col("raw_content"), "thing", 50, 1_000_000)).cast("long").alias("passages"))

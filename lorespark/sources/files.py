@@ -186,3 +186,8 @@ def table_after(spark: SparkSession, url: str, table: str, column: str, mark: in
 def names_only(rows: DataFrame, column: str) -> DataFrame:
     """An array of structs with a name, as the array of the names."""
     return rows.withColumn(column, F.transform(column, lambda x: x["name"]))
+
+
+def names_as_structs(rows: DataFrame, column: str, **defaults: str) -> DataFrame:
+    """An array of names as structs, with fixed values for what names don't tell."""
+    return rows.withColumn(column, F.transform(column, lambda x: F.struct(x.alias("name"), *(F.lit(v).alias(k) for k, v in defaults.items()))))
