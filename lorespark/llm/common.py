@@ -53,14 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-#: Files that a table is written as, at most, for each core: a plan of many partitions
-#: would make each small table thousands of files.  Tasks that are joined take their
-#: partitions one after the other, so none needs more memory.
+#: Files that a table is written as, at most: so many for each core, or one for so many
+#: bytes that Spark expects.  A plan of many partitions would make each small table
+#: thousands of files; tasks that are joined take their partitions one after the other.
 FILES_A_CORE = 4
+FILE_BYTES = 1 << 25
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(min(1 << 20, max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, expected // FILE_BYTES)))
 
 
 _WRITTEN: set[str] = set()
