@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,3 +159,54 @@ def set_field(json: Column, name: str, value: str) -> Column:
     rest = F.map_filter(F.from_json(json, "map<string, variant>"), lambda k, v: k != name)
     own = F.create_map(F.lit(name), F.parse_json(F.lit(value)))
     return F.to_json(F.map_concat(F.coalesce(rest, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), own))
+
+
+# What tells the kind of an artifact, in the order in which they are tried.
+CODE_FILES = ["tsx", "jsx", "ts", "js", "py"]
+CODE_MARKS, HTML_MARKS, SVG_MARKS = ["import ", "function "], ["<html", "<!DOCTYPE"], ["<svg"]
+
+# Domain terms and their tags.
+DOMAIN_TERMS = [
+    (r"(?i)\bgp\s*[/&]\s*lp\b", "GP/LP"),
+    (r"(?i)\bgeneral partner", "general-partner"),
+    (r"(?i)\blimited partner", "limited-partner"),
+    (r"(?i)\bterm\s*sheet", "term-sheet"),
+    (r"(?i)\bspv\b", "SPV"),
+    (r"(?i)\bequity\b", "equity"),
+    (r"(?i)\bacquisition", "acquisition"),
+    (r"(?i)\bmerger", "merger"),
+    (r"(?i)\bvaluation", "valuation"),
+    (r"(?i)\bcap\s*table", "cap-table"),
+    (r"(?i)\bdue\s*diligence", "due-diligence"),
+    (r"(?i)\bipo\b", "IPO"),
+    (r"(?i)\bseries\s*[a-d]\b", "fundraising"),
+    (r"(?i)\bloi\b", "LOI"),
+    (r"(?i)\bletter\s*of\s*intent", "LOI"),
+    (r"(?i)\bescrow\b", "escrow"),
+    (r"(?i)\bdebt\b", "debt"),
+    (r"(?i)\bcollateral\b", "collateral"),
+    (r"(?i)\binsurance", "insurance"),
+    (r"(?i)\bpolicy\b", "policy"),
+    (r"(?i)\bunderwriting", "underwriting"),
+    (r"(?i)\bcompliance", "compliance"),
+    (r"(?i)\bregulat", "regulatory"),
+    (r"(?i)\bcontract\b", "contract"),
+    (r"(?i)\binvoice", "invoice"),
+    (r"(?i)\bbudget", "budget"),
+    (r"(?i)\brevenue", "revenue"),
+    (r"(?i)\bprofit", "profit"),
+    (r"(?i)\bcash\s*flow", "cash-flow"),
+    (r"\bROI\b", "ROI"),
+]
+
+
+def artifact_type(file_type: Column, content: Column) -> Column:
+    """code, html, svg or document, by the file's type and marks in its content."""
+    has = lambda marks: reduce(lambda a, b: a | b, (content.contains(m) for m in marks))
+    kind = F.coalesce(file_type, F.lit("unknown"))
+    return F.when(kind.isin(CODE_FILES) | has(CODE_MARKS), "code").when(has(HTML_MARKS), "html").when((kind == "svg") | has(SVG_MARKS), "svg").otherwise("document")
+
+
+def domain_terms(text: Column) -> Column:
+    """The tags of the domain terms in a text, each once, in the list's order."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(p), tag) for p, tag in DOMAIN_TERMS))))

@@ -94,7 +94,8 @@ def near_duplicate_texts(rows: DataFrame, threshold: float = 0.85, key: str = "p
 def keep_longest(rows: DataFrame, ref: str, length: Column) -> DataFrame:
     """One row a reference: the longest, then the smallest id; null references stay."""
     rank = F.row_number().over(Window.partitionBy(ref).orderBy(length.desc(), "id"))
-    return rows.withColumn("_rank", F.when(F.col(ref).isNull(), 1).otherwise(rank)).filter("_rank = 1").drop("_rank")
+    named = rows.filter(F.col(ref).isNotNull()).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return named.unionByName(rows.filter(F.col(ref).isNull()))
 
 
 def archivable(items: DataFrame, referenced: DataFrame, as_of: str, days: int = 180) -> DataFrame:

@@ -67,9 +67,9 @@ def dice_near_dups(t: Tables) -> DataFrame:
     return quality.near_duplicate_texts(rows)
 
 
-@query("Q10 J13", "SELECT ref, id FROM (SELECT md5(substring(text, 1, 60)) AS ref, doc_id AS id, row_number() OVER (PARTITION BY md5(substring(text, 1, 60)) ORDER BY length(text) DESC, doc_id) AS place FROM documents) WHERE place = 1")
+@query("Q10 J13", "SELECT ref, id FROM (SELECT md5(split_part(text, chr(10), 1)) AS ref, doc_id AS id, row_number() OVER (PARTITION BY md5(split_part(text, chr(10), 1)) ORDER BY length(text) DESC, doc_id) AS place FROM documents) WHERE place = 1")
 def dedup_longest(t: Tables) -> DataFrame:
-    rows = t.read("documents").select(F.col("doc_id").alias("id"), F.md5(F.substring("text", 1, 60).cast("binary")).alias("ref"), F.length("text").alias("n"))
+    rows = t.read("documents").select(F.col("doc_id").alias("id"), F.md5(F.substring_index("text", "\n", 1).cast("binary")).alias("ref"), F.length("text").alias("n"))
     return quality.keep_longest(rows, "ref", F.col("n")).select("ref", "id")
 
 

@@ -15,7 +15,7 @@ from .catalog import query
 _T = f"TIMESTAMP '{NOW}'"
 K = 20
 WORDS = "the thof then"
-_TOKENS = "list_filter(string_split_regex(lower(title || ' ' || summary), '\\s+'), lambda w: w <> '')"
+_TOKENS = "list_filter(string_split_regex(lower(title || ' ' || summary || ' ' || raw_content), '\\s+'), lambda w: w <> '')"
 _TERM = "({tf} * 2.5::DOUBLE / ({tf} + 1.5::DOUBLE * (.25 + .75 * n / a)))"
 
 
@@ -32,7 +32,7 @@ kw AS (SELECT id, ({_tf(ws)}{bonus})::DOUBLE AS score FROM v WHERE {hit} ORDER B
 
 
 def _doc(t: Tables) -> F.Column:
-    return F.concat(F.col("title"), F.lit(" "), F.col("summary"))
+    return F.concat_ws(" ", "title", "summary", "raw_content")
 
 
 def keyword(t: Tables) -> DataFrame:
@@ -171,12 +171,12 @@ def dedup_by_reference(t: Tables) -> DataFrame:
     return retrieval.dedup_by_ref(t.knowledge().select("id", F.col("value").alias("score"), (F.col("k") % 50).alias("ref")), "ref").select("ref", "id")
 
 
-@query("R3 P2 R26 P18", "SELECT id, importance FROM texts WHERE (contains(lower(title), 'thorn') OR contains(lower(summary), 'thorn')) AND project = 'en' ORDER BY CASE importance WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 WHEN 'low' THEN 3 WHEN 'noise' THEN 4 ELSE 5 END, day DESC, id LIMIT 20")
+@query("R3 P2 R26 P18", "SELECT id, importance FROM texts WHERE (contains(lower(title), 'thorn') OR contains(lower(summary), 'thorn') OR contains(lower(raw_content), 'thorn')) AND project = 'en' ORDER BY CASE importance WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 WHEN 'low' THEN 3 WHEN 'noise' THEN 4 ELSE 5 END, day DESC, id LIMIT 20")
 def text_like_search(t: Tables) -> DataFrame:
     from ..functions.time import ordinal
     from ..schema import IMPORTANCE_ORDER
 
-    found = t.texts().filter(text.like_any(["title", "summary"], "thorn") & (F.col("project") == "en"))
+    found = t.texts().filter(text.like_any(["title", "summary", "raw_content"], "thorn") & (F.col("project") == "en"))
     return found.orderBy(ordinal("importance", IMPORTANCE_ORDER), F.desc("day"), "id").limit(20).select("id", "importance")
 
 

@@ -454,3 +454,25 @@ def json_set(t: Tables) -> DataFrame:
     e = t.read("events")
     own = e.withColumn("props", F.when(F.col("event_type") == "error", text.set_field(F.col("props"), "noise", "true")).otherwise(F.col("props")))
     return own.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.noise").alias("noise"), F.get_json_object("props", "$.k").alias("k"))
+
+
+_TAGGED = "doc_id AS id, text || CASE doc_id % 8 WHEN 0 THEN ' a Term  Sheet and an LOI' WHEN 1 THEN ' letter of intent; the loi' WHEN 2 THEN ' GP & LP, cash flow, ROI' WHEN 3 THEN ' roi of Series B equity' ELSE '' END AS x FROM documents"
+
+
+@query("D2", "SELECT id, array_to_string(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN {i}::INTEGER END" for i, (p, tag) in enumerate(text.DOMAIN_TERMS)) + f"], lambda v: v IS NOT NULL)).list_transform(lambda v: ([{', '.join(repr(tag) for _, tag in text.DOMAIN_TERMS)}])[v + 1]).list_distinct().list_sort(), ',') AS tags FROM (SELECT {_TAGGED})")
+def domain_tags(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 8
+    more = F.when(k == 0, " a Term  Sheet and an LOI").when(k == 1, " letter of intent; the loi").when(k == 2, " GP & LP, cash flow, ROI").when(k == 3, " roi of Series B equity").otherwise("")
+    return t.read("documents").select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(text.domain_terms(F.concat("text", more))), ",").alias("tags"))
+
+
+@query(
+    "D3",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 OR doc_id % 7 = 1 THEN 'code' WHEN doc_id % 7 = 2 THEN 'html' WHEN doc_id % 9 = 1 OR doc_id % 7 = 3 THEN 'svg' ELSE 'document' END AS kind FROM documents
+WHERE NOT contains(text, 'import ') AND NOT contains(text, 'function ')""",
+)
+def artifact_kinds(t: Tables) -> DataFrame:
+    k = F.col("doc_id")
+    mark = F.when(k % 7 == 1, "import x").when(k % 7 == 2, "<!DOCTYPE html>").when(k % 7 == 3, "<svg>").otherwise("")
+    own = t.read("documents").filter(~F.col("text").contains("import ") & ~F.col("text").contains("function "))
+    return own.select(k.alias("id"), text.artifact_type(F.when(k % 9 == 0, "py").when(k % 9 == 1, "svg"), F.concat(mark, F.lit("\n"), "text")).alias("kind"))
