@@ -54,15 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Files that a table is written as, at most: so many for each core, or one for so many
-#: bytes that Spark expects.  A plan of many partitions would make each small table
+#: bytes of what it is made from.  A plan of many partitions would make each small table
 #: thousands of files; tasks that are joined take their partitions one after the other.
 FILES_A_CORE = 4
 FILE_BYTES = 1 << 25
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.coalesce(min(1 << 20, max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, expected // FILE_BYTES)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(min(1 << 20, max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, read // FILE_BYTES)))
 
 
 _WRITTEN: set[str] = set()

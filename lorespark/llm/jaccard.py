@@ -10,9 +10,10 @@ estimated cost (entries to read, plus candidates to verify, from the frequencies
 in its prefix).
 
 Steps.
-1. Shingles of a batch of documents travel, packed, to ranges of hashes; a range
-   finds those that more than one document of the corpus has and sends these
-   back with their frequencies.  A document whose shingles are mostly its own
+1. The distinct shingles of a batch of documents travel, packed, to ranges of
+   hashes, each once however many of the batch's documents have it; a range finds
+   those that more than one document of the corpus has and sends their frequencies
+   back.  Which document has which shingle stays with the batch.  A document whose shingles are mostly its own
    can't reach the threshold and is done.
 2. Equal sets become one class.  Each class goes to a hub, the leader (least
    hashed member) of most of its prefix shingles' lists, and is compared with it:
@@ -42,14 +43,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import forget, lower_ascii, materialize, mix, partitions, prefix_hash, prepare, ragged, slices, span_hash, table, utf8, window_hash, word_spans
+from .common import forget, lower_ascii, materialize, mix, partitions, prefix_hash, prepare, ragged, settled, slices, span_hash, table, utf8, window_hash, word_spans
 from .graph import components
+from .packed import MOVE, ascending, bits, by_group, frame, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
 
 NGRAM = 5
 #: The threshold: PERCENT * union <= 100 * intersection.
@@ -61,8 +62,6 @@ BLOCK_SHINGLES = 400_000
 #: The most matches that a prefix asks for.
 MOST_MATCHES = 64
 
-_MOVE = "batch long, range int, payload binary"
-
 
 def shingles(data: np.ndarray, offs: np.ndarray, ngram: int = NGRAM) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (56 bits) of each text; A-Z count as a-z."""
@@ -82,38 +81,10 @@ def shingles(data: np.ndarray, offs: np.ndarray, ngram: int = NGRAM) -> list[np.
     return out
 
 
-def _frame(*parts: bytes) -> bytes:
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-
-
-def _unframe(blob: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(blob):
-        n = int.from_bytes(blob[at : at + 8], "little")
-        out.append(blob[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Unsigned numbers as compressed byte planes."""
-    raw = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(np.ascontiguousarray(raw).tobytes(), 1)
-
-
-def _unplanes(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view("<u8").ravel()
-
-
-def _moves(rows: list[tuple]) -> pa.RecordBatch:
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["batch", "range", "payload"])
-
-
 def _deal(ranges: int, ngram: int, id_type: pa.DataType):
-    """Shingles of batches of documents by hash range, as differences with the
-    documents' numbers; and a row with the batch's documents (range -1)."""
+    """The distinct shingles of batches of documents by hash range, each once with the
+    number of the batch's documents that have it; and a row with these documents' ids
+    and prints, and which of them have each shingle."""
     names = pa.schema([("doc_id", id_type)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +99,13 @@ def _deal(ranges: int, ngram: int, id_type: pa.DataType):
                 out.write_table(pa.table([pa.chunked_array(ids)], names=["doc_id"]))
             prints = b"".join(hashlib.md5(s.tobytes()).digest() for s in sets)
             lengths = np.array([len(s) for s in sets], np.int64)
-            own = [(number, -1 - number % ranges, _frame(sink.getvalue().to_pybytes(), prints, _planes(lengths)))]
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             flat, doc = flat[order], np.repeat(np.arange(len(sets)), lengths)[order]
-            cuts = np.searchsorted(flat, np.array([(r << 56) // ranges for r in range(ranges)], np.uint64))
-            for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(flat)], strict=True)):
-                if a < b:
-                    own.append((number, r, _frame(_planes(np.diff(flat[a:b], prepend=np.uint64(0))), _planes(doc[a:b]))))
-            return own
+            begins = np.flatnonzero(np.diff(flat, prepend=flat[:1] + np.uint64(1)))
+            each, uses = flat[begins], np.diff(np.append(begins, len(flat)))
+            out = [(number, own_range(number, ranges), frame(sink.getvalue().to_pybytes(), prints, planes(lengths), planes(uses), planes(doc)))]
+            return out + [(number, r, frame(ascending(each[a:b]), planes(uses[a:b]))) for r, a, b in range_cuts(each, 56, ranges)]
 
         for batch in batches:
             data, offs = utf8(batch.column(1))
@@ -145,49 +114,35 @@ def _deal(ranges: int, ngram: int, id_type: pa.DataType):
                 sets += shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ngram)
                 size += int(offs[j] - offs[i])
                 if size >= BATCH_BYTES or len(sets) >= 60_000:
-                    yield _moves(rows())
+                    yield moves(rows())
                     number += 1
                     size = 0
                     ids.clear(), sets.clear()
         if sets:
-            yield _moves(rows())
+            yield moves(rows())
 
     return work
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range, the shingles that more than one document has, with the
-    number of these documents, back to each batch."""
+    """Of each range, which shingles more than one document of the corpus has, and how
+    many have these, back to each batch."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.cumsum(_unplanes(t), dtype=np.uint64), _unplanes(d)) for t, d in (_unframe(p) for *_, p in rows)]
-        flat = np.concatenate([t for t, _ in parts])
+        parts = [(unascending(t), unplanes(n)) for t, n in (unframe(p) for *_, p in rows)]
+        flat, uses = np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
         order = np.argsort(flat, kind="stable")
         begins = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] + np.uint64(1)))
-        counts = np.diff(np.append(begins, len(flat)))
-        uses = np.empty(len(flat), np.int64)
-        uses[order] = np.repeat(counts, counts)
+        totals = np.empty(len(flat), np.uint64)
+        totals[order] = np.repeat(np.add.reduceat(uses[order], begins), np.diff(np.append(begins, len(flat))))
         at = 0
-        for (number, r, _), (tokens, docs) in zip(rows, parts, strict=True):
-            own = uses[at : at + len(tokens)]
+        for (number, r, _), (tokens, _) in zip(rows, parts, strict=True):
+            own = totals[at : at + len(tokens)]
             at += len(tokens)
             left = own > 1
-            if left.any():
-                yield _moves([(number, r, _frame(_planes(np.diff(tokens[left], prepend=np.uint64(0))), _planes(docs[left]), _planes(own[left])))])
+            yield moves([(number, r, frame(len(tokens).to_bytes(8, "little"), bits(left), ascending(tokens[left]), planes(own[left])))])
 
-    last, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[1] < 0:
-                yield _moves([row])
-                continue
-            if row[1] != last and rows:
-                yield from solve(rows)
-                rows = []
-            last = row[1]
-            rows.append(row)
-    if rows:
-        yield from solve(rows)
+    yield from by_group(batches, 1, solve)
 
 
 def matches_asked(uses: np.ndarray, n: int, t: int) -> int:
@@ -206,16 +161,17 @@ def _gather(id_type: pa.DataType):
     """The sets of each batch: all documents, and for those that may have a
     partner the shared shingles in the common order."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        (_, _, head), *rest = rows
-        ids, prints, lengths = _unframe(head)
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (*_, head), *rest = rows
+        ids, prints, lengths, runs, docs = unframe(head)
         ids = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
-        lengths = _unplanes(lengths).astype(np.int64)
-        parts = [_unframe(p) for *_, p in rest]
+        lengths, runs, docs = (unplanes(x).astype(np.int64) for x in (lengths, runs, docs))
+        parts = [unframe(p) for *_, p in rest]
         none = np.zeros(0, np.uint64)
-        tokens = np.concatenate([none, *(np.cumsum(_unplanes(t), dtype=np.uint64) for t, _, _ in parts)])
-        docs = np.concatenate([none, *(_unplanes(d) for _, d, _ in parts)]).astype(np.int64)
-        uses = np.concatenate([none, *(_unplanes(u) for *_, u in parts)]).astype(np.int64)
+        left = np.concatenate([none.astype(bool), *(unbits(b, int.from_bytes(n, "little")) for n, b, *_ in parts)])
+        docs, runs = docs[np.repeat(left, runs)], runs[left]
+        tokens = np.repeat(np.concatenate([none, *(unascending(t) for *_, t, _ in parts)]), runs)
+        uses = np.repeat(np.concatenate([none, *(unplanes(u) for *_, u in parts)]), runs).astype(np.int64)
         order = np.lexsort((tokens, uses, docs))
         tokens, docs, uses = tokens[order].view(np.int64), docs[order], uses[order]
         bounds = np.searchsorted(docs, np.arange(len(lengths) + 1))
@@ -230,34 +186,23 @@ def _gather(id_type: pa.DataType):
                 asked.append(None), prefix.append(None), kept.append(None)
         fp = [prints[i : i + 16] for i in range(0, len(prints), 16)]
         columns = [ids, pa.array(lengths, pa.int64()), pa.array(fp, pa.binary()), pa.array(asked, pa.int32()), pa.array(prefix, pa.int32()), pa.array(kept, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "asked", "prefix", "shared"])
+        whole = pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "asked", "prefix", "shared"])
+        yield from (whole.slice(i, 512) for i in range(0, len(whole), 512))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and rows:
-                    yield solve(rows)
-                    rows = []
-                last = row[0]
-                rows.append(row)
-        if rows:
-            yield solve(rows)
-
-    return work
+    return lambda batches: by_group(batches, 0, solve)
 
 
 def shingle_sets(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """``doc_id, n, fp`` of every row, and ``asked, prefix, shared`` of those
     that may have a partner."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
+    rows = settled(docs.select("doc_id", "text"), "settled")  # batches are numbered by their order in a task
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(partitions(spark), size >> 23)
-    dealt = rows.mapInArrow(_deal(ranges, ngram, id_type), _MOVE)
-    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_count, _MOVE)
+    dealt = rows.mapInArrow(_deal(ranges, ngram, id_type), MOVE)
+    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_count, MOVE)
     ordered = counted.repartition(partitions(spark), "batch").sortWithinPartitions("batch", "range")
     return ordered.mapInArrow(_gather(id_type), f"doc_id {kind.simpleString()}, n long, fp binary, asked int, prefix int, shared array<long>")
 
