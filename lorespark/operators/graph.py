@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
 from ..session import shared_dir
+from .sets import overlapping
 
 
 def pairs(members: DataFrame, item: str = "item_id", entity: str = "entity_id") -> DataFrame:
@@ -39,11 +42,16 @@ def shared_contacts(members: DataFrame, least: int = 2, common: float = 0.3) ->
     total = own.agg(F.countDistinct("item_id").alias("items"))
     wide = own.groupBy("entity_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter(F.col("n") > common * F.col("items")).select("entity_id")
     kept = own.join(wide, "entity_id", "left_anti")
-    sizes = kept.groupBy("item_id").agg(F.count("*").alias("size"))
-    other = kept.select(F.col("item_id").alias("item_b"), "entity_id")
-    met = kept.join(other, "entity_id").filter("item_id < item_b").groupBy("item_id", "item_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    met = met.join(sizes, "item_id").join(sizes.select(F.col("item_id").alias("item_b"), F.col("size").alias("size_b")), "item_b")
-    return met.select(F.col("item_id").alias("item_a"), "item_b", "shared", F.round(F.col("shared") / F.greatest("size", "size_b"), 2).alias("confidence"))
+    met = _sharing(kept, least)
+    return met.select(F.col("id").alias("item_a"), F.col("id_b").alias("item_b"), "shared", F.round(F.col("shared") / F.greatest(F.size("items"), F.size("items_b")), 2).alias("confidence"))
+
+
+def _sharing(members: DataFrame, least: int) -> DataFrame:
+    """(id, items, id_b, items_b, shared) of items with ``least`` or more common entities:
+    they meet by an entity that isn't among the ``least`` - 1 most frequent of either."""
+    sets = members.groupBy(F.col("item_id").alias("id")).agg(F.collect_set("entity_id").alias("items")).withColumn("key", F.lit(0))
+    met = overlapping(sets.filter(F.size("items") >= least), lambda n: n - (least - 1))
+    return met.withColumn("shared", F.size(F.array_intersect("items", "items_b")).cast("long")).filter(F.col("shared") >= least)
 
 
 def follow_ups(items: DataFrame, thread: str, order: str, item: str = "id") -> DataFrame:
@@ -52,21 +60,57 @@ def follow_ups(items: DataFrame, thread: str, order: str, item: str = "id") -> D
     return items.filter(F.col(thread).isNotNull()).select(thread, F.col(item).alias("source_id"), after.alias("target_id")).filter("target_id is not null")
 
 
+#: Vectors of a block that are compared with another block's as matrices.
+BLOCK = 2_000
+
+
 def related(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of items of one project (or of none) with a cosine above the threshold."""
-    a = vectors.select(F.col("id").alias("a"), F.coalesce(F.col("project").cast("string"), F.lit("")).alias("p"), F.col("embedding").alias("x"))
-    b = a.select(F.col("a").alias("b"), "p", F.col("x").alias("y"))
-    return a.join(b, "p").filter("a < b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score")).filter(F.col("score") > threshold)
+    """Pairs of items of one project (or of none) with a cosine above the threshold.
+
+    A project's vectors are dealt to blocks of bounded size; each pair of blocks is one
+    product of matrices, of which only what is above the threshold comes out."""
+    own = vectors.select("id", F.coalesce(F.col("project").cast("string"), F.lit("")).alias("p"), "embedding")
+    sizes = own.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = own.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = placed.select("id", "p", "embedding", "block", with_).select("id", "p", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    kind = vectors.schema["id"].dataType.simpleString()
+    found = sent.groupBy("p", "i", "j").applyInPandas(_products(threshold), f"a {kind}, b {kind}, score double")
+    return found
+
+
+def _products(threshold: float):
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows.embedding.notna()].sort_values("id")
+        i, j = rows.i.iloc[:1].tolist() + rows.j.iloc[:1].tolist() if len(rows) else (0, 0)
+        left, right = rows[rows.block == i], rows[rows.block == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": rows.id[:0], "b": rows.id[:0], "score": np.zeros(0)})
+
+        def unit(x: pd.DataFrame) -> np.ndarray:
+            m = np.stack(x.embedding.to_list()).astype(float)
+            length = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+        score = (unit(left) @ unit(right).T).round(6)
+        x, y = left.id.to_numpy()[:, None], right.id.to_numpy()[None]
+        at = np.nonzero((score > threshold) & ((x < y) if i == j else np.ones_like(score, bool)))
+        a, b = left.id.to_numpy()[at[0]], right.id.to_numpy()[at[1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score[at]})
+
+    return work
 
 
 def supersedes(items: DataFrame, threshold: float) -> DataFrame:
     """Newer to older item of a project with a shared contact and alike vectors.
 
     ``items``: id, project, at, contacts (array), embedding."""
-    new = items.select("id", "project", "at", "contacts", "embedding")
-    old = items.select(F.col("id").alias("old_id"), "project", F.col("at").alias("old_at"), F.col("contacts").alias("old_contacts"), F.col("embedding").alias("old_embedding"))
-    both = new.join(old, "project").filter((F.col("at") > F.col("old_at")) & F.arrays_overlap("contacts", "old_contacts"))
-    return both.withColumn("score", F.round(cosine(F.col("embedding"), F.col("old_embedding")), 6)).filter(F.col("score") > threshold).select("id", "old_id", "score", F.lit(0.8).alias("confidence"))
+    pairs = related(items.filter(F.col("project").isNotNull()), threshold)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    new = items.select(F.col("id").alias("a"), "at", "contacts")
+    old = items.select(F.col("id").alias("b"), F.col("at").alias("old_at"), F.col("contacts").alias("old_contacts"))
+    later = both.join(new, "a").join(old, "b").filter((F.col("at") > F.col("old_at")) & F.arrays_overlap("contacts", "old_contacts"))
+    return later.select(F.col("a").alias("id"), F.col("b").alias("old_id"), "score", F.lit(0.8).alias("confidence"))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
@@ -85,9 +129,7 @@ def thread_candidates(members: DataFrame, items: DataFrame, threshold: float = 0
     """Pairs of items that look like one story.
 
     ``members``: item_id, entity_id; ``items``: id, project, source, day."""
-    met = members.select("item_id", "entity_id").distinct()
-    other = met.select(F.col("item_id").alias("item_b"), "entity_id")
-    shared = met.join(other, "entity_id").filter("item_id < item_b").groupBy("item_id", "item_b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    shared = _sharing(members, 2).select(F.col("id").alias("item_id"), F.col("id_b").alias("item_b"), "shared")
     a = items.select(F.col("id").alias("item_id"), "project", "source", "day")
     b = items.select(F.col("id").alias("item_b"), F.col("project").alias("project_b"), F.col("source").alias("source_b"), F.col("day").alias("day_b"))
     days = F.abs(F.datediff("day", "day_b"))

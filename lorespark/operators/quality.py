@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import bigrams, dice
 from ..functions.time import ago, since
+from .sets import overlapping
 
 # Senders, patterns and phrases of noise.
 BLOCKED_SENDERS = [
@@ -60,13 +65,50 @@ def supported_quotes(facts: DataFrame, sources: DataFrame, least: float = 0.6, n
     return near.filter(F.lower("text").contains(F.substring(F.lower("quote"), 1, n))).select("fact_id", "source_id")
 
 
+#: Characters of quotes' beginnings that one automaton holds; more go by a join.
+QUOTE_CHARS = 4_000_000
+
+
 def quotes_anywhere(quotes: DataFrame, texts: DataFrame, n: int = 40) -> DataFrame:
     """(quote_id, doc_id) of the texts that hold a quote's first ``n`` characters.
 
-    Those contain whole words between blanks; the first two of these are the key
-    of an equi-join with the word pairs of the texts, and what meets is verified.
-    Quotes without two such words are compared with every text."""
+    Quotes are few beside texts: as long as their beginnings fit one automaton it is
+    broadcast and every text is read once where it lies.  Beyond, word pairs meet by an
+    equi-join (see ``_quotes_by_pairs``)."""
     q = quotes.select("quote_id", F.substring(F.lower("quote"), 1, n).alias("start")).filter(F.length("start") == n)
+    size = q.agg(F.sum(F.length("start"))).first()[0] or 0
+    if size > QUOTE_CHARS:
+        return _quotes_by_pairs(q, texts)
+    starts: dict[str, list] = {}
+    for r in q.collect():
+        starts.setdefault(r.start, []).append(r.quote_id)
+    shared = quotes.sparkSession.sparkContext.broadcast(starts)
+    kinds = f"quote_id {q.schema['quote_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
+    quote_type = to_arrow_type(q.schema["quote_id"].dataType)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for start, ids in shared.value.items():
+            automaton.add_word(start, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            found, at = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text and shared.value:
+                    held = {id(ids): ids for _, ids in automaton.iter(text)}
+                    found += [x for ids in held.values() for x in ids]
+                    at += [i] * sum(map(len, held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, quote_type), batch.column(0).take(pa.array(at, pa.int64()))], ["quote_id", "doc_id"])
+
+    return texts.select("doc_id", F.lower("text").alias("low")).mapInArrow(find, kinds).distinct()
+
+
+def _quotes_by_pairs(q: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for any number of quotes: those contain whole words between blanks; the
+    first two of these are the key of an equi-join with the word pairs of the texts, and
+    what meets is verified.  Quotes without two such words are compared with every text."""
     parts = F.split("start", " ")
     q = q.withColumn("key", F.when(F.size(parts) >= 4, F.concat(parts[1], F.lit(" "), parts[2])))
     low = texts.select("doc_id", F.lower("text").alias("low"))
@@ -80,15 +122,22 @@ def quotes_anywhere(quotes: DataFrame, texts: DataFrame, n: int = 40) -> DataFra
 
 def near_duplicate_texts(rows: DataFrame, threshold: float = 0.85, key: str = "project") -> DataFrame:
     """(a, b, score) of texts of one key whose bigram sets' Dice similarity is
-    above the threshold.  Sizes bound the similarity, so sets meet by size band."""
-    own = rows.select("id", key, bigrams(F.col("text")).alias("g")).withColumn("size", F.size("g")).filter("size > 0")
-    ratio = (2 - threshold) / threshold  # the larger set has at most this times the smaller one's pairs
-    band = F.floor(F.log("size") / F.log(F.lit(ratio)))
-    a = own.withColumn("band", band)
-    b = own.select(F.col("id").alias("id_b"), key, F.col("g").alias("g_b"), F.col("size").alias("size_b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    close = (F.col("size") <= F.col("size_b") * ratio) & (F.col("size_b") <= F.col("size") * ratio)
-    met = a.join(b, [key, "band"]).filter((F.col("id") < F.col("id_b")) & close)
-    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.round(dice(F.col("g"), F.col("g_b")), 6).alias("score")).filter(F.col("score") > threshold)
+    above the threshold.  Texts of equal sets are compared as one; sets meet by a
+    bigram among their rarest, of which those with such a similarity share one."""
+    own = rows.select("id", F.col(key).alias("key"), F.sort_array(bigrams(F.col("text"))).alias("items")).filter(F.size("items") > 0)
+    classes = own.groupBy("key", "items").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # of sets of sizes n and m, Dice above t needs over t * (n + m) / 2 common items, and m at least n * t / (2 - t)
+    least = lambda n: F.floor(n * threshold / (2 - threshold) - 1e-9) + 1
+    numbered = classes.select("key", "items", "ids", F.element_at("ids", 1).alias("id"))
+    met = overlapping(numbered.select("id", "key", "items"), lambda n: n - least(n) + 1)
+    score = F.round(dice(F.col("items"), F.col("items_b")), 6)
+    close = met.select(F.col("id").alias("one"), F.col("id_b").alias("two"), score.alias("score")).filter(F.col("score") > threshold)
+    ids = numbered.select(F.col("id").alias("one"), F.col("ids").alias("a"))
+    across = close.join(ids, "one").join(ids.select(F.col("one").alias("two"), F.col("a").alias("b")), "two").select(F.explode("a").alias("a"), "b", "score").select("a", F.explode("b").alias("b"), "score")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    inner = numbered.filter(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("i", "a"))
+    inner = inner.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"), F.lit(1.0).alias("score"))
+    return across.unionByName(inner)
 
 
 def keep_longest(rows: DataFrame, ref: str, length: Column) -> DataFrame:
@@ -154,11 +203,16 @@ def superseded_facts(facts: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     ``facts``: id, project, kind, text, at."""
     words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    a = facts.select("id", "project", "kind", "text", "at", words.alias("w"))
-    b = a.select(F.col("id").alias("id_b"), "project", "kind", F.col("text").alias("text_b"), F.col("at").alias("at_b"), F.col("w").alias("w_b"))
-    share = F.size(F.array_intersect("w", "w_b")) / F.greatest(F.size("w"), F.size("w_b"))
-    met = a.join(b, ["project", "kind"]).filter((F.col("text") != F.col("text_b")) & (F.col("at") < F.col("at_b")) & (share > threshold))
-    return met.groupBy("id").agg(F.max(F.struct("at_b", "id_b")).alias("m")).select("id", F.col("m.id_b").alias("by"))
+    own = facts.withColumn("key", F.concat_ws("\x01", F.to_json(F.struct("project", "kind")))).filter(F.col("project").isNotNull() & F.col("kind").isNotNull())
+    least = lambda n: F.floor(n * threshold) + 1
+    met = overlapping(own.select("id", "key", words.alias("items")), lambda n: n - least(n) + 1)
+    share = F.size(F.array_intersect("items", "items_b")) / F.greatest(F.size("items"), F.size("items_b"))
+    pairs = met.filter(share > threshold).select(F.col("id").alias("x"), F.col("id_b").alias("y"))
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    old = own.select(F.col("id").alias("x"), F.col("text").alias("text_a"), F.col("at").alias("at_a"))
+    new = own.select(F.col("id").alias("y"), F.col("text").alias("text_b"), F.col("at").alias("at_b"))
+    later = both.join(old, "x").join(new, "y").filter((F.col("text_a") != F.col("text_b")) & (F.col("at_a") < F.col("at_b")))
+    return later.groupBy(F.col("x").alias("id")).agg(F.max(F.struct("at_b", "y")).alias("m")).select("id", F.col("m.y").alias("by"))
 
 
 def merge_themes(themes: DataFrame) -> DataFrame:
