@@ -39,7 +39,7 @@ def test_sql_and_plan(spark, sf, no_docs, clashing, odd_docs):
     got = assign_shards(docs, limit=20_000)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    sql = sharding.OP5_SQL.replace(str(sharding.LIMIT), "20000")
+    sql = sharding.OP5_SQL.replace(str(sharding.QUERY_LIMIT), "20000")
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
     assert Counter(map(tuple, got.collect())) == Counter(want)
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
