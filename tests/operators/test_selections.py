@@ -49,7 +49,7 @@ def test_rerank_and_passages(spark):
     given = spark.createDataFrame([(3, 1)], "id long, rank int")
     assert [r.id for r in retrieval.rerank(ranked, given).collect()] == [3, 1, 2]
     got = spark.createDataFrame([("aaaa needle bbbb Needle cccc",)], "t string").select(retrieval.passages(F.col("t"), "needle", 5).alias("p")).first().p
-    assert got == ["aaaa needle bbbb", " Needle cccc"]
+    assert got == ["aaaa needle bbbb", "bbbb Needle cccc"]
 
 
 def test_texts(spark):
