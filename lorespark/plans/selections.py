@@ -437,7 +437,7 @@ def text_chunks(t: Tables) -> DataFrame:
 
 
 @query(
-    "D1",
+    "2.11",
     """WITH m AS (SELECT string_agg(lower(text), ' ' ORDER BY turn) AS m FROM conversations WHERE conv_id = 8),
 d AS (SELECT doc_id AS id, len(list_filter(list_distinct(list_filter(string_split(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: length(w) > 3)), lambda w: contains(m, w))) AS hits FROM documents, m)
 SELECT id, CASE WHEN hits >= 3 THEN 1.0::DOUBLE ELSE .7::DOUBLE END AS relevance FROM d WHERE hits >= 2""",
@@ -459,7 +459,7 @@ def json_set(t: Tables) -> DataFrame:
 _TAGGED = "doc_id AS id, text || CASE doc_id % 8 WHEN 0 THEN ' a Term  Sheet and an LOI' WHEN 1 THEN ' letter of intent; the loi' WHEN 2 THEN ' GP & LP, cash flow, ROI' WHEN 3 THEN ' roi of Series B equity' ELSE '' END AS x FROM documents"
 
 
-@query("D2", "SELECT id, array_to_string(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN {i}::INTEGER END" for i, (p, tag) in enumerate(text.DOMAIN_TERMS)) + f"], lambda v: v IS NOT NULL)).list_transform(lambda v: ([{', '.join(repr(tag) for _, tag in text.DOMAIN_TERMS)}])[v + 1]).list_distinct().list_sort(), ',') AS tags FROM (SELECT {_TAGGED})")
+@query("2.11", "SELECT id, array_to_string(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN {i}::INTEGER END" for i, (p, tag) in enumerate(text.DOMAIN_TERMS)) + f"], lambda v: v IS NOT NULL)).list_transform(lambda v: ([{', '.join(repr(tag) for _, tag in text.DOMAIN_TERMS)}])[v + 1]).list_distinct().list_sort(), ',') AS tags FROM (SELECT {_TAGGED})")
 def domain_tags(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 8
     more = F.when(k == 0, " a Term  Sheet and an LOI").when(k == 1, " letter of intent; the loi").when(k == 2, " GP & LP, cash flow, ROI").when(k == 3, " roi of Series B equity").otherwise("")
@@ -467,7 +467,7 @@ def domain_tags(t: Tables) -> DataFrame:
 
 
 @query(
-    "D3",
+    "2.11",
     """SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 OR doc_id % 7 = 1 THEN 'code' WHEN doc_id % 7 = 2 THEN 'html' WHEN doc_id % 9 = 1 OR doc_id % 7 = 3 THEN 'svg' ELSE 'document' END AS kind FROM documents
 WHERE NOT contains(text, 'import ') AND NOT contains(text, 'function ')""",
 )
