@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..session import shared_dir
+from ..session import scratch
 from .sets import overlapping
 
 
@@ -146,20 +146,35 @@ def thread_candidates(members: DataFrame, items: DataFrame, threshold: float = 0
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by smallest nodes.  Two contractions alternate until nothing
     changes: every node links its larger neighbours to its smallest one, then its
-    smaller neighbours to it; the state is checkpointed each round."""
-    shared_dir(edges.sparkSession)
+    smaller neighbours to it.  Each round is written to the shared folder and the one
+    before it deleted; whether anything changed is told by counts and sums of hashes."""
+    spark = edges.sparkSession
+
+    def settle(rows: DataFrame, old: str | None) -> tuple[DataFrame, str]:
+        path = scratch(spark, "links")
+        rows.write.parquet(path)
+        if old:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return spark.read.schema(rows.schema).parquet(path), path
+
+    def state(rows: DataFrame) -> tuple:
+        wide = lambda c: F.sum(c.cast("decimal(38,0)"))
+        return tuple(rows.agg(F.count("*"), wide(F.xxhash64("u", "v")), wide(F.xxhash64("v", "u"))).first())
+
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    every = edges.filter("a is not null and b is not null").select(u, v).distinct().checkpoint()
-    links = every.filter("u <> v")
+    every, _ = settle(edges.filter("a is not null and b is not null").select(u, v).distinct(), None)
+    links, path = every.filter("u <> v"), None
+    now = state(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star, path = settle(star, path)
         small = star.join(star.groupBy("u").agg(F.min("v").alias("m")), "u")
-        new = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
-        same = new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty()
-        links = new
-        if same:
+        links, path = settle(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), path)
+        before, now = now, state(links)
+        if now == before:
             break
     roots = links.select("v").distinct()
     alone = every.filter("u = v").select("u").join(links.select("u").unionByName(roots.withColumnRenamed("v", "u")), "u", "left_anti")

@@ -160,7 +160,7 @@ def recency_label(ranked: DataFrame, as_of: str) -> DataFrame:
     """fresh if over half are under 7 days old, stale if over half are over 30."""
     days = days_between(at(as_of), F.col("source_date"))
     n, young, old = F.count("*"), F.count_if(days < 7), F.count_if(days > 30)
-    return ranked.agg(F.when(young > n / 2, "fresh").when(old > n / 2, "stale").otherwise("mixed").alias("label"))
+    return ranked.agg(F.when(young > n / 2, "fresh").when(old > n / 2, "stale").otherwise("mixed").alias("label"), n.alias("results"))
 
 
 def rerank(ranked: DataFrame, given: DataFrame) -> DataFrame:

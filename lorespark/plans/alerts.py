@@ -17,10 +17,10 @@ _LATE = f"(epoch_us({_O}) - epoch_us(due_date)) / 86400000000.0"
 @query(
     "T25",
     f"""WITH a AS (SELECT *, CASE WHEN state IN ('active', 'detected') AND due_date < {_O} THEN 'overdue' ELSE state END AS s FROM commitments)
-SELECT s2 AS next, count(*) AS n FROM (SELECT CASE WHEN s = 'overdue' AND due_date < {_O} - INTERVAL 14 DAY THEN 'dropped' ELSE s END AS s2 FROM a) GROUP BY 1""",
+SELECT id, CASE WHEN s = 'overdue' AND due_date < {_O} - INTERVAL 14 DAY THEN 'dropped' ELSE s END AS next FROM a""",
 )
 def commitment_states(t: Tables) -> DataFrame:
-    return alerts.advance_states(t.commitments(), ORDERS_NOW).groupBy("next").agg(F.count("*").alias("n"))
+    return alerts.advance_states(t.commitments(), ORDERS_NOW).select("id", "next")
 
 
 @query(

@@ -35,10 +35,11 @@ def contact_variants(t: Tables) -> DataFrame:
     return context.contained_names(names)
 
 
-@query("G27 W6", "WITH c AS (SELECT project AS cluster, id FROM vectors), k AS (SELECT cluster, min(id // 50) AS old FROM c WHERE id < 100 GROUP BY 1) SELECT cluster, id, coalesce(old, cluster)::BIGINT AS thread_id FROM c LEFT JOIN k USING (cluster)")
+@query("G27 W6", "WITH c AS (SELECT project AS cluster, id FROM vectors), k AS (SELECT cluster, min(id // 50) AS old FROM c WHERE cluster % 3 <> 0 AND id % 4 = 1 GROUP BY 1) SELECT cluster, id, coalesce(old, cluster)::BIGINT AS thread_id FROM c LEFT JOIN k USING (cluster)")
 def thread_assignment(t: Tables) -> DataFrame:
+    """Clusters of which some hold items of older threads; the others are new."""
     clusters = t.vectors().select(F.col("project").alias("cluster"), "id")
-    old = t.vectors().filter("id < 100").select("id", F.floor(F.col("id") / 50).alias("thread_id"))
+    old = clusters.filter("cluster % 3 <> 0 and id % 4 = 1").select("id", F.floor(F.col("id") / 50).alias("thread_id"))
     return context.extend_threads(old, clusters).withColumn("thread_id", F.col("thread_id").cast("long"))
 
 
@@ -84,11 +85,11 @@ def prediction_gaps(t: Tables) -> DataFrame:
     return alerts.prediction_gaps(own, ORDERS_NOW)
 
 
-@query("T39 D11", "SELECT state, count(*) AS n FROM (SELECT CASE project WHEN '1-URGENT' THEN 'fulfilled' WHEN '5-LOW' THEN 'abandoned' ELSE state END AS state FROM commitments) GROUP BY 1")
+@query("T39 D11", "SELECT id, CASE project WHEN '1-URGENT' THEN 'fulfilled' WHEN '5-LOW' THEN 'abandoned' ELSE state END AS state FROM commitments")
 def judged_commitments(t: Tables) -> DataFrame:
     own = t.commitments().withColumn("text", F.col("project"))
     verdicts = own.select("text", F.when(F.col("text") == "1-URGENT", "done").when(F.col("text") == "5-LOW", "stale").otherwise("open").alias("verdict")).distinct()
-    return context.judged_states(own, verdicts).groupBy("state").agg(F.count("*").alias("n"))
+    return context.judged_states(own, verdicts).select("id", "state")
 
 
 @query("Q23", f"SELECT id FROM knowledge WHERE source = 'view' AND entity_id NOT IN (SELECT entity_id FROM mentions WHERE direction = 'inbound' AND mention_date >= {_T} - INTERVAL 1 DAY) AND entity_id NOT IN (SELECT id FROM entities WHERE dismissed)")
@@ -155,10 +156,10 @@ def world_markdown(t: Tables) -> DataFrame:
     return context.markdown(own, F.col("name"), F.coalesce("label", F.lit("none")), F.col("mentions").cast("string"))
 
 
-@query("S25 S21", "SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("S25 S21", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def missing_vectors(t: Tables) -> DataFrame:
     v = t.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return context.needs_vector(t.read("documents").select("doc_id").join(v, "doc_id", "left")).agg(F.count("*").alias("n"))
+    return context.needs_vector(t.read("documents").select("doc_id").join(v, "doc_id", "left")).select("doc_id")
 
 
 @query("S26 S27 S31", "SELECT id, md5(coalesce(CASE WHEN importance <> 'low' THEN raw_content END, CASE WHEN length(summary) > 10 THEN summary END, title)) AS print FROM texts")
@@ -177,10 +178,10 @@ def project_gaps(t: Tables) -> DataFrame:
     return stalling.join(k.filter("importance = 'critical' and source = 'signup'").select("project").distinct(), "project", "left_anti")
 
 
-@query("T28 S29", "SELECT count(*) AS waiting FROM (SELECT conv_id, turn, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations) WHERE a IS NULL OR a <= turn")
+@query("T28 S29", "SELECT conv_id || '/' || turn AS id FROM (SELECT conv_id, turn, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations) WHERE a IS NULL OR a <= turn")
 def unanswered(t: Tables) -> DataFrame:
     items = t.read("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("thread"), F.col("turn").alias("at"), (F.col("role") == "assistant").alias("sent"), F.array(F.lit("awaiting_reply")).alias("tags"))
-    return alerts.resolve_replies(items).filter(F.size("tags") > 0).agg(F.count("*").alias("waiting"))
+    return alerts.resolve_replies(items).filter(F.size("tags") > 0).select("id")
 
 
 @query("A11", "SELECT conv_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS lines FROM conversations")

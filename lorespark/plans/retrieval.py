@@ -156,9 +156,19 @@ def search_confidence(t: Tables) -> DataFrame:
     return retrieval.confidence(_hybrid(t))
 
 
-@query("R22", f"SELECT CASE WHEN count(*) FILTER (source_date > {_T} - INTERVAL 7 DAY) > count(*) / 2.0 THEN 'fresh' WHEN count(*) FILTER (source_date < {_T} - INTERVAL 30 DAY) > count(*) / 2.0 THEN 'stale' ELSE 'mixed' END AS label FROM knowledge")
+@query(
+    "R22",
+    f"""
+WITH m AS (SELECT id FROM entities WHERE contains('notes on user_77 and friends', lower(name))),
+n AS (SELECT * FROM knowledge WHERE entity_id IN (SELECT id FROM m) ORDER BY source_date DESC, id LIMIT 40),
+s AS (SELECT source_date FROM n ORDER BY CASE importance WHEN 'critical' THEN 1.0::DOUBLE WHEN 'high' THEN .95::DOUBLE ELSE .85::DOUBLE END / (1 + greatest((epoch_us({_T}) - epoch_us(source_date)) / 86400000000.0, 0) * .05::DOUBLE) DESC, id LIMIT {K})
+SELECT CASE WHEN count(*) FILTER (source_date > {_T} - INTERVAL 7 DAY) > count(*) / 2.0 THEN 'fresh' WHEN count(*) FILTER (source_date < {_T} - INTERVAL 30 DAY) > count(*) / 2.0 THEN 'stale' ELSE 'mixed' END AS label, count(*) AS results FROM s""",
+)
 def search_recency_label(t: Tables) -> DataFrame:
-    return retrieval.recency_label(t.knowledge(), NOW)
+    """The label of a search's results."""
+    matched = retrieval.match_entities(t.entities(), "notes on user_77 and friends").select(F.col("id").alias("entity_id"))
+    found = retrieval.entity_search(t.knowledge(), t.mentions(), matched, NOW, K).join(t.knowledge().select("id", "source_date"), "id")
+    return retrieval.recency_label(found, NOW)
 
 
 @query("R19", f"WITH {_keyword(WORDS)}, {_fts(FTS)} SELECT id, round(score, 6) AS score FROM kw UNION ALL SELECT id, round(score * .8::DOUBLE, 6) FROM ft WHERE id NOT IN (SELECT id FROM kw)")

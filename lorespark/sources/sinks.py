@@ -18,9 +18,10 @@ def load_result(spark: SparkSession, root: str, key: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{key}")
 
 
-def save_text(lines: DataFrame, path: str) -> None:
-    """Lines of text (one string column), in the order given, as one document."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+def save_text(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Lines of text (the column ``line``) as one document, in the order of the columns
+    named.  One task writes it: it is for what people read, not for tables."""
+    lines.repartition(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str) -> str:

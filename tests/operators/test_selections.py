@@ -94,5 +94,5 @@ def test_sinks(spark, tmp_path):
     assert sinks.load_result(spark, root, "k").count() == 1 and sinks.load_result(spark, root, "k-history/one").count() == 2
     target = sinks.upsert_table(spark, f"{root}/k-history/one", spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string"), ["id"], "2")
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    sinks.save_text(context.markdown(a, F.col("x"), F.col("id").cast("string")), f"{root}/text")
+    sinks.save_text(context.markdown(a, F.col("x"), F.col("id").cast("string")), f"{root}/text", ["line"])
     assert [r.value for r in spark.read.text(f"{root}/text").collect()] == ["- **a** 1", "- **b** 2"]
