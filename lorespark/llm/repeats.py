@@ -11,8 +11,9 @@ the one with the smallest hash (the last such) is its anchor: it depends on the
 window's content alone, so equal windows have equal anchors at equal places.  The
 corpus is dealt by anchor, about one in 150 bytes and one in 20 words, packed by
 batches; anchors that occur once end there.
-Further digits.  The stretches around the anchors that are left are grouped
-(identical ones at once, before anything is shuffled).  A group of more than
+Further digits.  The stretches around the anchors that are left are grouped by a
+hash (identical ones at once); the letters themselves move only where an anchor has
+different ones.  A group of more than
 ``GROUP`` different stretches is split: its windows are halved by the anchor's place
 in them, and what all windows of a half have around the anchor is the next digit.
 That goes on until groups are small or the digit is the whole window, so a passage
@@ -226,35 +227,76 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from by_group(batches, 0, solve)
 
 
+_NEAR = "key binary, w int, h long, fh long, p int, before int, count int"
+
+
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _prints(window: int):
+    """The stretch around each anchor (the letters of all windows that have it) as a
+    hash, with the anchor's place in it; equal stretches have equal ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = _letters(batch.column(1))
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.slice(ends[0], ends[-1] - ends[0]).flatten()
+            w, h, p, s0, s1 = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat)
+            bounds = ends - ends[0]
+            doc = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            fh = np.zeros(len(h), np.uint64)
+            for i, j in slices(offs):
+                part, cuts = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                words, of_text = _words(part, cuts)
+                own = np.arange(bounds[i], bounds[j])
+                for kind, (letters, starts, size) in enumerate(((part, cuts, window), (words, of_text, PASSAGE))):
+                    k = own[w[own] == kind]
+                    base = starts[doc[k] - i]
+                    fh[k] = span_hash(prefix_hash(letters), base + s0[k], base + s1[k] + size)
+            before = p - s0
+            fh = mix(fh ^ mix((2 * before + w).astype(np.uint64)))
+            columns = [pa.array(w, pa.int32()), pa.array(h), pa.array(fh.view(np.int64)), *(pa.array(x, pa.int32()) for x in (p, before, s1 - s0 + 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *columns], ["key", "w", "h", "fh", "p", "before", "count"])
+
+    return work
+
+
 def _stretches(window: int):
-    """Of each text, the letters around its anchors, relative to the anchor."""
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """The letters of the stretches that are wanted of each text."""
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4, pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "w", "h", "p", "before", "count", "letters")}
-            texts = batch.column(1).cast(pa.large_binary())
-            for key, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
+            out: list[tuple] = []
+            texts = batch.column(0).cast(pa.large_binary())
+            for text, found in zip(texts, batch.column(1).to_pylist(), strict=True):
                 raw = memoryview(text.as_buffer())
                 words = None
                 for a in found:
                     if a["w"] and words is None:
                         data = np.frombuffer(raw, np.uint8)
                         words = memoryview(_words(data, np.array([0, len(data)]))[0].astype("<u8").tobytes())
-                    for name in ("w", "h", "p"):
-                        out[name].append(a[name])
-                    out["key"].append(key)
-                    out["before"].append(a["p"] - a["s0"])
-                    out["count"].append(a["s1"] - a["s0"] + 1)
-                    out["letters"].append(bytes(words[8 * a["s0"] : 8 * (a["s1"] + PASSAGE)] if a["w"] else raw[a["s0"] : a["s1"] + window]))
-                if len(out["key"]) >= 2000:
-                    yield flush(out)
-            yield flush(out)
-
-    def flush(out: dict[str, list]) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-        for v in out.values():
-            v.clear()
+                    s0 = a["p"] - a["before"]
+                    s1 = s0 + a["count"] - 1
+                    letters = bytes(words[8 * s0 : 8 * (s1 + PASSAGE)] if a["w"] else raw[s0 : s1 + window])
+                    last = PASSAGE - PASSAGE_GRAM if a["w"] else window - a["gram"]
+                    out.append((a["w"], a["h"], a["fh"], a["h"], a["own"], 0, last, a["before"], a["count"], letters))
+                    if len(out) >= 2000:
+                        yield flush(out)
+            if out:
+                yield flush(out)
+
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
         return batch
 
     return work
@@ -313,16 +355,13 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _columns(batch: pa.RecordBatch, letters: Letters) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The number columns and the letters of the stretches of one kind in a batch."""
     own = batch.filter(pa.compute.equal(batch.column(batch.schema.get_field_index("w")), letters.kind))
-    column = own.column(own.schema.get_field_index("letters")).cast(pa.large_binary())
     rows = {k: own.column(own.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "fh", "g", "own", "a", "b", "before", "count")}
     rows["g"] = rows["g"].view(np.uint64)
     if not len(own):
         return rows | {"base": np.zeros(0, np.int64)}, np.zeros(0, np.uint8)
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
+    data, offs = _letters(own.column(own.schema.get_field_index("letters")))
     each = 8 if letters.kind else 1
-    rows["base"] = (offs[:-1] - offs[0]) // each
+    rows["base"] = offs[:-1] // each
     return rows, data.view("<u8") if letters.kind else data
 
 
@@ -477,19 +516,23 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         whole = whole.filter("not again").unionByName(once)
     whole = whole.drop("again")
 
-    near = whole.mapInArrow(_stretches(window), "key binary, w int, h long, p int, before int, count int, letters binary")
-    near = materialize(near.withColumn("fh", F.xxhash64("letters", "before")), "stretches")
+    near = materialize(whole.mapInArrow(_prints(window), _NEAR), "near")
     occurrence = F.when(F.col("w") == 1, F.xxhash64("key")).otherwise(F.xxhash64("key", "p"))
-    group = near.groupBy("h", "fh").agg(*(F.first(c).alias(c) for c in ("w", "before", "count", "letters")), F.min(occurrence).alias("own"), F.max(occurrence).alias("other"))
+    group = near.groupBy("h", "fh").agg(*(F.first(c).alias(c) for c in ("w", "before", "count")), F.min(occurrence).alias("own"), F.max(occurrence).alias("other"), F.min(F.struct("key", "p")).alias("at"))
     # a stretch that several texts have is nobody's own
     group = group.withColumn("copied", F.col("own") != F.col("other")).withColumn("own", F.when(F.col("copied"), F.xxhash64("h", "fh")).otherwise(F.col("own"))).drop("other")
-    last = F.when(F.col("w") == 1, PASSAGE - PASSAGE_GRAM).otherwise(window - gram).cast("int")
-    group = materialize(group.withColumn("g", F.col("h")).withColumn("a", F.lit(0)).withColumn("b", last), "groups")
+    group = materialize(group, "groups")
     all_of = group.filter("copied").select("h", "fh", (-F.col("before")).alias("first"), (F.col("count") - 1 - F.col("before")).alias("last"))
-    runs = repeated_runs(group.select(*(x.split()[0] for x in _STRETCH.split(", "))), alphabets)
+    # the letters are needed only where an anchor has different stretches
+    varied = group.groupBy("h").count().filter("count > 1").select("h")
+    wanted = group.join(varied, "h").select(F.col("at.key").alias("k"), F.struct("w", "h", "fh", F.col("at.p").alias("p"), "before", "count", "own", F.lit(gram).alias("gram")).alias("x"))
+    wanted = wanted.groupBy("k").agg(F.collect_list("x").alias("wanted"))
+    stretches = materialize(whole.join(wanted, F.col("key") == F.col("k")).select("text", "wanted").mapInArrow(_stretches(window), _STRETCH), "stretches")
+    runs = repeated_runs(stretches, alphabets)
     spans = runs.unionByName(all_of).groupBy("h", "fh").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans = materialize(spans, "spans")  # the join splits a stretch that is very frequent
     forget(runs)
+    forget(stretches)
     placed = near.select("key", "w", "h", "fh", "p").join(spans, ["h", "fh"])
     placed = placed.select("key", F.transform("runs", lambda r: F.struct("w", (r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
     placed = placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
