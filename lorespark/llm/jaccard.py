@@ -226,7 +226,7 @@ class _Index:
         return np.bincount(ragged(self.owner, a, b - a), minlength=self.n)
 
 
-def block_links(left: list[dict], right: list[dict] | None) -> list[tuple[bytes, bytes]]:
+def block_links(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks, or within one.  What
     hangs on one hub (``ball``) is linked already."""
     rows = left if right is None else left + right
@@ -260,12 +260,12 @@ def block_links(left: list[dict], right: list[dict] | None) -> list[tuple[bytes,
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def solve(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+    def solve(rows: list[dict]) -> list[tuple[int, int]]:
         left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
         return block_links(left, right or None) if len(rows) > 1 else []
 
-    def out(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     last, rows, links = None, [], []
     for batch in batches:
@@ -285,12 +285,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(solve(rows))
 
 
-def class_links(sets: DataFrame) -> DataFrame:
+def class_links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (``a, b``) between classes of equal sets that have the same
-    components as all links."""
+    components as all links, and the classes' numbers (``fp, node``): they are
+    numbered as they are written, so that lists and links hold 8 bytes for each."""
     spark = sets.sparkSession
     classes = sets.filter("shared is not null").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "asked", "prefix", "shared")))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes.withColumnRenamed("fp", "print").withColumn("fp", F.monotonically_increasing_id()), "classes")
+    numbers = materialize(classes.select(F.col("print").alias("fp"), F.col("fp").alias("node")), "numbers")
     lists = classes.select("fp", F.explode(F.slice("shared", 1, F.col("prefix"))).alias("token"))
     leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("leader"))).alias("lead"), F.count("*").alias("c")).filter("c > 1")
     led = materialize(lists.join(leaders.select("token", "lead.leader"), "token"), "lists")
@@ -320,19 +322,19 @@ def class_links(sets: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("block", F.explode(upto("blocks"))).withColumn("block2", F.explode(upto("blocks2")))
     same = (F.col("hub") == F.col("hub2")) & (F.col("ball") == F.col("ball2"))
     pairs = pairs.filter(~same | (F.col("block") <= F.col("block2")))
-    pairs = pairs.withColumn("pair", F.concat_ws(":", F.hex("hub"), "ball", "block", F.hex("hub2"), "ball2", "block2"))
+    pairs = pairs.withColumn("pair", F.concat_ws(":", F.col("hub").cast("string"), "ball", "block", F.col("hub2").cast("string"), "ball2", "block2"))
     one = F.struct(F.col("hub"), F.col("ball"), F.col("block"), F.lit(0).alias("side"))
     two = F.struct(F.col("hub2").alias("hub"), F.col("ball2").alias("ball"), F.col("block2").alias("block"), F.lit(1).alias("side"))
     wanted = pairs.select("pair", F.explode(F.when(same & (F.col("block") == F.col("block2")), F.array(one)).otherwise(F.array(one, two))).alias("x")).select("pair", "x.*")
     members = placed.select("fp", "hub", "ball").join(groups.select("hub", "ball", "blocks"), ["hub", "ball"])
     members = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).drop("blocks")
     sent = wanted.join(members, ["hub", "ball", "block"]).join(classes, "fp").select("pair", "side", "fp", "hub", "ball", "n", "asked", "prefix", "shared")
-    links = sent.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side").mapInArrow(_compare, "a binary, b binary")
+    links = sent.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "side").mapInArrow(_compare, "a long, b long")
     links = links.unionByName(placed.filter("ball").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     links = materialize(links.distinct(), "links")
     for done in (classes, led, placed, groups):
         forget(done)
-    return links
+    return links, numbers
 
 
 def labelled_sets(docs: DataFrame, ngram: int = NGRAM) -> tuple[DataFrame, DataFrame]:
@@ -340,9 +342,10 @@ def labelled_sets(docs: DataFrame, ngram: int = NGRAM) -> tuple[DataFrame, DataF
     equal sets its component's name and smallest id (``fp, component,
     component_id``)."""
     sets = materialize(shingle_sets(docs, ngram), "sets")
-    parts = components(class_links(sets))
+    links, numbers = class_links(sets)
+    parts = numbers.join(components(links), "node").select("fp", "component")
     names = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = names.join(parts, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
+    named = names.join(parts, "fp", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.hex("fp")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return sets, named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
 
