@@ -56,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Files that a table is written as, at most: so many for each core, or one for so many
 #: bytes of what it is made from.  A plan of many partitions would make each small table
 #: thousands of files; tasks that are joined take their partitions one after the other.
-FILES_A_CORE = 4
+FILES_A_CORE = 2
 FILE_BYTES = 1 << 25
 
 

@@ -479,24 +479,24 @@ def common_anchors(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return counted.repartition(ranges, "batch").sortWithinPartitions("batch", "range").mapInArrow(_pick, f"k binary, anchors array<struct<{anchor}>>")
 
 
-def repeated_runs(stretches: DataFrame, alphabets: list[Letters]) -> DataFrame:
-    """``h, fh, first, last``: runs of windows that repeat among different stretches."""
+def repeated_runs(stretches: DataFrame, alphabets: list[Letters]) -> tuple[DataFrame, list[DataFrame]]:
+    """``h, fh, first, last``: runs of windows that repeat among different stretches; and
+    the tables to forget when these have been read."""
     n = partitions(stretches.sparkSession)
-    left, runs = stretches, None
+    left, runs, tables = stretches, None, []
     while True:
-        sizes = left.groupBy("g").agg(F.count("*").alias("n"), (F.max("a") == F.max("b")).alias("whole"), (F.min("own") != F.max("own")).alias("apart"))
-        sizes = materialize(sizes.filter("n > 1"), "sizes")
+        sizes = left.groupBy("g").agg(F.count("*").alias("n"), (F.max("a") == F.max("b")).alias("whole"), (F.min("own") != F.max("own")).alias("apart")).filter("n > 1")
         few = left.join(sizes.filter(f"n <= {GROUP} and not whole").select("g"), "g").select(*stretches.columns)
         done = few.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sort(alphabets), "h long, fh long, first int, last int")
         # groups whose digit is the whole window
         place = (-F.col("before")).alias("first"), (-F.col("before")).alias("last")
         done = done.unionByName(left.join(sizes.filter("whole").select("g", "apart"), "g").filter("w = 0 or apart").select("h", "fh", *place))
-        done = materialize(done, "runs")
         runs = done if runs is None else runs.unionByName(done)
         many = sizes.filter(f"n > {GROUP} and not whole").select("g")
         if not many.take(1):
-            return runs
+            return runs, tables
         left = materialize(left.join(many, "g").select(*stretches.columns).mapInArrow(_split(alphabets), _STRETCH), "halves")
+        tables.append(left)
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, list[DataFrame]]:
@@ -528,11 +528,11 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     wanted = group.join(varied, "h").select(F.col("at.key").alias("k"), F.struct("w", "h", "fh", F.col("at.p").alias("p"), "before", "count", "own", F.lit(gram).alias("gram")).alias("x"))
     wanted = wanted.groupBy("k").agg(F.collect_list("x").alias("wanted"))
     stretches = materialize(whole.join(wanted, F.col("key") == F.col("k")).select("text", "wanted").mapInArrow(_stretches(window), _STRETCH), "stretches")
-    runs = repeated_runs(stretches, alphabets)
+    runs, halves = repeated_runs(stretches, alphabets)
     spans = runs.unionByName(all_of).groupBy("h", "fh").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     spans = materialize(spans, "spans")  # the join splits a stretch that is very frequent
-    forget(runs)
-    forget(stretches)
+    for done in (stretches, *halves):
+        forget(done)
     placed = near.select("key", "w", "h", "fh", "p").join(spans, ["h", "fh"])
     placed = placed.select("key", F.transform("runs", lambda r: F.struct("w", (r["first"] + F.col("p")).alias("first"), (r["last"] + F.col("p")).alias("last"))).alias("runs"))
     placed = placed.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
