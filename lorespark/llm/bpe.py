@@ -251,7 +251,7 @@ def bpe_round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | Non
     path, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     rows = settled(docs.select("doc_id", "text"), "settled")  # documents are numbered by their order in a task
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), min(MOST_BUCKETS, size // BUCKET_BYTES))
+    buckets = min(MOST_BUCKETS, max(partitions(spark), size // BUCKET_BYTES))
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     cut = rows.mapInArrow(lambda b: _cut(b, pattern, buckets, id_type), _SCHEMA)

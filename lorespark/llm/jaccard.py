@@ -50,7 +50,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import forget, lower_ascii, materialize, mix, partitions, prefix_hash, prepare, ragged, settled, slices, span_hash, table, utf8, window_hash, word_spans
 from .graph import components
-from .packed import MOVE, ascending, bits, by_group, frame, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
+from .packed import MOVE, ascending, bits, by_group, frame, how_many_ranges, in_parts, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
 
 NGRAM = 5
 #: The threshold: PERCENT * union <= 100 * intersection.
@@ -124,25 +124,25 @@ def _deal(ranges: int, ngram: int, id_type: pa.DataType):
     return work
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(ranges: int):
     """Of each range, which shingles more than one document of the corpus has, and how
     many have these, back to each batch."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [(unascending(t), unplanes(n)) for t, n in (unframe(p) for *_, p in rows)]
-        flat, uses = np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
-        order = np.argsort(flat, kind="stable")
-        begins = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] + np.uint64(1)))
-        totals = np.empty(len(flat), np.uint64)
-        totals[order] = np.repeat(np.add.reduceat(uses[order], begins), np.diff(np.append(begins, len(flat))))
-        at = 0
-        for (number, r, _), (tokens, _) in zip(rows, parts, strict=True):
-            own = totals[at : at + len(tokens)]
-            at += len(tokens)
-            left = own > 1
-            yield moves([(number, r, frame(len(tokens).to_bytes(8, "little"), bits(left), ascending(tokens[left]), planes(own[left])))])
+        for place, parts in in_parts(rows, 56, ranges, lambda p: (lambda t, n: (unascending(t), unplanes(n)))(*unframe(p))):
+            flat, uses = np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+            order = np.argsort(flat, kind="stable")
+            begins = np.flatnonzero(np.diff(flat[order], prepend=flat[order[:1]] + np.uint64(1)))
+            totals = np.empty(len(flat), np.uint64)
+            totals[order] = np.repeat(np.add.reduceat(uses[order], begins), np.diff(np.append(begins, len(flat)))) if len(flat) else 0
+            at = 0
+            for (number, *_), (tokens, _) in zip(rows, parts, strict=True):
+                own = totals[at : at + len(tokens)]
+                at += len(tokens)
+                left = own > 1
+                yield moves([(number, place, frame(len(tokens).to_bytes(8, "little"), bits(left), ascending(tokens[left]), planes(own[left])))])
 
-    yield from by_group(batches, 1, solve)
+    return lambda batches: by_group(batches, 1, solve)
 
 
 def matches_asked(uses: np.ndarray, n: int, t: int) -> int:
@@ -200,10 +200,10 @@ def shingle_sets(docs: DataFrame, ngram: int = NGRAM) -> DataFrame:
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(partitions(spark), size >> 23)
+    ranges = how_many_ranges(size, partitions(spark))
     dealt = rows.mapInArrow(_deal(ranges, ngram, id_type), MOVE)
-    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_count, MOVE)
-    ordered = counted.repartition(partitions(spark), "batch").sortWithinPartitions("batch", "range")
+    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_count(ranges), MOVE)
+    ordered = counted.repartition(ranges, "batch").sortWithinPartitions("batch", "range")
     return ordered.mapInArrow(_gather(id_type), f"doc_id {kind.simpleString()}, n long, fp binary, asked int, prefix int, shared array<long>")
 
 

@@ -8,6 +8,7 @@ one row back to each.  A hash that fills the corpus is one entry of each batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,13 @@ import zstandard
 MOVE = "batch long, range int, payload binary"
 
 
+#: The most ranges, packed bytes of a range that are worked on together, and the most
+#: parts of a range.
+MOST_RANGES = 1 << 16
+SOLVE_BYTES = 64 << 20
+PARTS = 1 << 15
+
+
 def frame(*parts: bytes) -> bytes:
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
@@ -68,12 +76,42 @@ def own_range(number: int, ranges: int) -> int:
     return -1 - number % ranges
 
 
+def how_many_ranges(size: int, partitions: int) -> int:
+    """Ranges for so many bytes of text: one for 8 MB, but no more than leave a batch some
+    dozens of entries for each; a range that gets more than ``SOLVE_BYTES`` for that is
+    worked on in parts."""
+    return min(MOST_RANGES, max(partitions, size >> 23))
+
+
+@cache
+def _begins(width: int, ranges: int) -> np.ndarray:
+    return np.array([(r << width) // ranges for r in range(ranges)], np.uint64)
+
+
 def range_cuts(sorted_hashes: np.ndarray, width: int, ranges: int) -> Iterator[tuple[int, int, int]]:
     """(range, begin, end) of the ranges that the hashes of ``width`` bits fall into."""
-    cuts = np.searchsorted(sorted_hashes, np.array([(r << width) // ranges for r in range(ranges)], np.uint64))
-    for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(sorted_hashes)], strict=True)):
-        if a < b:
-            yield r, int(a), int(b)
+    cuts = np.append(np.searchsorted(sorted_hashes, _begins(width, ranges)), len(sorted_hashes))
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        yield r, int(cuts[r]), int(cuts[r + 1])
+
+
+def in_parts(rows: list[tuple], width: int, ranges: int, load: Callable[[bytes], tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """(place, arrays of each row) of a range's rows, the whole or parts of it by hash
+    that fit in memory; ``load`` gives a row's arrays, the sorted hashes first."""
+    parts = -(-sum(len(p) for *_, p in rows) // SOLVE_BYTES)
+    first = rows[0][1]
+    if parts <= 1:
+        yield first * PARTS, [load(p) for *_, p in rows]
+        return
+    low, high = (first << width) // ranges, ((first + 1) << width) // ranges
+    ends = [low + (high - low) * k // parts for k in range(1, parts)]
+    for k in range(parts):
+        own = []
+        for *_, p in rows:
+            arrays = load(p)
+            cuts = [0, *np.searchsorted(arrays[0], np.array(ends, np.uint64)).tolist(), len(arrays[0])]
+            own.append(tuple(x[cuts[k] : cuts[k + 1]] for x in arrays))
+        yield first * PARTS + k, own
 
 
 def by_group(batches: Iterator[pa.RecordBatch], column: int, solve: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, mix, partitions, prefix_hash, prepare, settled, slices, span_hash, table, utf8, window_hash, word_spans
-from .packed import MOVE, ascending, bits, by_group, frame, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
+from .packed import MOVE, ascending, bits, by_group, frame, how_many_ranges, in_parts, moves, own_range, planes, range_cuts, unascending, unbits, unframe, unplanes
 
 WINDOW = 400
 GRAM = 100
@@ -177,26 +177,30 @@ def _find(ranges: int, window: int, gram: int):
     return work
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(ranges: int):
     """Of each range, which anchors occur more than once, back to each batch."""
 
+    def load(blob: bytes) -> tuple[np.ndarray, ...]:
+        h, low, many = unframe(blob)
+        h = unascending(h)
+        return h, unplanes(low), unbits(many, len(h))
+
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [unframe(p) for *_, p in rows]
-        each = [unascending(h) for h, *_ in parts]
-        h, low = np.concatenate(each), np.concatenate([unplanes(x) for _, x, _ in parts])
-        many = np.concatenate([unbits(x, len(e)) for (*_, x), e in zip(parts, each, strict=True)])
-        order = np.argsort(h, kind="stable")
-        begins = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] + np.uint64(1)))
-        own = low[order]
-        common = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)) | np.logical_or.reduceat(many[order], begins)
-        out = np.empty(len(h), bool)
-        out[order] = np.repeat(common, np.diff(np.append(begins, len(h))))
-        at = 0
-        for (number, r, _), e in zip(rows, each, strict=True):
-            yield moves([(number, r, frame(len(e).to_bytes(8, "little"), bits(out[at : at + len(e)])))])
-            at += len(e)
-
-    yield from by_group(batches, 1, solve)
+        for place, parts in in_parts(rows, 64, ranges, load):
+            h, low, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+            out = np.empty(len(h), bool)
+            if len(h):
+                order = np.argsort(h, kind="stable")
+                begins = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] + np.uint64(1)))
+                own = low[order]
+                common = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)) | np.logical_or.reduceat(many[order], begins)
+                out[order] = np.repeat(common, np.diff(np.append(begins, len(h))))
+            at = 0
+            for (number, *_), (each, *_) in zip(rows, parts, strict=True):
+                yield moves([(number, place, frame(len(each).to_bytes(8, "little"), bits(out[at : at + len(each)])))])
+                at += len(each)
+
+    return lambda batches: by_group(batches, 1, solve)
 
 
 _ANCHOR = [("w", pa.int32()), ("h", pa.int64()), ("p", pa.int32()), ("s0", pa.int32()), ("s1", pa.int32())]
@@ -472,9 +476,9 @@ def common_anchors(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     rows = settled(texts.select("key", "text"), "settled")  # batches are numbered by their order in a task
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(texts.sparkSession)
-    ranges = max(n, size // BATCH_BYTES)
+    ranges = how_many_ranges(size, n)
     dealt = rows.mapInArrow(_find(ranges, window, gram), MOVE)
-    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_common, MOVE)
+    counted = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_common(ranges), MOVE)
     anchor = ", ".join(f"{n}: {'bigint' if k == pa.int64() else 'int'}" for n, k in _ANCHOR)
     return counted.repartition(ranges, "batch").sortWithinPartitions("batch", "range").mapInArrow(_pick, f"k binary, anchors array<struct<{anchor}>>")
 

@@ -102,6 +102,44 @@ def test_packed_numbers_come_back():
     assert cuts[0][1] == 0 and cuts[-1][2] == len(a) and all(x[2] == y[1] for x, y in zip(cuts, cuts[1:], strict=False))
 
 
+def test_ranges_in_parts_give_the_same(monkeypatch):
+    """A range that is worked on in parts sends back what it would as a whole."""
+    from lorespark.llm import repeats
+
+    r, ranges = np.random.default_rng(5), 3
+    batches, own = [], []
+    for number in range(4):
+        h = np.unique(r.integers(0, 400, 150).astype(np.uint64) * np.uint64((1 << 56) // 400))
+        uses = r.integers(1, 3, len(h))
+        own += [(number, k, packed.frame(packed.ascending(h[a:b]), packed.planes(uses[a:b]))) for k, a, b in packed.range_cuts(h, 56, ranges)]
+    batches = [packed.moves(sorted(own, key=lambda x: x[1]))]
+
+    def answers(run):
+        out = {}
+        for row in sorted((tuple(x.values()) for b in run(iter(batches)) for x in b.to_pylist()), key=lambda x: x[:2]):
+            n, mask, *more = packed.unframe(row[2])
+            mask = packed.unbits(mask, int.from_bytes(n, "little")).tolist()
+            tokens = packed.unascending(more[0]).tolist() if more else []
+            totals = packed.unplanes(more[1]).tolist() if more else []
+            a, b, c = out.setdefault((row[0], row[1] // packed.PARTS), ([], [], []))
+            a.extend(mask), b.extend(tokens), c.extend(totals)
+        return out
+
+    want = answers(jaccard._count(ranges))
+    monkeypatch.setattr(packed, "SOLVE_BYTES", 100)
+    assert answers(jaccard._count(ranges)) == want and any(any(m) for m, *_ in want.values())
+
+    own = []
+    for number in range(4):
+        h = np.unique(r.integers(0, 300, 120).astype(np.uint64) * np.uint64((1 << 64) // 300))
+        low, many = r.integers(0, 2, len(h)), r.random(len(h)) < 0.1
+        own += [(number, k, packed.frame(packed.ascending(h[a:b]), packed.planes(low[a:b]), packed.bits(many[a:b]))) for k, a, b in packed.range_cuts(h, 64, ranges)]
+    batches = [packed.moves(sorted(own, key=lambda x: x[1]))]
+    found = answers(repeats._common(ranges))
+    monkeypatch.setattr(packed, "SOLVE_BYTES", 1 << 26)
+    assert answers(repeats._common(ranges)) == found and any(any(m) for m, *_ in found.values())
+
+
 def test_a_shingle_that_all_documents_have_travels_once_a_batch(spark):
     """Ranges get entries by batch, not by document."""
     docs = spark.createDataFrame([(i, "the same five words here") for i in range(5000)], "doc_id long, text string").coalesce(1)
