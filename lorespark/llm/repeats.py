@@ -51,7 +51,7 @@ DIGIT = 100
 PASSAGE = 51
 PASSAGE_GRAM = 12
 PASSAGE_DIGIT = 13
-GROUP = 1_000
+GROUP = 5_000
 #: Stretches that are sorted together in memory.
 BLOCK = 3_000
 #: Bytes of text in a batch whose anchors travel together.
@@ -113,19 +113,19 @@ def anchors(hashes: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tup
     return hashes[place[first]], text[first], place[first] - base, starts[first] - base, starts[last] - base
 
 
-def byte_anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def byte_anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     at = np.arange(max(0, len(data) - gram + 1))
-    return anchors(span_hash(prefix_hash(data), at, at + gram), offs, window, gram)
+    return anchors(span_hash(prefix_hash(data) if sums is None else sums, at, at + gram), offs, window, gram)
 
 
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offs: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, and the offsets of the texts in them."""
     starts, ends, text = word_spans(data, offs)
-    return span_hash(prefix_hash(data), starts, ends), np.searchsorted(text, np.arange(len(offs)))
+    return span_hash(prefix_hash(data) if sums is None else sums, starts, ends), np.searchsorted(text, np.arange(len(offs)))
 
 
-def word_anchors(data: np.ndarray, offs: np.ndarray, window: int = PASSAGE, gram: int = PASSAGE_GRAM) -> tuple[np.ndarray, ...]:
-    words, of_text = _words(data, offs)
+def word_anchors(data: np.ndarray, offs: np.ndarray, window: int = PASSAGE, gram: int = PASSAGE_GRAM, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    words, of_text = _words(data, offs, sums)
     h, *rest = anchors(window_hash(words, gram), of_text, window, gram)
     return mix(h ^ np.uint64(gram)), *rest
 
@@ -161,7 +161,8 @@ def _find(ranges: int, window: int, gram: int):
             names = batch.column(0).to_pylist()
             for i, j in slices(offs):
                 part = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                for kind, found in enumerate((byte_anchors(*part, window, gram), word_anchors(*part))):
+                sums = prefix_hash(part[0])
+                for kind, found in enumerate((byte_anchors(*part, window, gram, sums), word_anchors(*part, sums=sums))):
                     h, t, p, s0, s1 = found
                     held.append([h, t + len(keys), np.full(len(h), kind), p, s0, s1])
                 keys += names[i:j]
@@ -258,12 +259,13 @@ def _prints(window: int):
             fh = np.zeros(len(h), np.uint64)
             for i, j in slices(offs):
                 part, cuts = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                words, of_text = _words(part, cuts)
+                sums = prefix_hash(part)
+                words, of_text = _words(part, cuts, sums)
                 own = np.arange(bounds[i], bounds[j])
-                for kind, (letters, starts, size) in enumerate(((part, cuts, window), (words, of_text, PASSAGE))):
+                for kind, (up_to, starts, size) in enumerate(((sums, cuts, window), (prefix_hash(words), of_text, PASSAGE))):
                     k = own[w[own] == kind]
                     base = starts[doc[k] - i]
-                    fh[k] = span_hash(prefix_hash(letters), base + s0[k], base + s1[k] + size)
+                    fh[k] = span_hash(up_to, base + s0[k], base + s1[k] + size)
             before = p - s0
             fh = mix(fh ^ mix((2 * before + w).astype(np.uint64)))
             columns = [pa.array(w, pa.int32()), pa.array(h), pa.array(fh.view(np.int64)), *(pa.array(x, pa.int32()) for x in (p, before, s1 - s0 + 1))]
@@ -436,14 +438,12 @@ def _sort(alphabets: list[Letters]):
     return work
 
 
-def _merged(spans: list[dict], window: int) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((s["first"], s["last"] + window) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans with those that touch made one."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order]) if len(end) else end
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(first)), bool), first[1:] > end[:-1]]))
+    return first[begins], end[np.append(begins[1:], len(first)) - 1] if len(first) else end
 
 
 def _cut(window: int):
@@ -452,15 +452,20 @@ def _cut(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_removed": [], "n_spans": [], "n_passages": [], "kept_sha256": [], "kept": [], "removed": []}
-            for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                merged, parts, at = _merged([s for s in spans if not s["w"]], window), [], 0
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            w, first, last = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.values.slice(ends[0], ends[-1] - ends[0]).flatten())
+            for text, i, j in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), ends[:-1] - ends[0], ends[1:] - ends[0], strict=True):
+                of_words = w[i:j] == 1
+                begin, end = _merged(first[i:j][~of_words], last[i:j][~of_words] + window)
+                merged, parts, at = list(zip(begin.tolist(), end.tolist(), strict=True)), [], 0
                 for a, b in merged:
                     parts.append(text[at:a])
                     at = b
                 left = b"".join([*parts, text[at:]])
                 out["n_removed"].append(len(text) - len(left))
                 out["n_spans"].append(len(merged))
-                out["n_passages"].append(len(_merged([s for s in spans if s["w"]], PASSAGE)))
+                out["n_passages"].append(len(_merged(first[i:j][of_words], last[i:j][of_words] + PASSAGE)[0]))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["kept"].append(left)
                 out["removed"].append([{"start": a, "end": b} for a, b in merged])
@@ -514,7 +519,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     mine = mine.join(one, F.col("key") == F.col("k")).drop("key")
     whole = texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", F.col("text").cast("binary").alias("text"), "anchors", "again")
     whole = materialize(whole, "texts")
-    if whole.filter("again").take(1):
+    if whole.filter("again").select(F.lit(1)).take(1):
         # texts that repeat with one id, of which the join takes every row
         once = materialize(whole.filter("again").dropDuplicates(["key"]), "once")
         whole = whole.filter("not again").unionByName(once)
