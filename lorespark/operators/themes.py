@@ -139,7 +139,7 @@ def _nearest(centroids):
                 if size:
                     score = (unit @ (np.array(v, float) / size)).round(9)
                     k = int(score.argmax())
-                    if near[i] is None or (score[k], names[k]) > (near[i], "") and score[k] > near[i]:
+                    if near[i] is None or score[k] > near[i] or (score[k] == near[i] and names[k] < into[i]):
                         into[i], near[i] = names[k], float(score[k])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(into, pa.string()), pa.array(near, pa.float64())], batch.schema.names)
 

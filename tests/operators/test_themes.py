@@ -117,3 +117,12 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     again = streams.thread_update(once, rows)
     want = {(1, 2, 1, False), (2, 1, 0, True)}
     assert {tuple(r) for r in once.collect()} == want and {tuple(r) for r in again.collect()} == want
+
+
+def test_centroids_in_blocks_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, f"p{i % 40}" if i < 160 else f"s{i}", (np.eye(8)[i % 8] + r.normal(scale=0.3, size=8)).round(6).tolist()) for i in range(200)]
+    facts = spark.createDataFrame(rows, SCHEMA)
+    want = {x.id: x.theme for x in themes.themes(facts).collect()}
+    monkeypatch.setattr(themes, "CENTROIDS", 7)
+    assert {x.id: x.theme for x in themes.themes(facts).collect()} == want == by_hand(rows)
