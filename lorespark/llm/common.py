@@ -85,11 +85,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once nothing reads it."""
+    """Delete a table that ``materialize`` wrote in this process, once nothing reads it;
+    anything else that ``df`` reads stays."""
+    mine = {path.rsplit("/", 1)[1]: path for path in _WRITTEN}
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lorespark-" in top:
+        if path := mine.get(top.rsplit("/", 1)[1]):
             _delete(df.sparkSession, top)
-            _WRITTEN.difference_update([x for x in _WRITTEN if x.rsplit("/", 1)[1] == top.rsplit("/", 1)[1]])
+            _WRITTEN.discard(path)
 
 
 def forget_all(spark: SparkSession) -> int:

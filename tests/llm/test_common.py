@@ -68,6 +68,17 @@ def test_tables_are_forgotten(spark, odd_docs):
     assert common.forget_all(spark) >= 1 and common.forget_all(spark) == 0
 
 
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    path = str(tmp_path / "lorespark-input")
+    spark.range(3).write.parquet(path)
+    common.forget(spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 3
+    own = common.materialize(spark.range(3), "own")
+    (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in own.inputFiles()}
+    common.forget(own)
+    assert not __import__("os").path.exists("/" + folder.lstrip("/"))
+
+
 class _Cluster:
     """A session of a cluster that names no shared folder."""
 
