@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ def text_files(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     own = files.select("path", name.alias("name"), extension.alias("extension"), F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
-    own = own.filter(F.col("extension").isin(EXTENSIONS) & ~F.col("path").rlike(r"/\.[^/]|/node_modules/") & (F.length("content") >= least))
+    below = F.substring_index("path", re.sub(r"^\w+:/*", "/", path).rstrip("/"), -1)  # what the folder itself is called doesn't matter
+    own = own.filter(F.col("extension").isin(EXTENSIONS) & ~below.rlike(r"/\.[^/]|/node_modules/") & (F.length("content") >= least))
     return own.withColumn("meta", frontmatter(F.col("content")))
 
 

@@ -96,3 +96,12 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     sinks.save_text(context.markdown(a, F.col("x"), F.col("id").cast("string")), f"{root}/text", ["line"])
     assert [r.value for r in spark.read.text(f"{root}/text").collect()] == ["- **a** 1", "- **b** 2"]
+
+
+def test_folders_below_a_dot_folder(spark, tmp_path):
+    root = tmp_path / ".notes" / "node_modules" / "mine"
+    for name, text in {"a.md": "---\nlang: en\n---\nlong enough", ".hidden/b.md": "long enough text", "c/.d.txt": "long enough text", "e/f.TXT": "long enough text", "g.bin": "long enough text", "h.txt": "short"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    found = {r.name: r for r in files.text_files(spark, str(root)).collect()}
+    assert set(found) == {"a.md", "f.TXT"} and found["a.md"].meta["lang"] == "en" and found["f.TXT"].extension == "txt"
