@@ -79,6 +79,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """Tables of one schema in the shared folder, one for each level of an iteration;
+    read one by one or together, with the level as a column."""
+
+    def __init__(self, spark: SparkSession, schema: str, name: str, column: str = "depth"):
+        self.spark, self.schema, self.column = spark, schema, column
+        self.path = f"{shared_dir(spark)}/lorespark-{uuid.uuid4().hex}-{name}"
+        _WRITTEN.add(self.path)
+
+    def put(self, level: int, df: DataFrame) -> DataFrame:
+        few_files(df).write.option("compression", "zstd").parquet(f"{self.path}/{self.column}={level}")
+        return self.at(level)
+
+    def split(self, df: DataFrame) -> None:
+        """Write rows of all levels, by their own column."""
+        few_files(df).write.option("compression", "zstd").partitionBy(self.column).parquet(self.path)
+
+    def at(self, level: int) -> DataFrame:
+        path = f"{self.path}/{self.column}={level}"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], f"{self.schema}, {self.column} int")
+        return self.spark.read.schema(f"{self.schema}, {self.column} int").parquet(self.path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
