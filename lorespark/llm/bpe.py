@@ -40,8 +40,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import partitions, prepare, ragged, settled, strings, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Characters of the documents that share a dictionary.
-BATCH_CHARS = 1 << 23
+#: Characters, and number, of the documents that share a dictionary.
+BATCH_CHARS, BATCH_TEXTS = 1 << 23, 60_000
 #: Bytes of documents for which there is a bucket.  More than ``MOST_BUCKETS`` would
 #: give a batch more buckets than it has words; a bucket then reads more, as a stream.
 BUCKET_BYTES = 1 << 24
@@ -140,8 +140,8 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type:
         info = _frame([sink.getvalue().to_pybytes(), _planes(counts), _planes(uses), _planes(home)])
         rows = [(number, -1 - number % buckets, info, _planes(codes))]
         order = np.argsort(home, kind="stable")
-        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))  # none where no text has a word
+        for a, b in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True):
             own = order[a:b]
             payload = zstandard.compress(b"".join(raw[i] for i in own), 3)
             rows.append((number, int(home[own[0]]), _planes(np.array([len(raw[i]) for i in own])), payload))
@@ -153,7 +153,7 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type:
             ids.append(doc)
             positions.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
             size += len(text)
-            if size >= BATCH_CHARS:
+            if size >= BATCH_CHARS or len(ids) >= BATCH_TEXTS:
                 yield _rows(batch_rows())
                 number += 1
                 ids.clear(), words.clear(), positions.clear()

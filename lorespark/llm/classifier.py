@@ -130,7 +130,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = utf8(batch.column(1))
         parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in _chunks(offs)]
         blobs = [row.tobytes() for part in parts for row in part]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["label", "vector"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2), batch.column(3)], ["label", "vector", "id", "print"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
@@ -139,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     usable = labels.filter(~held & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
-    found = rows.select("label", "text").mapInArrow(_featurize, "label int, vector binary").limit(4 * sample).collect()
+    # rows that repeat count once, so ids that stand once give at most ``sample``; of further texts of an id, the first by hash
+    own = rows.select("label", "text", F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("print"))
+    once = own.mapInArrow(_featurize, "label int, vector binary, id string, print string").dropDuplicates(["id", "print", "label"])
+    found = once.orderBy(F.xxhash64("id", "print"), "id", "print", "label").limit(sample).select("label", "vector").collect()
     frequency, n = document_frequencies(docs.select("text"))
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 1
     if not found:

@@ -236,13 +236,14 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the words ``[^\\x20\\x09-\\x0D]+``."""
+def word_spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words ``[^\\x20\\x09-\\x0D]+``, or of the runs
+    of other bytes than those marked in ``between``."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    blank = _SPACE[data]
+    blank = between[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = blank[:-1]

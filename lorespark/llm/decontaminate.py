@@ -17,7 +17,8 @@ in overlapping stretches, and of each stretch only the pieces of which it has
 enough places go on.
 
 The lemma says nothing of items under ``LEAST`` bytes: these are contained where
-they stand exactly, between blanks.
+they stand exactly, their first and last word (of letters, digits and bytes over 127)
+as whole words, whatever stands around; an item without words stands between blanks.
 
 Documents don't move.  A task holds ``HOLD_BYTES`` of texts and takes them past
 the blocks of the benchmark (``BLOCK_BYTES`` each, one index at a time).  A
@@ -56,6 +57,8 @@ STRETCH = 2048
 CANDIDATES = 4096
 
 _BITS = 22
+_NO_WORD = np.ones(256, bool)
+_NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(40)
 
@@ -89,18 +92,20 @@ def normal_item(text: str | None) -> bytes:
 
 class Pieces:
     """The pieces of a block of items (number, normal bytes), and the places of their
-    q-grams; of short items, the hashes of their words by the number of these."""
+    q-grams; of short items, by what bounds their words, the hashes of these by their
+    number, with the bytes before the first word."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.items: list[int] = []
         self.pieces: list[np.ndarray] = []
-        self.short: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
+        self.short: dict[bool, dict[int, dict[int, list[tuple[int, bytes, int]]]]] = {False: {}, True: {}}
         for item, text in items:
             own = np.frombuffer(text, np.uint8)
             if 0 < len(own) < LEAST:
-                starts, ends, _ = word_spans(own, np.array([0, len(own)]))
+                bare = bool(_NO_WORD[own].all())
+                starts, ends, _ = word_spans(own, np.array([0, len(own)]), _SPACE if bare else _NO_WORD)
                 key = int(window_hash(span_hash(prefix_hash(own), starts, ends), len(starts))[0])
-                self.short.setdefault(len(starts), {}).setdefault(key, []).append((item, text))
+                self.short[bare].setdefault(len(starts), {}).setdefault(key, []).append((item, text, int(starts[0])))
             if len(own) < LEAST:
                 continue
             last = max(0, len(own) - PIECE)
@@ -185,22 +190,24 @@ def align(pieces: np.ndarray, texts: np.ndarray, edits: int) -> tuple[np.ndarray
 
 
 def exact_items(data: np.ndarray, offs: np.ndarray, block: Pieces) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, start, 0) of the short items that stand between blanks."""
-    if not block.short or not len(data):
-        return
-    starts, ends, doc = word_spans(data, offs)
-    words = span_hash(prefix_hash(data), starts, ends)
+    """(text, item, start, 0) of the short items that stand as whole words."""
     known = set()
-    for n, wanted in block.short.items():
-        if len(words) < n:
+    for bare, by_number in block.short.items():
+        if not by_number or not len(data):
             continue
-        runs = window_hash(words, n)
-        for i in np.flatnonzero(np.isin(runs, np.array(list(wanted), np.uint64)) & (doc[: len(runs)] == doc[n - 1 :])).tolist():
-            own = data[starts[i] : ends[i + n - 1]].tobytes()
-            for item, text in wanted[int(runs[i])]:
-                if own == text and (int(doc[i]), item) not in known:
-                    known.add((int(doc[i]), item))
-                    yield int(doc[i]), item, int(starts[i] - offs[doc[i]]), 0
+        starts, ends, doc = word_spans(data, offs, _SPACE if bare else _NO_WORD)
+        words = span_hash(prefix_hash(data), starts, ends)
+        for n, wanted in by_number.items():
+            if len(words) < n:
+                continue
+            runs = window_hash(words, n)
+            for i in np.flatnonzero(np.isin(runs, np.array(list(wanted), np.uint64)) & (doc[: len(runs)] == doc[n - 1 :])).tolist():
+                for item, text, before in wanted[int(runs[i])]:
+                    at = int(starts[i]) - before
+                    own = data[max(at, offs[doc[i]]) : min(at + len(text), offs[doc[i] + 1])].tobytes()
+                    if own == text and (int(doc[i]), item) not in known:
+                        known.add((int(doc[i]), item))
+                        yield int(doc[i]), item, int(at - offs[doc[i]]), 0
 
 
 def leaks(data: np.ndarray, offs: np.ndarray, block: Pieces) -> list[tuple[int, int, int, int]]:

@@ -1,14 +1,17 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is cut into leaf blocks (runs of text between block-level tags; scripts,
-styles, markup comments and the head give none).  Each block is a vector: hashed
+A page is cut in linear time into leaf blocks (runs of text between block-level tags;
+scripts, styles, markup comments and the head give none).  Each block is a vector: hashed
 elements of its tag path (names, classes, ids, roles), hashed words, and a few
 measures (length, share of link text, of digits, of punctuation).  A
 bidirectional LSTM reads the page's blocks in order, and its two states label
 each block as article or not with the context of the whole document.
 
 The network is in numpy and trained here, once a process, on generated pages
-(``generated_page``) in which every block's label is known by construction.
+(``generated_page``) in which every block's label is known by construction.  In about
+half of them the article's holder has an unknown name or none, or all names are made
+up, or the page is a table, or has no tags at all, so that context and measures must
+serve where names don't.
 
 Defined results: a null or empty page, or one without article blocks, has the
 empty text; a null page_id or url is carried; repeated rows each give a row; an
@@ -21,6 +24,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare, strings, table
 
-PATH_DIMS, WORD_DIMS, MEASURES = 224, 16, 6
+PATH_DIMS, WORD_DIMS, MEASURES = 160, 16, 6
 WIDTH = PATH_DIMS + WORD_DIMS + MEASURES
 STATES = 12
-PAGES, EPOCHS, SEED = 1_600, 12, 17
+PAGES, EPOCHS, SEED = 2_400, 12, 17
+#: Characters that tags without an end may cost to read; then quotes aren't minded any more.
+UNCLOSED_CHARS = 1 << 25
 
 # Element names of the HTML standard by their role.
 BLOCK = frozenset(
@@ -44,6 +50,24 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea noembed noframes svg math object canvas head".split())
 
+# Words by which pages name their parts.
+_ARTICLE = ["article", "main", "div class=post", "div class=entry-content", "div class=article-body", "div id=content", "section class=story", "div class=text", "div id=main-content class=post-content", "div class='blog-post body'"]
+_MENU = ["nav", "div class=menu", "ul class=nav", "div id=navigation", "div class=breadcrumb", "div class=pagination", "div role=navigation", "div class=toolbar"]
+_TOP = ["header", "div id=header", "div class=site-header", "div class=masthead", "div class=top-bar", "header class=page-header role=banner"]
+_BOTTOM = ["footer", "div id=footer", "div class=site-footer", "div class=copyright", "footer class=page-footer role=contentinfo"]
+_SIDE = ["aside", "div class=sidebar", "div class=widget", "div class=related", "section class='related-posts'", "div id=sidebar", "aside class=recommended", "div class='most-read'"]
+_AD = ["div class=ad", "div class=ads", "div class=advert", "div class='ad-banner sponsored'", "div class=promo", "div id=advertisement", "ins class=adsbygoogle", "aside class=ad", "section class=sponsor"]
+_NOTICE = ["div class=cookie-notice", "div id=cookie-banner", "div class=notice", "div class=consent", "div class='alert message'", "div class=popup", "div class=gdpr", "dialog", "div role=alert", "div class='modal subscribe'"]
+_FORM = ["form", "div class=newsletter", "form class=search", "form id=login", "div class='signup subscribe'", "form class=contact"]
+_COMMENTS = ["section class=comments", "div id=comments", "div class=comment-list", "ol class=comments", "div class='discussion responses'", "section id=respond", "div class=reader-comments"]
+
+_PART = re.compile(r"[^\W_]+")
+#: The places in a vector of parts of tag paths that mean something; any other class, id or
+#: role has the place 0, so that it looks like none of these.
+_PARTS = BLOCK | set("a abbr b cite code em i ins q small span strong sub sup time u".split())
+_PARTS |= {f".{part}" for names in (_ARTICLE, _MENU, _TOP, _BOTTOM, _SIDE, _AD, _NOTICE, _FORM, _COMMENTS, ["x logo author comment page wrapper container"]) for said in names for part in _PART.findall(re.sub(r"class=|id=|role=|^\w+", " ", said))}
+_PLACES = {part: k for k, part in enumerate(sorted(_PARTS), 1)}
+
 #: Comments, declarations, and tags: attributes as the HTML standard reads them (a
 #: quote inside a name or a bare value is part of it).  A tag whose quote is never
 #: closed ends at the next ``>``.
@@ -54,29 +78,61 @@ _TOKEN = re.compile(
     re.S,
 )
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_PART = re.compile(r"[^\W_]+")
 
 
-def blocks(page: str) -> list[tuple[list[str], str, float]]:
-    """(tag path, text, share of link text) of the leaf blocks, in page order.
-    Paths hold names, and classes, ids and roles with their element's name."""
-    out: list[tuple[list[str], str, float]] = []
-    stack: list[tuple[str, list[str]]] = []
+#: The same without a thought for quotes, groups numbered alike.
+_SIMPLE_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|()()()<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+
+
+class Place:
+    """An open element: its parts of a tag path, after its parent's, and all of them as
+    bits, so that a block costs the same at any depth."""
+
+    __slots__ = ("parent", "own", "bits")
+
+    def __init__(self, parent: Place | None, own: list[str]):
+        self.parent, self.own = parent, own
+        self.bits = parent.bits if parent else 0
+        for part in own:
+            self.bits |= 1 << _PLACES.get(part, 0)
+
+    def path(self) -> list[str]:
+        """Names, and classes, ids and roles, from the top."""
+        out, place = [], self
+        while place:
+            out.append(place.own)
+            place = place.parent
+        return [part for own in reversed(out) for part in own]
+
+
+def blocks(page: str) -> list[tuple[Place, str, float]]:
+    """(place, text, share of link text) of the leaf blocks, in page order."""
+    out: list[tuple[Place, str, float]] = []
+    top = Place(None, [])
+    stack: list[tuple[str, Place]] = []
+    is_open: Counter = Counter()
+    unended: set[str] = set()
     parts: list[str] = []
     linked, at = 0, 0
     in_link = 0
+    last, token, cost = page.rfind(">"), _TOKEN, 0
+
+    def leave(k: int) -> None:
+        for name, _ in stack[k:]:
+            is_open[name] -= 1
+        del stack[k:]
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(([x for _, own in stack for x in own], text, min(1.0, linked / len(text))))
+            out.append((stack[-1][1] if stack else top, text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
     while True:
-        m = _TOKEN.search(page, at)
-        start = m.start() if m else len(page)
+        m = token.search(page, at) if at <= last else None
+        start = m.start() if m else len(page) if (end := page.find("<!--", at)) < 0 else end
         if start > at:
             parts.append(page[at:start])
             if in_link:
@@ -86,12 +142,18 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
         at = m.end()
         ends, name, marked = (m.group(k) or m.group(k + 3) or "" for k in (1, 2, 3))
         name = name.lower()
+        if m.group(5) and token is _TOKEN:  # its quotes may have been looked for to the page's end
+            cost += len(page) - start
+            if cost > UNCLOSED_CHARS:
+                token = _SIMPLE_TAG
         if not name:
             continue
         if name in RAW and not ends:
-            if not marked.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if not marked.endswith("/") and name not in unended:
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at) if at <= last else None
                 at = end.end() if end else len(page) if name != "head" else at
+                if not end:
+                    unended.add(name)
             continue
         block = name in BLOCK
         if block:
@@ -101,9 +163,9 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
         if ends:
             if name == "a":
                 in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if is_open[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    leave(k)
                     break
                 if not block and stack[k][0] in BLOCK:
                     break
@@ -111,19 +173,19 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
         if name in VOID:
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # such an element ends an open one
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if is_open[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] in BLOCK and stack[k][0] != "p":
                     break
         elif block and name not in ("button", "label") and any(n == "p" for n, _ in stack[-3:]):
-            k = max(i for i, (n, _) in enumerate(stack) if n == "p")
-            del stack[k:]
+            leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
         if name == "a":
             in_link += 1
         marks = [p.lower() for g in _MARKS.findall(marked) for x in g for p in _PART.findall(x)]
-        stack.append((name, [name, *(f".{p}" for p in marks)]))
+        stack.append((name, Place(stack[-1][1] if stack else top, [name, *(f".{p}" for p in marks)])))
+        is_open[name] += 1
     close()
     return out
 
@@ -141,12 +203,11 @@ def _slot(word: str, dims: int) -> int:
     return k
 
 
-def vectors(found: list[tuple[list[str], str, float]]) -> np.ndarray:
+def vectors(found: list[tuple[Place, str, float]]) -> np.ndarray:
     x = np.zeros((len(found), WIDTH), np.float32)
-    for i, (path, text, linked) in enumerate(found):
+    for i, (place, text, linked) in enumerate(found):
         row = x[i]
-        for p in path:
-            row[_slot(p, PATH_DIMS)] = 1
+        row[:PATH_DIMS] = np.unpackbits(np.frombuffer(place.bits.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little")
         words = text.split()
         for w in words:
             row[PATH_DIMS + _slot(w, WORD_DIMS)] += 1
@@ -241,20 +302,20 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # Training pages ---------------------------------------------------------------
 
-# Words by which pages name their parts.
-_ARTICLE = ["article", "main", "div class=post", "div class=entry-content", "div class=article-body", "div id=content", "section class=story", "div class=text", "div id=main-content class=post-content", "div class='blog-post body'"]
-_MENU = ["nav", "div class=menu", "ul class=nav", "div id=navigation", "div class=breadcrumb", "div class=pagination", "div role=navigation", "div class=toolbar"]
-_TOP = ["header", "div id=header", "div class=site-header", "div class=masthead", "div class=top-bar", "header class=page-header role=banner"]
-_BOTTOM = ["footer", "div id=footer", "div class=site-footer", "div class=copyright", "footer class=page-footer role=contentinfo"]
-_SIDE = ["aside", "div class=sidebar", "div class=widget", "div class=related", "section class='related-posts'", "div id=sidebar", "aside class=recommended", "div class='most-read'"]
-_AD = ["div class=ad", "div class=ads", "div class=advert", "div class='ad-banner sponsored'", "div class=promo", "div id=advertisement", "ins class=adsbygoogle", "aside class=ad", "section class=sponsor"]
-_NOTICE = ["div class=cookie-notice", "div id=cookie-banner", "div class=notice", "div class=consent", "div class='alert message'", "div class=popup", "div class=gdpr", "dialog", "div role=alert", "div class='modal subscribe'"]
-_FORM = ["form", "div class=newsletter", "form class=search", "form id=login", "div class='signup subscribe'", "form class=contact"]
-_COMMENTS = ["section class=comments", "div id=comments", "div class=comment-list", "ol class=comments", "div class='discussion responses'", "section id=respond", "div class=reader-comments"]
+#: How often pages are made with the names above; with an article in a holder of a made-up
+#: name, in a bare one, in none; with made-up names all over; as a table; without tags.
+_KINDS = {"named": 50, "unknown": 12, "bare": 10, "open": 10, "masked": 10, "table": 6, "text": 2}
 
 
-def generated_page(r: random.Random) -> tuple[str, list[int]]:
+def generated_page(r: random.Random, kind: str | None = None) -> tuple[str, list[int]]:
     """A page and the label of each of its blocks."""
+    kind = kind or r.choices(list(_KINDS), list(_KINDS.values()))[0]
+    made_up: dict[str, str] = {}
+
+    def name() -> str:
+        letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(r.randint(2, 9)))
+        return f"{r.choice(['class', 'class', 'id'])}={r.choice('cxjsq')}{letters}"
+
     syllables = ["th", "an", "er", "in", "on", "re", "st", "en", "ou", "le", "ch", "ung", "ción", "é", "au", "ment", "lich", "os"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     labels: list[int] = []
@@ -264,8 +325,10 @@ def generated_page(r: random.Random) -> tuple[str, list[int]]:
         words = [word() + ("," if r.random() < 0.05 else "." if r.random() < 0.08 else "") for _ in range(max(1, n))]
         return " ".join(words) + end
 
-    def holder(kind: str, *inner: str) -> str:
-        return f"<{kind}>" + "".join(inner) + f"</{kind.split()[0]}>"
+    def holder(said: str, *inner: str) -> str:
+        if kind == "masked" and (" " in said or said in ("article", "main", "nav", "header", "footer", "aside", "dialog")):
+            said = made_up.setdefault(said, r.choice(["div", f"div {name()}", f"div {name()}", f"section {name()}"]))
+        return f"<{said}>" + "".join(inner) + f"</{said.split()[0]}>"
 
     def tag(name: str, inner: str) -> str:
         return f"<{name}>{inner}" + (f"</{name}>" if r.random() < 0.95 or name not in ("p", "li") else "")
@@ -318,11 +381,20 @@ def generated_page(r: random.Random) -> tuple[str, list[int]]:
                 inner.append(r.choice([lambda: plain(_AD), form, lambda: plain(_SIDE), lambda: plain(_NOTICE)])())
         if not any(labels):
             inner.append(holder("p", text(20, 1, ".")))
-        return holder(r.choice(_ARTICLE), *inner)
+        if kind == "unknown":
+            return holder(f"{r.choice(['div', 'div', 'section'])} {name()}", *inner)
+        if kind == "bare":
+            return holder("div", *([holder("div", *inner)] if r.random() < 0.3 else inner))
+        if kind == "table":
+            return "".join(inner)
+        return "".join(inner) if kind == "open" else holder(r.choice(_ARTICLE), *inner)
 
     def heading() -> str:
         return holder(r.choice(_TOP), holder(r.choice(["div class=logo", "h2", "p", "a href='/'"]), text(2, 0)), menu() if r.random() < 0.6 else "")
 
+    if kind == "text":
+        said = text(r.choice([12, 30, 60, 200]), 1, ".")
+        return r.choice([said, f"<html><body>{said}</body></html>"]), labels
     parts = []
     if r.random() < 0.4:
         parts.append(plain(_NOTICE))
@@ -335,7 +407,12 @@ def generated_page(r: random.Random) -> tuple[str, list[int]]:
     side = r.random() < 0.3
     if side:
         parts.append(holder(r.choice(_SIDE), *links(r.randint(2, 5))))
-    parts.append(article())
+    if kind == "table":
+        cells = [f"<td>{''.join(links(r.randint(2, 7)))}</td>"] if r.random() < 0.7 else []
+        cells.append(f"<td>{article()}</td>")
+        parts.append("<table><tr>" + "".join(cells) + "</tr></table>")
+    else:
+        parts.append(article())
     for make in (comments, form, lambda: plain(_SIDE), lambda: plain(_AD), lambda: holder(r.choice(_SIDE), *links(3))):
         if r.random() < 0.35:
             parts.append(make())
@@ -420,7 +497,7 @@ def extract_text(pages: DataFrame, blocks_too: bool = False) -> DataFrame:
                 texts = ["\n".join(t for (_, t, _), p in zip(f, o, strict=True) if p >= 0.5) for f, o in zip(found, odds, strict=True)]
                 arrays, names = [part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
                 if blocks_too:
-                    cells = [[{"path": "/".join(path), "text": t, "article": float(p)} for (path, t, _), p in zip(f, o, strict=True)] for f, o in zip(found, odds, strict=True)]
+                    cells = [[{"path": "/".join(place.path()), "text": t, "article": float(p)} for (place, t, _), p in zip(f, o, strict=True)] for f, o in zip(found, odds, strict=True)]
                     arrays.append(pa.array(cells, pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("article", pa.float64())]))))
                     names.append("blocks")
                 yield pa.RecordBatch.from_arrays(arrays, names)

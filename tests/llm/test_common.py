@@ -7,7 +7,9 @@ import pytest
 import zstandard
 
 from lorespark.llm import bpe, common, jaccard, packed
+from lorespark.llm.align import align_tokenizers
 from lorespark.llm.bpe import bpe_round_trip
+from lorespark.llm.chat import format_conversations
 from lorespark.llm.classifier import classify
 from lorespark.llm.decontaminate import find_leaks
 from lorespark.llm.html_text import extract_text
@@ -17,6 +19,7 @@ from lorespark.llm.repeats import remove_repeats
 from lorespark.llm.secrets import find_secrets
 from lorespark.llm.sharding import assign_shards
 from lorespark.llm.token_counts import token_counts
+from lorespark.llm.trie import conversation_trie
 from tests.llm.test_repeats import brute as repeats_by_hand
 
 OF_TEXT = {
@@ -179,3 +182,42 @@ def test_long_segments_are_not_cached(spark):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=p.path("piece_bpe_32k.model"))
     assert {r.doc_id: r.n_tokens for r in token_counts(docs).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(long * 2)}
+
+
+@pytest.mark.parametrize("given", ["nulls and empty texts", "a partition of them", "no rows"])
+def test_texts_that_hold_nothing(spark, sf, given):
+    """Tables, and single partitions of a table, of only null and empty texts."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    nothing = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", None, None, 0)] if given != "no rows" else [], schema)
+    docs = nothing.unionByName(spark.createDataFrame([(3, "some words that are here " * 20, "en", "s", 500)], schema)) if given == "a partition of them" else nothing
+    ids = sorted(r.doc_id for r in docs.collect())
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    others = {"op3": remove_repeats(docs), "op4": classify(docs, labels), "op5": assign_shards(docs), "op9": quality_rules(docs), "op11": align_tokenizers(docs)[0]}
+    for name, out in {**{k: f(docs, sf) for k, f in OF_TEXT.items()}, **others}.items():
+        assert sorted(r.doc_id for r in out.collect()) == ids, name
+    pages = docs.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html")
+    assert sorted(r.page_id for r in extract_text(pages).collect()) == ids
+    convs = docs.selectExpr("doc_id AS conv_id", "0 AS turn", "lang AS role", "text")
+    assert sorted(r.conv_id for r in format_conversations(convs).collect()) == ids
+    assert (conversation_trie(convs).count() > 0) == bool(ids)
+
+
+def test_the_pipeline_on_texts_that_hold_nothing(spark, sf, tmp_path):
+    from lorespark.llm import pipeline
+
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([(1, None, "en", "s", 0), (2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() <= 2
+
+
+def test_scores_whatever_the_order_of_repeated_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from lorespark.llm.classifier import fit
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id").crossJoin(spark.range(10).select(F.col("id").alias("copy")))
+    ways = [fit(docs.coalesce(1).sortWithinPartitions(o), labels, sample=20) for o in (F.asc("doc_id"), F.desc("doc_id"))]
+    assert len(ways[0]["labels"]) == 20
+    assert all(np.array_equal(ways[0][k], ways[1][k]) for k in ("labels", "vectors", "axes"))

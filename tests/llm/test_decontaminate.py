@@ -26,6 +26,19 @@ def distance(piece, text):
     return int(prev.min())
 
 
+def stands(item, text):
+    """Whether a short item stands in a text with its outer words whole."""
+    import re
+
+    word = rb"[0-9A-Za-z\x80-\xff]"
+    if not re.search(word, item):
+        return bool(item) and b" " + item + b" " in b" " + text + b" "
+    ends = (re.match(word, item), re.match(word, item[::-1]))
+    # punctuation outside the outer words is part of the item, what stands around it is free
+    before, after = (rb"(?<!" + word + rb")" if ends[0] else rb""), (rb"(?!" + word + rb")" if ends[1] else rb"")
+    return bool(re.search(before + re.escape(item) + after, text))
+
+
 def brute(docs, items):
     out = {}
     for d, t in docs:
@@ -33,7 +46,7 @@ def brute(docs, items):
         for i, b in items:
             b = squeeze(b)
             if len(b) < LEAST:
-                if b and b" " + b + b" " in b" " + own + b" ":
+                if stands(b, own):
                     found.add(i)
                 continue
             last = max(0, len(b) - PIECE)
@@ -49,8 +62,8 @@ def cases(seed=4):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeghié") for _ in range(r.randint(2, 7)))
     make = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, make(n)) for i, n in enumerate([8, 9, 20, 40, 60, 3])] + [(6, None), (7, ""), (8, "the " * 30), (9, "Zorro"), (10, "two  Words"), (11, items_of_one := "zorro"), (12, " ")]
-    docs = [(0, None), (1, ""), (2, make(50)), (3, "the " * 200), (4, items[5][1]), (5, f"x{items_of_one} zorros"), (6, "x zorro"), (7, "two\nwords" + make(9)), (8, "so two\twords")]
+    items = [(i, make(n)) for i, n in enumerate([8, 9, 20, 40, 60, 3])] + [(6, None), (7, ""), (8, "the " * 30), (9, "Zorro"), (10, "two  Words"), (11, items_of_one := "zorro"), (12, " "), (13, "??"), (14, "who is it?"), (15, "(b)")]
+    docs = [(0, None), (1, ""), (2, make(50)), (3, "the " * 200), (4, items[5][1]), (5, f"x{items_of_one} zorros"), (6, "x zorro"), (7, "two\nwords" + make(9)), (8, "so two\twords"), (9, "(Zorro), he said"), (10, "\u201czorro\u201d"), (11, "a two words. b"), (12, "why?? no (b) ??"), (13, "who is it, asks who is it?"), (14, "xwho is it?")]
     for i, b in items[:5]:
         for edits in (0, 2, 5, 9, 14, 25):
             own = list(b)
