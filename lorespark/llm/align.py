@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,6 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -254,7 +254,7 @@ def _batch_rows(number: int, ids: list, texts: list[str], pair: Pair, kind: pa.D
 
 def _encode(batches: Iterator[pa.RecordBatch], a: str, b: str, kind: pa.DataType, keep: bool) -> Iterator[pa.RecordBatch]:
     pair = _worker(a, b)
-    number = TaskContext.get().partitionId() << 32
+    number = uuid.uuid4().int >> 66  # a task may take several partitions; what it writes is written once
     ids, texts, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)).to_pylist(), strict=True):

@@ -63,7 +63,7 @@ FILE_BYTES = 1 << 25
 def few_files(df: DataFrame) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.coalesce(min(1 << 20, max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, read // FILE_BYTES)))
+    return df.coalesce(min(1 << 20, max(int(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism), read // FILE_BYTES)))
 
 
 _WRITTEN: set[str] = set()

@@ -90,3 +90,13 @@ def test_shared_cuts(a, b):
     cuts, rank_a, rank_b = shared_cuts(a, b)
     assert cuts.tolist() == sorted(set(a.tolist()) & set(b.tolist()))
     assert [a[i - 1] for i in rank_a] == [b[i - 1] for i in rank_b] == cuts.tolist()
+
+
+def test_tasks_that_take_several_partitions(spark, sf, monkeypatch):
+    """Fewer files than partitions: the partitions of a task are numbered apart."""
+    from lorespark.llm import common
+
+    monkeypatch.setattr(common, "FILES_A_CORE", 0.5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(16)
+    want, _ = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert Counter(map(tuple, align_tokenizers(docs)[0].collect())) == Counter(x[:-1] for x in want)
