@@ -6,7 +6,7 @@ what lies between two cuts is a group.
 
 1. Documents are worked on in batches of some MB.  Both tokenizers cut before a blank or a
    line feed that follows something else, so a batch is a bag of segments, and each
-   distinct one is encoded once (workers keep short ones).  A bit for each byte marks
+   distinct one is encoded once.  A bit for each byte marks
    where tokens end, one set for A and one for B; AND gives the cuts, the popcount of the
    words before a cut the number of tokens there, and so the token ranges of the groups
    and the links.  A text with a segment whose tokens don't spell it is one segment as a
@@ -28,11 +28,12 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,28 +45,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from .common import materialize, partitions, prepare, strings, table
+from .common import materialize, partitions, prepare, ragged, strings, table, utf8
 from .packed import frame, planes, unframe, unplanes
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters, and texts, of a batch.
 BATCH_CHARS, BATCH_TEXTS = 1 << 22, 60_000
-#: Characters of segments that are aligned together; segments that a worker remembers, and
-#: their length (longer ones are encoded in each batch).
-ALIGN_CHARS, CACHE_SEGMENTS, CACHED_CHARS = 1 << 20, 150_000, 48
+#: Bytes of segments that are encoded together.
+TOGETHER = 1 << 16
 #: Pairs of a batch that leave a task together.
 OUT_PAIRS = 1 << 16
 
 _TABLE = "batch long, pair long, n long, payload binary"
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n])").split
-#: Texts of single blanks and line feeds are split in a faster way.
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|\0").search
+#: White space but blanks and line feeds, two of these, and the mark that is put before them:
+#: a text without any of this is split in a faster way.
+_ODD = [*filter(str.isspace, map(chr, [*range(9, 10), *range(11, 32), 133, 160, *range(0x1680, 0x3001)])), "\0", "  ", "\n\n", " \n", "\n "]
 
 
 def segments(spaced: str) -> list[str]:
     """Parts of " " + text at whose ends both tokenizers cut: before a blank or a line
     feed that follows something else than white space."""
-    if _ODD(spaced):
+    if any(c in spaced for c in _ODD):
         return _SPLIT(spaced)
     return spaced.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
 
@@ -84,20 +85,49 @@ class Vocabulary:
 
     flat: np.ndarray
     offsets: np.ndarray
+    lengths: np.ndarray
     digits: np.ndarray
 
     @classmethod
     def of(cls, tokens: list[bytes], inner: str, last: str) -> Vocabulary:
         offsets = np.zeros(len(tokens) + 1, np.int64)
         np.cumsum([len(t) for t in tokens], out=offsets[1:])
-        digits = np.array([[f"{i}{c}".encode() for i in range(len(tokens))] for c in (inner, last)], "S12")
-        return cls(np.frombuffer(b"".join(tokens), np.uint8), offsets, digits)
+        digits = np.array([[f"{i}{c}".encode() for i in range(len(tokens))] for c in (inner, last)])
+        return cls(np.frombuffer(b"".join(tokens), np.uint8), offsets, np.diff(offsets), digits)
+
+
+@dataclass
+class Aligned:
+    """Segments with what their tokens say: flat, and by offset of each segment.
+
+    ``right`` marks those that their tokens spell; of the others nothing is held."""
+
+    right: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    said: np.ndarray  # decimal ids with what follows, group by group
+    said_at: np.ndarray
+    links: np.ndarray  # B id << 32 | A id
+    links_at: np.ndarray
+
+    def join(self, other: Aligned) -> Aligned:
+        both = lambda k: np.concatenate([getattr(self, k), getattr(other, k)])
+        at = lambda k: np.append(getattr(self, k), getattr(self, k)[-1] + getattr(other, k)[1:])
+        return Aligned(both("right"), both("n_a"), both("n_b"), both("said"), at("said_at"), both("links"), at("links_at"))
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many values."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 class Pair:
-    """Both tokenizers of a worker, and the segments that it remembers."""
+    """Both tokenizers of a worker."""
 
     def __init__(self, a: str, b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
         letters = byte_level_letters()
@@ -108,74 +138,82 @@ class Pair:
             raise ValueError(f"pieces of {b} cross segments")
         one = lambda i, p: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
         self.words_b = Vocabulary.of([one(i, p) for i, p in enumerate(pieces)], ",", ";")
+        width = max(self.words_a.digits.itemsize, self.words_b.digits.itemsize)
+        self.words_a.digits, self.words_b.digits = (w.digits.astype(f"S{width}") for w in (self.words_a, self.words_b))
         self.blank = [self.b.piece_to_id("▁")]
-        self.known: dict[str, tuple | None] = {}
 
-    def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of A and B of segments.  The model puts a blank first: for a segment
-        that begins with one it stands for it, for others it is taken off again."""
-        a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+    def ids_a(self, parts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def ids_b(self, parts: list[str]) -> list[list[int]]:
+        """The model puts a blank first: for a segment that begins with one it stands for it,
+        for others it is taken off again."""
         bare = [p[1:] if p[:1] == " " else p for p in parts]
-        b = self.b.encode(bare, num_threads=1)
-        return a, [self.blank if not s else x if p[0] == " " else x[1:] for p, s, x in zip(parts, bare, b, strict=True)]
-
-    def records(self, parts: list[str]) -> list[tuple | None]:
-        """For each segment its (groups, n_a, n_b, links), None if tokens don't spell it."""
-        a, b = self.ids(parts)
-        raw = [p.encode() for p in parts]
-        right = [bool(x) and self._spell(self.words_a, x) == r == self._spell(self.words_b, y) for x, y, r in zip(a, b, raw, strict=True)]
-        out: list[tuple | None] = [None] * len(parts)
-        own = [i for i, ok in enumerate(right) if ok]
-        for i, record in zip(own, self._align([a[i] for i in own], [b[i] for i in own]), strict=True):
-            out[i] = record
-        return out
+        found = self.b.encode(bare, num_threads=1)
+        return [self.blank if not s else x if p[0] == " " else x[1:] for p, s, x in zip(parts, bare, found, strict=True)]
 
     @staticmethod
-    def _spell(words: Vocabulary, ids: list[int]) -> bytes:
-        offsets, flat = words.offsets, words.flat
-        if len(ids) == 1:
-            return flat[offsets[ids[0]] : offsets[ids[0] + 1]].tobytes()
-        return b"".join([flat[offsets[i] : offsets[i + 1]].tobytes() for i in ids])
-
-    def _align(self, a: list[list[int]], b: list[list[int]]) -> Iterator[tuple]:
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64, int(n.sum())) for y, n in ((a, n_a), (b, n_b)))
-        ends_a, ends_b = (np.cumsum(np.diff(w.offsets)[i]) for w, i in ((self.words_a, ids_a), (self.words_b, ids_b)))
-        if not len(ends_a):
-            return
-        cuts, rank_a, rank_b = shared_cuts(ends_a, ends_b)
-        group_a, group_b = np.repeat(np.arange(len(cuts)), np.diff(rank_a, prepend=0)), np.repeat(np.arange(len(cuts)), np.diff(rank_b, prepend=0))
+    def flat(encode: Callable[[list[str]], list[list[int]]], words: Vocabulary, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each segment by number, and all their ids.  Segments that end in no
+        white space are encoded many together, as they would be in a text, and told apart
+        by the bytes of their tokens; where that fails they are encoded one by one."""
+        counts, ids = [], []
+
+        def put(found: list[list[int]]) -> None:
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64, int(counts[-1].sum())))
+
+        at = 0
+        while at < len(parts):
+            if parts[at][-1:].isspace() or sizes[at] > TOGETHER:
+                put(encode([parts[at]]))
+                at += 1
+                continue
+            end, size = at, 0
+            while end < len(parts) and size + sizes[end] <= TOGETHER and not parts[end][-1:].isspace():
+                size += int(sizes[end])
+                end += 1
+            own = np.array(encode(["".join(parts[at:end])])[0], np.int64)
+            token_ends, part_ends = np.cumsum(words.lengths[own]), np.cumsum(sizes[at:end])
+            place = np.searchsorted(token_ends, part_ends)
+            if len(own) and token_ends[-1] == part_ends[-1] and (token_ends[place] == part_ends).all():
+                counts.append(np.diff(place, prepend=-1))
+                ids.append(own)
+            else:
+                put(encode(parts[at:end]))
+            at = end
+        return np.concatenate(counts or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
+
+    def align(self, parts: list[str]) -> Aligned:
+        """Encode segments and align the tokens of those that they spell."""
+        data, offs = utf8(pa.array(parts, pa.large_string()))
+        sizes = np.diff(offs)
+        tokens = [(words, *self.flat(encode, words, parts, sizes)) for encode, words in ((self.ids_a, self.words_a), (self.ids_b, self.words_b))]
+        right = sizes > 0
+        for words, counts, ids in tokens:
+            right &= _sums(words.lengths[ids], counts) == sizes
+        for words, counts, ids in tokens:  # of those of the right length, the bytes
+            own = ids[np.repeat(right, counts)]
+            spelt = ragged(words.flat, words.offsets[own], words.lengths[own]) == ragged(data, offs[:-1][right], sizes[right])
+            right[right] = _sums(spelt, sizes[right]) == sizes[right]
+        (n_a, ids_a), (n_b, ids_b) = ((np.where(right, counts, 0), ids[np.repeat(right, counts)]) for _, counts, ids in tokens)
+        said, links, groups = self._groups(ids_a, ids_b)
+        ends = np.append(0, np.cumsum(n_a))
+        return Aligned(right, n_a, n_b, said, np.append(0, np.cumsum(n_a + n_b)), links, np.searchsorted(groups, ends, "right") * (ends > 0))
+
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The digits of all tokens group by group, the links, and the tokens of A up to
+        the end of each group."""
+        if not len(ids_a):
+            return self.words_a.digits[0, :0], ids_a, ids_a
+        cuts, rank_a, rank_b = shared_cuts(np.cumsum(self.words_a.lengths[ids_a]), np.cumsum(self.words_b.lengths[ids_b]))
+        group_a, group_b = (np.repeat(np.arange(len(cuts)), np.diff(rank, prepend=0)) for rank in (rank_a, rank_b))
         last_a, last_b = np.zeros(len(ids_a), int), np.zeros(len(ids_b), int)
         last_a[rank_a - 1] = last_b[rank_b - 1] = 1
         said = np.empty(len(ids_a) + len(ids_b), self.words_a.digits.dtype)
         said[np.arange(len(ids_a)) + np.append(0, rank_b)[group_a]] = self.words_a.digits[last_a, ids_a]
         said[np.arange(len(ids_b)) + rank_a[group_b]] = self.words_b.digits[last_b, ids_b]
-        links = ids_b[rank_b - 1] << 32 | ids_a[rank_a - 1]
-        tokens = np.append(0, np.cumsum(n_a + n_b))
-        groups = np.append(0, np.searchsorted(rank_a, np.cumsum(n_a), "right"))
-        for i in range(len(a)):
-            text = said[tokens[i] : tokens[i + 1]].tobytes().translate(None, b"\0")
-            yield text, int(n_a[i]), int(n_b[i]), links[groups[i] : groups[i + 1]]
-
-    def look_up(self, parts: list[str]) -> list[tuple | None]:
-        """Records of distinct segments, remembered or made."""
-        fresh = [p for p in parts if p not in self.known]
-        if len(self.known) + len(fresh) > CACHE_SEGMENTS:
-            self.known.clear()
-            fresh = parts
-        found, some, size = {}, [], 0
-        for p in fresh:
-            some.append(p)
-            size += len(p)
-            if size >= ALIGN_CHARS:
-                found.update(zip(some, self.records(some), strict=True))
-                some, size = [], 0
-        if some:
-            found.update(zip(some, self.records(some), strict=True))
-        out = [found[p] if p in found else self.known[p] for p in parts]
-        short = [p for p in found if len(p) <= CACHED_CHARS][: max(0, CACHE_SEGMENTS - len(self.known))]
-        self.known.update((p, found[p]) for p in short)
-        return out
+        return said, ids_b[rank_b - 1] << 32 | ids_a[rank_a - 1], rank_a
 
 
 def _bitset(ends: np.ndarray, n: int) -> np.ndarray:
@@ -225,28 +263,37 @@ def _table(batch: int, pairs: np.ndarray, n: np.ndarray, payload: bytes | None)
 
 def _batch_rows(number: int, ids: list, texts: list[str], pair: Pair, kind: pa.DataType, keep: bool) -> Iterator[pa.RecordBatch]:
     """A row with what a batch's documents hold, and one for each distinct pair."""
-    numbers: defaultdict = defaultdict()
-    numbers.default_factory = numbers.__len__
-    flat = [np.fromiter(map(numbers.__getitem__, segments(" " + t)) if t else (), np.int64) for t in texts]
-    records = pair.look_up(list(numbers))
-    wrong = np.array([r is None for r in records], bool)
-    if wrong.any():
-        for d in [d for d, x in enumerate(flat) if wrong[x].any()]:
-            whole = pair.records([" " + texts[d]])[0]
-            flat[d] = np.array([len(records)][: whole is not None], np.int64)
-            records += [whole] * (whole is not None)
-    sizes = np.array([[r[1], r[2], len(r[3])] if r else [0, 0, 0] for r in records], np.int64).reshape(-1, 3)
-    said = [b"".join([records[i][0] for i in x.tolist()])[:-1] for x in flat]
-    digests = b"".join(hashlib.sha256(s).digest() if s else bytes(32) for s in said)
-    totals = np.array([sizes[x].sum(0) for x in flat], np.int64).reshape(-1, 3)
-    counts = np.array([len(x) for x in flat], np.int64)
-    used = np.concatenate([np.sort(x) for x in flat]) if flat else np.zeros(0, np.int64)
-    times = np.bincount(used, minlength=len(records))
-    links = np.concatenate([r[3] for r in records if r] or [np.zeros(0, np.int64)])
-    pairs, place = np.unique(links, return_inverse=True)
-    n = np.bincount(place, np.repeat(times, sizes[:, 2]), len(pairs)).astype(np.int64)
+    parts = [segments(" " + t) if t else [] for t in texts]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    coded = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+    del parts
+    used, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    found = pair.align(distinct)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    if not found.right.all():  # such texts are one segment, or nothing
+        odd = np.unique(doc[~found.right[used]])
+        whole = pair.align([" " + texts[d] for d in odd.tolist()])
+        found = found.join(whole)
+        keep_ = ~np.isin(doc, odd)
+        fine = np.flatnonzero(whole.right)
+        used, doc = np.append(used[keep_], len(distinct) + fine), np.append(doc[keep_], odd[fine])
+        order = np.argsort(doc, kind="stable")
+        used, doc = used[order], doc[order]
+        counts = np.bincount(doc, minlength=len(texts))
+    n_links = np.diff(found.links_at)
+    totals = np.stack([_sums(x[used], counts) for x in (found.n_a, found.n_b, n_links)], axis=1)
+    sizes = np.diff(found.said_at)[used]
+    ends = np.append(0, np.cumsum(_sums(sizes, counts)))
+    text = ragged(found.said, found.said_at[:-1][used], sizes)
+    said = [text[a:b].tobytes().translate(None, b"\0")[:-1] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    del text
+    digests = b"".join(hashlib.sha256(x).digest() if x else bytes(32) for x in said)
+    used = used[np.lexsort((used, doc))]
+    times = np.bincount(used, minlength=len(n_links))
+    pairs, place = np.unique(found.links, return_inverse=True)
+    n = np.bincount(place, np.repeat(times, n_links), len(pairs)).astype(np.int64)
     steps = np.diff(used, prepend=0) & 0xFFFFFFFF
-    payload = frame(_ipc(ids, kind), planes(totals.ravel()), digests, planes(counts), planes(steps), planes(sizes[:, 2]), planes(place), zstandard.compress(frame(*said), 3) if keep else b"")
+    payload = frame(_ipc(ids, kind), planes(totals.ravel()), digests, planes(counts), planes(steps), planes(n_links), planes(place), zstandard.compress(frame(*said), 3) if keep else b"")
     yield _table(number, pairs[:0], n[:0], payload)
     for i in range(0, len(pairs), OUT_PAIRS):
         yield _table(number, pairs[i : i + OUT_PAIRS], n[i : i + OUT_PAIRS], None)

@@ -78,9 +78,11 @@ def test_segments_are_encoded_as_in_the_text(text):
     PAIR = PAIR or Pair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     parts = segments(" " + text)
     assert "".join(parts) == " " + text
-    a, b = PAIR.ids(parts)
-    assert sum(a, []) == PAIR.a.encode(" " + text, add_special_tokens=False).ids
-    assert sum(b, []) == PAIR.b.encode(text) or "▁" in text or not text
+    sizes = np.array([len(p.encode()) for p in parts])
+    a, b = (PAIR.flat(f, w, parts, sizes) for f, w in ((PAIR.ids_a, PAIR.words_a), (PAIR.ids_b, PAIR.words_b)))
+    assert a[1].tolist() == PAIR.a.encode(" " + text, add_special_tokens=False).ids
+    assert b[1].tolist() == PAIR.b.encode(text) or "▁" in text or not text
+    assert a[0].tolist() == [len(x) for x in PAIR.ids_a(parts)] and b[0].tolist() == [len(x) for x in PAIR.ids_b(parts)]
 
 
 @given(st.lists(st.integers(1, 300), min_size=1), st.lists(st.integers(1, 300), min_size=1))
