@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import ago, at, days_between, ordinal, since
 from ..schema import OPEN_STATES, SEVERITY_ORDER
 
-# What a completed promise's evidence reads like, and words that tell nothing.
-DONE_WORDS = r"\b(done|completed|finished|sent|delivered|resolved|shipped|submitted)\b"
-STOP_WORDS = ["with", "that", "this", "from", "have", "will", "about", "their", "would", "there"]
+# What a completed promise's evidence reads like, what promises begin with, and
+# words that tell nothing.
+DONE_WORDS = ["sent", "completed", "done", "delivered", "submitted", "signed", "approved", "finalized", "confirmed", "scheduled"]
+PROMISES = ["committed to", "will", "should", "needs to", "promised", "agreed", "going to", "plan to"]
+STOP_WORDS = ["that", "this", "with", "from", "they", "have", "been", "would", "could", "about", "their", "some", "also"]
 
 
 def overdue_days(as_of: str, due: str = "due_date") -> Column:
@@ -68,31 +70,6 @@ def union_alerts(**families: DataFrame) -> DataFrame:
     return out.orderBy(ordinal("severity", SEVERITY_ORDER), F.desc("confidence"), "family", "id")
 
 
-def communication_gaps(mentions: DataFrame, entities: DataFrame, busy: DataFrame, as_of: str, silent: int = 5) -> DataFrame:
-    """Labelled partners and clients, silent although something is open (``busy``: entity_id)."""
-    last = mentions.groupBy("entity_id").agg(F.max("mention_date").alias("last"))
-    days = days_between(at(as_of), F.col("last"))
-    named = last.join(entities.filter(F.col("label").isin("partner", "client") & ~F.col("dismissed")), F.col("entity_id") == F.col("id")).join(busy, "entity_id", "left_semi")
-    return named.filter(days > silent).select(F.col("entity_id").alias("id"), F.floor(days).alias("days"), F.when(days > 14, "high").when(days > 7, "medium").otherwise("low").alias("severity"))
-
-
-def commitment_gaps(commitments: DataFrame, touched: DataFrame, as_of: str, within: int = 3) -> DataFrame:
-    """Due within days and nothing refers to it lately (``touched``: id)."""
-    due = commitments.filter(F.col("state").isin("active", "detected") & (F.col("due_date") >= at(as_of)) & (F.col("due_date") < ago(as_of, -within)))
-    return due.join(touched, "id", "left_anti").select("id", F.floor(days_between(F.col("due_date"), at(as_of))).alias("days"), F.lit("medium").alias("severity"))
-
-
-def prediction_gaps(predictions: DataFrame, as_of: str) -> DataFrame:
-    """Checks that are past and still pending."""
-    days = F.datediff(F.to_date(at(as_of)), F.col("check_by"))
-    return predictions.filter((F.col("outcome") == "pending") & (days > 0)).select("id", days.alias("days"), F.when(days > 7, "high").otherwise("medium").alias("severity"))
-
-
-def gap_summary(gaps: DataFrame) -> DataFrame:
-    """Counts of kind by severity."""
-    return gaps.groupBy("kind").pivot("severity", ["high", "medium", "low"]).agg(F.count(F.lit(1))).fillna(0)
-
-
 def silent_owners(commitments: DataFrame, mentions: DataFrame, as_of: str, silent: int = 7) -> DataFrame:
     """Open commitments (``id, entity_id``) whose owner hasn't been heard of."""
     last = mentions.groupBy("entity_id").agg(F.max("mention_date").alias("last"))
@@ -101,20 +78,33 @@ def silent_owners(commitments: DataFrame, mentions: DataFrame, as_of: str, silen
 
 
 def keywords(text: str | Column, most: int = 5) -> Column:
-    """The first words of over three letters that say something."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), " "), lambda w: (F.length(w) > 3) & ~w.isin(STOP_WORDS))
-    return F.slice(F.array_distinct(words), 1, most)
-
-
-def fulfilment_evidence(commitments: DataFrame, items: DataFrame) -> DataFrame:
-    """Of each open commitment, the latest later item that shares a keyword and
-    tells of completion (or was sent).
-
-    ``commitments``: id, text, at; ``items``: item_id, text, at, sent."""
-    wanted = commitments.select("id", "at", F.explode(keywords("text")).alias("word"))
-    told = items.filter(F.col("sent") | F.lower("text").rlike(DONE_WORDS)).select("item_id", F.col("at").alias("item_at"), F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", " "), " +"))).alias("word"))
-    found = wanted.join(told, "word").filter("item_at > at")
-    return found.groupBy("id").agg(F.max(F.struct("item_at", "item_id")).alias("m")).select("id", F.col("m.item_id").alias("evidence_id"))
+    """The first words of over three letters that say something, promises left out."""
+    text = F.col(text) if isinstance(text, str) else text
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?i)\b(" + "|".join(PROMISES) + r")\b", ""), r"[^\w\s]", "")
+    words = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(STOP_WORDS))
+    return F.slice(words, 1, most)
+
+
+def fulfilment_evidence(commitments: DataFrame, items: DataFrame, first: int = 30, newest: int = 5) -> DataFrame:
+    """Of the open commitments that are due first, the evidence that they are done.
+
+    For each keyword in turn, of the newest later items that have it in title or summary
+    (as part of a word too), the newest that tells of completion or is sent mail.
+
+    ``commitments``: id, text, state, due_date, detected_at; ``items``: item_id, title,
+    summary, source, source_date."""
+    from ..schema import OPEN_STATES as states
+
+    open_ = commitments.filter(F.col("state").isin(states)).orderBy(F.asc_nulls_first("due_date"), "id").limit(first)
+    since_ = F.coalesce("detected_at", "due_date", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).alias("since")
+    wanted = open_.select("id", since_, F.posexplode(keywords("text")).alias("place", "word"))  # ``first`` times five rows at most
+    said = F.concat_ws("\n", F.lower("title"), F.lower("summary"))
+    met = items.select("item_id", "source", "source_date", said.alias("said")).join(F.broadcast(wanted), F.col("said").contains(F.lower("word")) & (F.col("source_date") > F.col("since")))
+    rank = F.row_number().over(Window.partitionBy("id", "place").orderBy(F.desc("source_date"), "item_id"))
+    late = met.withColumn("rank", rank).filter(F.col("rank") <= newest)
+    done = (F.col("source") == "gmail-sent") | F.exists(F.array(*map(F.lit, DONE_WORDS)), lambda w: F.col("said").contains(w))
+    best = late.filter(done).groupBy("id").agg(F.min(F.struct("place", "rank", "item_id")).alias("m"))
+    return best.select("id", F.col("m.item_id").alias("evidence_id"))
 
 
 def resolve_replies(items: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.time import ago, at, days_between, ordinal, since
 from ..schema import OPEN_STATES
+from .gaps import like_some
 
-# Words that decide selections.
-STRATEGIC = r"acqui|merg|restructur|partner|invest|fund|contract|strateg|board"
-STATE_WORDS = r"waiting|pending|blocked|stalled|unclear|no response|follow up"
-LEAVING = r"\b(leaving|left|former|resigned|departed|no longer)\b"
-VERDICT_STATES = {"fulfilled": "fulfilled", "done": "fulfilled", "stale": "abandoned", "invalid": "abandoned"}
+# Words that decide selections, sources that a screen leaves out, and states by verdict.
+STRATEGIC = ["acqui", "restructur", "regulat", "confidential", "opportunity", "compet", "leaving", "joining", "pivot"]
+NOT_SCREENED = ["calendar", "agent-notification", "agent-report", "briefing", "directive"]
+LEAVING = ["leaving", "left", "former", "new role", "transition", "moving to"]
+VERDICT_STATES = {"fulfilled": "fulfilled", "stale": "abandoned", "invalid": "abandoned"}
 
 
 def mention_rows(items: DataFrame) -> DataFrame:
@@ -97,28 +98,30 @@ def backlog(items: DataFrame, done: DataFrame, as_of: str, days: int = 7, top: i
     return own.orderBy(F.desc("source_date"), "id").limit(top)
 
 
-def strategic_items(items: DataFrame, threaded: DataFrame, text: str = "summary") -> DataFrame:
-    """Items with a strategic word that no thread holds."""
-    return items.filter(F.lower(text).rlike(STRATEGIC)).join(threaded, "id", "left_anti")
+def strategic_items(items: DataFrame, threaded: DataFrame, as_of: str, days: int = 7, k: int = 10) -> DataFrame:
+    """The newest items of the last days whose summary has a strategic word and that no
+    thread (``id``) holds."""
+    own = items.filter(since("source_date", as_of, days) & ~F.col("source").isin(NOT_SCREENED) & like_some("summary", STRATEGIC))
+    return own.join(threaded, "id", "left_anti").orderBy(F.desc("source_date"), "id").limit(k)
 
 
-def waiting_threads(threads: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Threads whose state tells of waiting, and for how long."""
-    age = days_between(at(as_of), F.col("updated_at"))
-    own = threads.filter(F.lower("current_state").rlike(STATE_WORDS) & (age > days))
-    return own.select("id", F.floor(age).alias("days"), F.when(age > 21, "high").when(age > 14, "medium").otherwise("low").alias("severity"))
-
-
-def leaving(items: DataFrame, text: str) -> DataFrame:
-    """Entities whose items tell of a departure."""
-    return items.filter(F.lower(text).rlike(LEAVING)).groupBy("entity_id").agg(F.count("*").alias("items"))
+def leaving(entities: DataFrame, mentions: DataFrame, items: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Entities (``id, user_label, updated_at``) whose label was lately made to tell of a
+    departure, with the older items that mention them and their projects."""
+    gone = entities.filter(since("updated_at", as_of, days) & like_some("user_label", LEAVING)).select(F.col("id").alias("entity_id"), "user_label", "updated_at")
+    told = items.filter(~F.col("importance").isin("archived", "noise")).select(F.col("id").alias("item_id"), "source_date", "project")
+    met = mentions.select("entity_id", "item_id").join(gone, "entity_id").join(told, "item_id").filter("source_date < updated_at")
+    return met.groupBy("entity_id", "user_label").agg(F.countDistinct("item_id").alias("items"), F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"))
 
 
 def judged_states(commitments: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """New states by text (``text, verdict``) through a fixed map."""
+    """New states of open commitments by text (``text, verdict``): verdicts go through a
+    fixed map, others stand for themselves, active changes nothing.  Of several open
+    commitments of a text, the first is meant."""
     to = F.create_map(*(F.lit(x) for kv in VERDICT_STATES.items() for x in kv))
-    judged = verdicts.select("text", to[F.col("verdict")].alias("new")).dropDuplicates(["text"])
-    return commitments.join(judged, "text", "left").withColumn("state", F.coalesce("new", "state")).drop("new")
+    judged = verdicts.filter("verdict <> 'active'").groupBy("text").agg(F.min(F.coalesce(to[F.col("verdict")], F.col("verdict"))).alias("new"))
+    first = commitments.filter(F.col("state").isin(OPEN_STATES)).groupBy("text").agg(F.min("id").alias("id"))
+    return commitments.join(judged.join(first, "text").select("id", "new"), "id", "left").withColumn("state", F.coalesce("new", "state")).drop("new")
 
 
 def quality_gate(actions: DataFrame, spoke: DataFrame, dismissed: DataFrame) -> DataFrame:

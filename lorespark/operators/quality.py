@@ -227,9 +227,26 @@ def relabel_contradictions(items: DataFrame, relabels: DataFrame) -> DataFrame:
     return items.join(last, "entity_id").filter("source_date < at").groupBy("entity_id").agg(F.count("*").alias("items"))
 
 
+# What makes a line a claim.
+CLAIM = r"\d|[A-Z][a-z]+ [A-Z]|(?:signed|sent|launched|agreed|confirmed|pending|overdue|blocked|completed)"
+
+
 def claims(text: Column, least: int = 20, most: int = 300) -> Column:
-    """Lines that state something: a number, a name, or a status verb."""
-    return F.filter(F.split(text, "\n"), lambda x: (F.length(x) > least) & (F.length(x) <= most) & x.rlike(r"\d|[A-Z][a-z]+ [A-Z][a-z]+|\b(is|was|has|will)\b"))
+    """Lines of over ``least`` letters that state something (a number, a name, a status),
+    without marks before them, cut to ``most``."""
+    bare = lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    long = F.filter(F.split(text, "\n"), lambda x: F.length(bare(x)) > least)
+    cleaned = F.transform(long, lambda x: bare(F.regexp_replace(x, r"^[#*\->\s]+", "")))
+    return F.transform(F.filter(cleaned, lambda x: (x != "") & ~x.startswith("---") & x.rlike(CLAIM)), lambda x: F.substring(x, 1, most))
+
+
+def sampled_claims(pages: DataFrame, most: int = 8, seed: int = 0) -> DataFrame:
+    """(id, place, claim): of each page (``id, text``) a sample of its claims, the same for
+    the same seed."""
+    each = pages.select("id", F.explode(F.array_distinct(claims(F.col("text")))).alias("claim"))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("claim")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(draw))  # a page's claims
+    return each.withColumn("place", rank.cast("long")).filter(F.col("place") <= most)
 
 
 def audit(**counts: DataFrame) -> DataFrame:

@@ -78,6 +78,18 @@ def best_chunk(chunk_scores: DataFrame, k: int) -> DataFrame:
     return top(chunk_scores.groupBy("parent").agg(F.max("score").alias("score")).withColumnRenamed("parent", "id"), k)
 
 
+def semantic_strategy(direct: DataFrame, chunks: DataFrame, items: DataFrame, k: int, since: str | None, as_of: str, bias: float = 0.05) -> DataFrame:
+    """Direct hits and parents of hit chunks (both id, score), the higher score of both,
+    since a day, weighted by age; ``by_chunk`` where the chunk's counts."""
+    merged = direct.select("id", F.col("score").alias("own")).join(chunks.select("id", F.col("score").alias("chunk")), "id", "full_outer")
+    dated = items.select("id", "source_date")
+    if since is not None:
+        dated = dated.filter(F.col("source_date") >= at(since))
+    by_chunk = F.col("own").isNull() | F.coalesce(F.col("chunk") > F.col("own"), F.lit(False))
+    score = F.greatest("own", "chunk") * recency(F.col("source_date"), as_of, bias)
+    return top(merged.join(dated, "id").select("id", score.alias("score"), by_chunk.alias("by_chunk")), k)
+
+
 def temporal_search(items: DataFrame, since: str, as_of: str, k: int) -> DataFrame:
     """Newest first; .9 within a week, then falling to .1, more for importance."""
     days = days_between(at(as_of), F.col("source_date"))

@@ -1,6 +1,6 @@
 """Named queries; importing a module registers its own."""
 
-from . import activity, alerts, briefing, context, graph, quality, readers, retrieval, selections
+from . import activity, alerts, briefing, context, gaps, graph, indexed, quality, readers, retrieval, selections
 from .catalog import CATALOG
 
-__all__ = ["CATALOG", "activity", "alerts", "briefing", "context", "graph", "quality", "readers", "retrieval", "selections"]
+__all__ = ["CATALOG", "activity", "alerts", "briefing", "context", "gaps", "graph", "indexed", "quality", "readers", "retrieval", "selections"]

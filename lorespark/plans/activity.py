@@ -120,10 +120,10 @@ def cold_relationships(t: Tables) -> DataFrame:
     return activity.cold_relationships(t.mentions().filter("role = 'signup'"), t.entities(), NOW, least=2, silent=2, window=3)
 
 
-@query("T7 P6", f"SELECT DISTINCT project FROM knowledge WHERE project NOT IN (SELECT project FROM knowledge WHERE source = 'signup' AND source_date >= {_T} - INTERVAL 7 HOUR)")
+@query("T7 P6", f"SELECT DISTINCT 'q' || k AS project FROM knowledge WHERE k NOT IN (SELECT k FROM knowledge WHERE source = 'signup' AND source_date >= {_T} - INTERVAL 2 DAY)")
 def stale_projects(t: Tables) -> DataFrame:
-    items = t.knowledge()
-    return activity.stale_projects(items.filter("source = 'signup'"), items.select("project").distinct(), NOW, days=7 / 24)
+    items = t.knowledge().withColumn("project", F.concat(F.lit("q"), F.col("k").cast("string")))
+    return activity.stale_projects(items.filter("source = 'signup'"), items.select("project").distinct(), NOW, days=2)
 
 
 @query(

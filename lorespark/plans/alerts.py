@@ -66,25 +66,6 @@ def dropped_balls(t: Tables) -> DataFrame:
     return alerts.dropped_balls(waiting.select(F.col("item_id").alias("id"), "entity_id", F.col("mention_date").alias("waiting_since"), "average_gap", "label", "dismissed", since_then), NOW)
 
 
-@query(
-    "T16 T17 T21",
-    f"""
-WITH l AS (SELECT entity_id, max(mention_date) AS last FROM mentions WHERE role = 'purchase' GROUP BY 1),
-a AS (SELECT entity_id AS id, floor((epoch_us({_T}) - epoch_us(last)) / 86400000000.0)::BIGINT AS days, (epoch_us({_T}) - epoch_us(last)) / 86400000000.0 AS d FROM l JOIN entities ON id = entity_id
-  WHERE label IN ('partner', 'client') AND NOT dismissed AND entity_id IN (SELECT entity_id FROM knowledge WHERE importance = 'critical')),
-g AS (SELECT 'communication' AS kind, CASE WHEN d > 14 THEN 'high' WHEN d > 7 THEN 'medium' ELSE 'low' END AS severity FROM a WHERE d > 2
-  UNION ALL SELECT 'commitment', 'medium' FROM commitments WHERE state IN ('active', 'detected') AND due_date >= {_O} AND due_date < {_O} + INTERVAL 3 DAY AND project <> '1-URGENT')
-SELECT kind, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM g GROUP BY 1""",
-)
-def gaps_union(t: Tables) -> DataFrame:
-    busy = t.knowledge().filter("importance = 'critical'").select("entity_id")
-    talk = alerts.communication_gaps(t.mentions().filter("role = 'purchase'"), t.entities(), busy, NOW, silent=2)
-    c = t.commitments()
-    work = alerts.commitment_gaps(c, c.filter("project = '1-URGENT'").select("id"), ORDERS_NOW)
-    both = talk.select(F.lit("communication").alias("kind"), "severity").unionByName(work.select(F.lit("commitment").alias("kind"), "severity"))
-    return alerts.gap_summary(both)
-
-
 @query(
     "T12 W14",
     f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import since
+from ..functions.time import at, since
 from ..operators import alerts, context, graph, retrieval, rollups
 from ..sources.fixtures import NOW, ORDERS_NOW, Tables
 from .catalog import query
@@ -67,29 +67,38 @@ def extraction_backlog(t: Tables) -> DataFrame:
     return context.backlog(k, k.filter("source = 'purchase'").select("id"), NOW).select("id")
 
 
-@query("P16 P17", f"SELECT id FROM texts WHERE regexp_matches(lower(raw_content), '{context.STRATEGIC}') AND id NOT IN (SELECT id FROM texts WHERE importance = 'high')")
-def strategic_unthreaded(t: Tables) -> DataFrame:
-    x = t.texts()
-    return context.strategic_items(x, x.filter("importance = 'high'").select("id"), "raw_content").select("id")
-
-
-@query("T18", f"SELECT id, floor((epoch_us({_T}) - epoch_us(day::TIMESTAMP)) / 86400000000.0)::BIGINT AS days, CASE WHEN {_T} - day::TIMESTAMP > INTERVAL 21 DAY THEN 'high' WHEN {_T} - day::TIMESTAMP > INTERVAL 14 DAY THEN 'medium' ELSE 'low' END AS severity FROM texts WHERE regexp_matches(lower('Waiting ' || importance), '{context.STATE_WORDS}') AND {_T} - day::TIMESTAMP > INTERVAL 7 DAY")
-def thread_gaps(t: Tables) -> DataFrame:
-    threads = t.texts().select("id", F.concat(F.lit("Waiting "), "importance").alias("current_state"), F.col("day").cast("timestamp_ntz").alias("updated_at"))
-    return context.waiting_threads(threads, NOW)
+_PHRASES = ["An acquisition is near", "the weather", "Restructuring plans", "new REGULATORY terms", "kept confidential", "an Opportunity", "a competitor", "she is leaving", "he is joining", "they pivot", "lunch"]
+_SUMMARIES = f"told AS (SELECT *, [{', '.join(f"'{x}'" for x in _PHRASES)}][k % 11 + 1] AS summary, CASE WHEN k % 13 = 0 THEN 'briefing' ELSE source END AS kind FROM knowledge)"
 
 
-@query("T20 T31", f"SELECT id, ({_O}::DATE - due_date::DATE)::INTEGER AS days, CASE WHEN {_O}::DATE - due_date::DATE > 7 THEN 'high' ELSE 'medium' END AS severity FROM commitments WHERE state = 'active' AND due_date::DATE < {_O}::DATE")
-def prediction_gaps(t: Tables) -> DataFrame:
-    own = t.commitments().select("id", F.to_date("due_date").alias("check_by"), F.when(F.col("state") == "active", "pending").otherwise("correct").alias("outcome"))
-    return alerts.prediction_gaps(own, ORDERS_NOW)
+@query(
+    "P16",
+    f"""WITH {_SUMMARIES} SELECT id, summary FROM told
+WHERE source_date >= {_T} - INTERVAL 7 DAY AND kind NOT IN ('calendar', 'agent-notification', 'agent-report', 'briefing', 'directive') AND entity_id % 3 <> 0
+  AND (summary ILIKE '%acqui%' OR summary ILIKE '%restructur%' OR summary ILIKE '%regulat%' OR summary ILIKE '%confidential%' OR summary ILIKE '%opportunity%' OR summary ILIKE '%compet%'
+    OR summary ILIKE '%leaving%' OR summary ILIKE '%joining%' OR summary ILIKE '%pivot%')
+ORDER BY source_date DESC, id LIMIT 10""",
+)
+def strategic_unthreaded(t: Tables) -> DataFrame:
+    k = t.knowledge()
+    summary = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("k") % 11 + 1).cast("int"))
+    told = k.withColumn("summary", summary).withColumn("source", F.when(F.col("k") % 13 == 0, "briefing").otherwise(F.col("source")))
+    return context.strategic_items(told, k.filter("entity_id % 3 = 0").select("id"), NOW).select("id", "summary")
 
 
-@query("T39 D11", "SELECT id, CASE project WHEN '1-URGENT' THEN 'fulfilled' WHEN '5-LOW' THEN 'abandoned' ELSE state END AS state FROM commitments")
+@query(
+    "T39",
+    """
+WITH c AS (SELECT id, state, project || ' for ' || owner AS text FROM commitments),
+v AS (SELECT DISTINCT text, CASE WHEN text LIKE '1-URGENT%' THEN 'fulfilled' WHEN text LIKE '5-LOW%' THEN 'stale' WHEN text LIKE '2-HIGH%' THEN 'invalid' WHEN text LIKE '3-MEDIUM%' THEN 'blocked' ELSE 'active' END AS verdict FROM c),
+f AS (SELECT text, min(id) AS id FROM c WHERE state IN ('detected', 'active', 'overdue') GROUP BY 1)
+SELECT c.id, CASE WHEN f.id IS NULL OR verdict = 'active' THEN state ELSE CASE verdict WHEN 'fulfilled' THEN 'fulfilled' WHEN 'stale' THEN 'abandoned' WHEN 'invalid' THEN 'abandoned' ELSE verdict END END AS state
+FROM c JOIN v USING (text) LEFT JOIN f ON f.id = c.id""",
+)
 def judged_commitments(t: Tables) -> DataFrame:
-    own = t.commitments().withColumn("text", F.col("project"))
-    verdicts = own.select("text", F.when(F.col("text") == "1-URGENT", "done").when(F.col("text") == "5-LOW", "stale").otherwise("open").alias("verdict")).distinct()
-    return context.judged_states(own, verdicts).select("id", "state")
+    own = t.commitments().withColumn("text", F.concat_ws(" for ", "project", "owner"))
+    verdict = F.when(F.col("project") == "1-URGENT", "fulfilled").when(F.col("project") == "5-LOW", "stale").when(F.col("project") == "2-HIGH", "invalid").when(F.col("project") == "3-MEDIUM", "blocked").otherwise("active")
+    return context.judged_states(own, own.select("text", verdict.alias("verdict")).distinct()).select("id", "state")
 
 
 @query("Q23", f"SELECT id FROM knowledge WHERE source = 'view' AND entity_id NOT IN (SELECT entity_id FROM mentions WHERE direction = 'inbound' AND mention_date >= {_T} - INTERVAL 1 DAY) AND entity_id NOT IN (SELECT id FROM entities WHERE dismissed)")
@@ -99,9 +108,22 @@ def gated_actions(t: Tables) -> DataFrame:
     return context.quality_gate(t.knowledge().filter("source = 'view'"), spoke, gone).select("id")
 
 
-@query("Q15 Q12", f"SELECT entity_id, count(*) AS items FROM (SELECT doc_id % 50 AS entity_id, text FROM documents) WHERE regexp_matches(lower(text), '{context.LEAVING}') GROUP BY 1")
+_LABELS = ["Leaving in May", "client", "LEFT the firm", "former owner", "in a new role", "in transition", "moving to Rome", "partner", "old friend"]
+
+
+@query(
+    "Q15",
+    f"""
+WITH e AS (SELECT id AS entity_id, [{", ".join(f"'{x}'" for x in _LABELS)}][id % 9 + 1] AS user_label, {_T} - to_days((id % 10)::INTEGER) AS updated_at FROM entities),
+g AS (SELECT * FROM e WHERE updated_at >= {_T} - INTERVAL 7 DAY AND (user_label ILIKE '%leaving%' OR user_label ILIKE '%left%' OR user_label ILIKE '%former%' OR user_label ILIKE '%new role%' OR user_label ILIKE '%transition%' OR user_label ILIKE '%moving to%'))
+SELECT g.entity_id, user_label, count(DISTINCT k.id) AS items, string_agg(DISTINCT project, ',' ORDER BY project) AS projects
+FROM g JOIN mentions m ON m.entity_id = g.entity_id JOIN knowledge k ON k.id = m.item_id WHERE k.source_date < updated_at AND importance NOT IN ('archived', 'noise') GROUP BY ALL""",
+)
 def departures(t: Tables) -> DataFrame:
-    return context.leaving(t.read("documents").select((F.col("doc_id") % 50).alias("entity_id"), "text"), "text")
+    """Entities whose users' label tells that they have gone, and what still mentions them."""
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("id") % 9 + 1).cast("int"))
+    entities = t.entities().select("id", label.alias("user_label"), (at(NOW) - F.make_dt_interval((F.col("id") % 10).cast("int"))).alias("updated_at"))
+    return context.leaving(entities, t.mentions(), t.knowledge(), NOW)
 
 
 @query(
@@ -171,23 +193,16 @@ def source_text(t: Tables) -> DataFrame:
     return got.select("id", F.md5(F.col("content").cast("binary")).alias("print"))
 
 
-@query("T19 T21 A21", "SELECT DISTINCT k.project FROM knowledge k WHERE source = 'error' AND project NOT IN (SELECT project FROM knowledge WHERE importance = 'critical' AND source = 'signup')")
-def project_gaps(t: Tables) -> DataFrame:
-    k = t.knowledge()
-    stalling = k.filter("source = 'error'").select("project").distinct()
-    return stalling.join(k.filter("importance = 'critical' and source = 'signup'").select("project").distinct(), "project", "left_anti")
-
-
 @query("T28 S29", "SELECT conv_id || '/' || turn AS id FROM (SELECT conv_id, turn, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations) WHERE a IS NULL OR a <= turn")
 def unanswered(t: Tables) -> DataFrame:
     items = t.read("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("thread"), F.col("turn").alias("at"), (F.col("role") == "assistant").alias("sent"), F.array(F.lit("awaiting_reply")).alias("tags"))
     return alerts.resolve_replies(items).filter(F.size("tags") > 0).select("id")
 
 
-@query("A11", "SELECT conv_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS lines FROM conversations")
+@query("A11", "SELECT id, line FROM (SELECT conv_id AS id, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE line <> ''")
 def flattened_lines(t: Tables) -> DataFrame:
-    own = t.read("conversations").select(F.col("conv_id").alias("id"), F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("lines"))
-    return own
+    """A row for each line."""
+    return t.read("conversations").select(F.col("conv_id").alias("id"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
 
 
 @query("R25", "SELECT id FROM texts WHERE importance = 'high' AND project = 'fr' AND contains(lower(raw_content), 'tion') ORDER BY id LIMIT 30")

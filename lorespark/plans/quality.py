@@ -41,10 +41,10 @@ def noise_classify(t: Tables) -> DataFrame:
     return _noise(t).select("conv_id", "turn", "noise_type", "noise_confidence")
 
 
-@query("Q3", "SELECT m.entity_id, count(*) AS mentions FROM mentions m LEFT JOIN knowledge k ON k.id = m.item_id AND importance = 'low' WHERE role = 'signup' GROUP BY 1 HAVING count(*) = count(k.id)")
+@query("Q3", "SELECT m.entity_id, count(*) AS mentions FROM mentions m LEFT JOIN knowledge k ON k.id = m.item_id AND importance IN ('low', 'normal') WHERE role = 'signup' AND m.item_id % 6 = 0 GROUP BY 1 HAVING count(*) = count(k.id)")
 def quarantine(t: Tables) -> DataFrame:
-    noise = t.knowledge().filter("importance = 'low'").select(F.col("id").alias("item_id"))
-    return quality.quarantined(t.mentions().filter("role = 'signup'"), noise)
+    noise = t.knowledge().filter("importance IN ('low', 'normal')").select(F.col("id").alias("item_id"))
+    return quality.quarantined(t.mentions().filter("role = 'signup' AND item_id % 6 = 0"), noise)
 
 
 @query("Q6", "SELECT item_id AS quote_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), substring(lower(b.text), 1, 40)) AND length(b.text) >= 40")
@@ -152,11 +152,23 @@ def stale_count(t: Tables) -> DataFrame:
     return t.knowledge().filter(~since("source_date", NOW, 14) & (F.col("importance") != "critical")).agg(F.count("*").alias("n"))
 
 
-@query("Q22", "SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 20 AND length(x) <= 300 AND regexp_matches(x, '[0-9]|[A-Z][a-z]+ [A-Z][a-z]+|\\b(is|was|has|will)\\b'))) AS claims FROM documents")
+_CLAIM = r"[0-9]|[A-Z][a-z]+ [A-Z]|(?:signed|sent|launched|agreed|confirmed|pending|overdue|blocked|completed)"
+_BARE = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_CLAIMS = f"""claims AS (SELECT id, substring(line, 1, 300) AS claim FROM (SELECT id, {_BARE.format(x=r"regexp_replace(line, '^[#*>\s-]+', '')")} AS line FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({_BARE.format(x="line")}) > 20)
+  WHERE line <> '' AND NOT starts_with(line, '---') AND regexp_matches(line, '{_CLAIM}'))"""
+
+
+@query("Q22", f"WITH {_CLAIMS} SELECT doc_id AS id, count(claim) AS claims FROM documents LEFT JOIN claims ON id = doc_id GROUP BY ALL")
 def claim_counts(t: Tables) -> DataFrame:
     return t.read("documents").select(F.col("doc_id").alias("id"), F.size(quality.claims(F.col("text"))).cast("long").alias("claims"))
 
 
+@query("Q22", f"WITH {_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('7:' || claim)) AS place FROM (SELECT DISTINCT * FROM claims)) SELECT * FROM r WHERE place <= 8")
+def sampled_claims(t: Tables) -> DataFrame:
+    """Up to eight claims of each page, drawn by a seed."""
+    return quality.sampled_claims(t.read("documents").select(F.col("doc_id").alias("id"), "text"), 8, 7)
+
+
 _INTENT = " ".join(f"WHEN regexp_matches(m, '{p.replace(chr(39), chr(39) * 2)}') THEN '{v}'" for v, p in text.INTENTS)
 
 

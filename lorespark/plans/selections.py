@@ -160,24 +160,31 @@ def owned_commitments(t: Tables) -> DataFrame:
     return context.owned_by(p.select(F.col("p_partkey").alias("id"), owner.alias("owner")), one.unionByName(two))
 
 
-_STOP = ", ".join(f"'{w}'" for w in alerts.STOP_WORDS)
-
-
 @query(
     "J11 T27 Q14",
-    rf"""
-WITH k AS (SELECT id, day, w FROM (SELECT id, day, w, row_number() OVER (PARTITION BY id ORDER BY place) AS r FROM (SELECT id, day, w, min(place) AS place FROM (SELECT doc_id AS id, doc_id % 40 AS day, unnest(string_split(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' ')) AS w, unnest(range(len(string_split(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9 ]', '', 'g'), ' ')))) AS place FROM documents WHERE doc_id % 2 = 0)
-  WHERE length(w) > 3 AND w NOT IN ({_STOP}) GROUP BY ALL)) WHERE r <= 5),
-i AS (SELECT doc_id AS item_id, doc_id % 40 AS day, list_distinct(string_split_regex(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +')) AS ws FROM documents WHERE doc_id % 2 = 1 AND (source = 'src1' OR regexp_matches(lower(text), '{alerts.DONE_WORDS}'))),
-t AS (SELECT item_id, day, unnest(ws) AS w FROM i)
-SELECT id, arg_max(item_id, t.day * 1000000000 + item_id) AS evidence_id FROM k JOIN t USING (w) WHERE t.day > k.day GROUP BY 1""",
+    r"""
+WITH c AS (SELECT doc_id AS id, 'Will ' || regexp_replace(split_part(text, chr(10), 1), '[.]', ', ', 'g') || ' about that' AS text, TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 40)::INTEGER) AS due_date, CASE WHEN doc_id % 10 = 4 THEN 'dropped' ELSE 'overdue' END AS state FROM documents WHERE doc_id % 2 = 0),
+o AS (SELECT * FROM c WHERE state IN ('active', 'overdue', 'detected') ORDER BY due_date NULLS FIRST, id LIMIT 30),
+w AS (SELECT id, due_date, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(text, '(?i)\b(committed to|will|should|needs to|promised|agreed|going to|plan to)\b', '', 'g'), '[^0-9A-Za-z_\s]', '', 'g')), '\s+'),
+  lambda x: length(x) > 3 AND lower(x) NOT IN ('that', 'this', 'with', 'from', 'they', 'have', 'been', 'would', 'could', 'about', 'their', 'some', 'also'))[1:5] AS ws FROM o),
+k AS (SELECT id, due_date, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM w),
+i AS (SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS title, substring(text, 1, 200) || CASE WHEN doc_id % 3 = 0 THEN ' Was Signed.' ELSE '' END AS summary, CASE source WHEN 'src1' THEN 'gmail-sent' ELSE source END AS source, TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 40)::INTEGER) AS source_date FROM documents WHERE doc_id % 2 = 1),
+m AS (SELECT id, place, item_id, lower(title) || chr(10) || lower(summary) AS said, source, row_number() OVER (PARTITION BY id, place ORDER BY source_date DESC, item_id) AS rank
+  FROM k JOIN i ON source_date > due_date AND contains(lower(title) || chr(10) || lower(summary), lower(word))),
+d AS (SELECT * FROM m WHERE rank <= 5 AND (source = 'gmail-sent' OR contains(said, 'sent') OR contains(said, 'completed') OR contains(said, 'done') OR contains(said, 'delivered') OR contains(said, 'submitted')
+  OR contains(said, 'signed') OR contains(said, 'approved') OR contains(said, 'finalized') OR contains(said, 'confirmed') OR contains(said, 'scheduled')))
+SELECT id, arg_min(item_id, place * 10 + rank) AS evidence_id FROM d GROUP BY 1""",
 )
 def fulfilled(t: Tables) -> DataFrame:
-    """Promises that a later item tells of, by a shared keyword."""
+    """Promises that a later item tells of, by their keywords in turn."""
     d = t.read("documents")
-    at = (F.col("doc_id") % 40).alias("at")
-    owed = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"), at)
-    items = d.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("item_id"), "text", at, (F.col("source") == "src1").alias("sent"))
+    on = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 40).cast("int"))).alias("source_date")
+    first = F.substring_index("text", "\n", 1)
+    text = F.concat(F.lit("Will "), F.regexp_replace(first, "[.]", ", "), F.lit(" about that")).alias("text")
+    state = F.when(F.col("doc_id") % 10 == 4, "dropped").otherwise("overdue").alias("state")
+    owed = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), text, on.alias("due_date"), F.lit(None).cast("timestamp_ntz").alias("detected_at"), state)
+    summary = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, " Was Signed.").otherwise("")).alias("summary")
+    items = d.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("item_id"), first.alias("title"), summary, F.when(F.col("source") == "src1", "gmail-sent").otherwise(F.col("source")).alias("source"), on)
     return alerts.fulfilment_evidence(owed, items)
 
 

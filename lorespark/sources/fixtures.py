@@ -16,6 +16,7 @@ TEXT_NOW = NOW
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def mentions(self) -> DataFrame:

@@ -39,9 +39,13 @@ def test_corrections(spark):
 
 
 def test_fulfilment_evidence(spark):
-    c = spark.createDataFrame([(1, "Send the budget report", 5), (2, "Call the notary office", 5)], "id long, text string, at int")
-    i = spark.createDataFrame([(10, "budget is done", 6, False), (11, "Budget report attached", 7, True), (12, "budget was sent", 4, False), (13, "notary thinks", 9, False)], "item_id long, text string, at int, sent boolean")
-    assert sorted(map(tuple, alerts.fulfilment_evidence(c, i).collect())) == [(1, 11)]
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    owed = [(1, "Will send the Budget report", day(5), None, "active"), (2, "Promised: call the notary office", day(5), day(2), "overdue"), (3, "should do it", day(5), None, "active"), (4, "budget again", day(5), None, "dropped")]
+    told = [(10, "budget", "is not yet there", "mail", day(7)), (11, "Re", "subBUDGETs were Approved", "mail", day(6)), (12, "budget", "sent", "mail", day(5)), (13, "Notary", "thinks", "gmail-sent", day(3)), (14, "report", "done", "mail", day(9))]
+    c = spark.createDataFrame(owed, "id long, text string, due string, detected string, state string").selectExpr("id", "text", "state", "CAST(due AS TIMESTAMP_NTZ) AS due_date", "CAST(detected AS TIMESTAMP_NTZ) AS detected_at")
+    i = spark.createDataFrame(told, "item_id long, title string, summary string, source string, d string").selectExpr("item_id", "title", "summary", "source", "CAST(d AS TIMESTAMP_NTZ) AS source_date")
+    assert sorted(map(tuple, alerts.fulfilment_evidence(c, i).collect())) == [(1, 11), (2, 13)]
+    assert spark.range(1).select(alerts.keywords(F.lit("Committed to sending some reports, agreed with THEM about Q3-numbers also soon"))).first()[0] == ["sending", "reports", "THEM", "Q3numbers", "soon"]
 
 
 def test_rerank_and_passages(spark):
