@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = utf8(batch.column(1))
         parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in _chunks(offs)]
-        blobs = [row.tobytes() for part in parts for row in part]
+        blobs = [zstandard.compress(row.tobytes(), 1) for part in parts for row in part]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2), batch.column(3)], ["label", "vector", "id", "print"])
 
 
@@ -147,11 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 1
     if not found:
         return {"idf": idf, "axes": np.zeros((WIDTH, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32), "prior": 0.5}
-    found = sorted((bytes(v), y) for y, v in found)
-    x = weigh(np.frombuffer(b"".join(v for v, _ in found), np.float32).reshape(len(found), WIDTH), idf)
-    y = np.array([y for _, y in found], np.float32)
+    found.sort(key=lambda r: (bytes(r.vector), r.label))
+    y = np.array([r.label for r in found], np.float32)
+    x = np.empty((len(found), WIDTH), np.float32)
+    for i, r in enumerate(found):
+        x[i] = np.frombuffer(zstandard.decompress(bytes(r.vector)), np.float32)
+    del found
+    x = weigh(x, idf)
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = axes[:, np.argsort(-values)[: min(RANK, len(found))]].astype(np.float32)
+    axes = axes[:, np.argsort(-values)[: min(RANK, len(x))]].astype(np.float32)
     return {"idf": idf, "axes": axes, "vectors": _unit(x @ axes), "labels": y, "prior": float(y.mean())}
 
 
