@@ -30,6 +30,11 @@ def weekly_counts(mentions: DataFrame, as_of: str, keys: tuple[str, ...], weeks:
 
 def momentum(mentions: DataFrame, as_of: str, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """The trend of each key over the last weeks, strongest kinds first."""
+    return trends(weekly_counts(mentions, as_of, keys), keys)
+
+
+def trends(weekly: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Trends of counts ``w1`` to ``w4``."""
     w1, w2, w3 = F.col("w1"), F.col("w2"), F.col("w3")
     trend = (
         F.when((w1 == 0) & ((w2 > 0) | (w3 > 0)), "cold")
@@ -38,7 +43,7 @@ def momentum(mentions: DataFrame, as_of: str, keys: tuple[str, ...] = ("entity_i
         .when((w1 < w2) & (w2 <= w3), "decelerating")
         .otherwise("steady")
     )
-    weekly = weekly_counts(mentions, as_of, keys).filter("w1 + w2 + w3 + w4 > 0")
+    weekly = weekly.filter("w1 + w2 + w3 + w4 > 0")
     return weekly.withColumn("trend", trend).orderBy(ordinal("trend", TREND_ORDER), (w1 + w2 + w3 + F.col("w4")).desc(), *keys)
 
 
@@ -50,6 +55,12 @@ def communication_baseline(mentions: DataFrame, as_of: str, least: int = 3) -> D
         F.count_if(month & (F.col("direction") == "inbound")).alias("inbound"),
         F.min(F.when(month, F.col("mention_date"))).alias("first_in"), F.max(F.when(month, F.col("mention_date"))).alias("last_in"),
     ).filter(F.col("n") >= least)
+    return judged(own, as_of)
+
+
+def judged(own: DataFrame, as_of: str) -> DataFrame:
+    """Rates, velocity and anomaly of baselines (``n, last, month, week, inbound, first_in,
+    last_in``)."""
     rate = F.col("month") / 4.3
     gap = F.when(F.col("month") > 1, days_between(F.col("last_in"), F.col("first_in")) / (F.col("month") - 1)).otherwise(0.0)
     silent = F.coalesce(days_between(at(as_of), F.col("last")), F.lit(999.0))

@@ -194,6 +194,34 @@ def threads(candidates: DataFrame) -> DataFrame:
     return part.join(kept, "component").select("component", "items", "node")
 
 
+def thread_clusters(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """(component, items, sources, score) of the clusters that ``threads`` keeps: .3 for each
+    item and .2 for each source.  ``items``: id, source."""
+    kept = threads(candidates).join(items.select(F.col("id").alias("node"), "source"), "node")
+    found = kept.groupBy("component").agg(F.count("*").alias("items"), F.countDistinct("source").alias("sources"))
+    return found.withColumn("score", F.round(0.3 * F.col("items") + 0.2 * F.col("sources"), 6))
+
+
+def confident_neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(node, depth, confidence) reached from the start nodes, each at its first visit with
+    its surest path of that length: the product of its edges' confidence.
+
+    ``edges``: a, b, confidence.  A level is written before the next one reads it."""
+    spark = edges.sparkSession
+    both = edges.select("a", "b", "confidence").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
+    folder = scratch(spark, "levels")
+    schema = start.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")).schema
+    start.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")).distinct().write.parquet(f"{folder}/0")
+    levels = [f"{folder}/0"]
+    for d in range(1, depth + 1):
+        seen, last = spark.read.schema(schema).parquet(*levels), spark.read.schema(schema).parquet(levels[-1])
+        reached = both.join(last.select(F.col("node").alias("a"), F.col("confidence").alias("so_far")), "a")
+        new = reached.groupBy(F.col("b").alias("node")).agg(F.max(F.col("so_far") * F.col("confidence")).alias("confidence")).join(seen, "node", "left_anti")
+        new.select("node", F.lit(d).alias("depth"), "confidence").write.parquet(f"{folder}/{d}")
+        levels.append(f"{folder}/{d}")
+    return spark.read.schema(schema).parquet(*levels).orderBy(F.desc("confidence"), "depth", "node")
+
+
 def merge_entities(members: DataFrame, mapping: DataFrame) -> DataFrame:
     """Repoint members by (old_id, new_id) and drop what repeats."""
     to = F.coalesce("new_id", "entity_id")

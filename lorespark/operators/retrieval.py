@@ -121,6 +121,32 @@ def graph_search(members: DataFrame, edges: DataFrame, seeds: DataFrame, k: int,
     return top(members.join(scored, "entity_id").groupBy(F.col("item_id").alias("id")).agg(F.max("score").alias("score")), k)
 
 
+def graph_expansion(members: DataFrame, edges: DataFrame, seeds: DataFrame, threads: DataFrame, items: DataFrame, as_of: str, k: int, fans: tuple[int, ...] = (30, 20), bases: tuple[float, ...] = (0.6, 0.3), since: str | None = None, bias: float = 0.05) -> DataFrame:
+    """Items of the seeds (.9), then of a frontier that carries its scores outwards: each hop
+    takes the strongest edges of the last one's entities, and gives the new entities their
+    edge's share of the hop's strongest; an item has the score of the nearest hop that names
+    it, the best there.  Siblings in threads are added, then age weighs.
+
+    ``members``: item_id, entity_id; ``edges``: a, b, n; ``seeds``: entity_id; ``threads``:
+    thread_id, id; ``items``: id, source_date.  A frontier has as many entities as its fan."""
+    seen = seeds.select("entity_id").distinct()
+    frontier, reached = seen, seen.select("entity_id", F.lit(0).alias("hop"), F.lit(0.9).alias("score"))
+    for hop, (fan, base) in enumerate(zip(fans, bases, strict=True), 1):
+        ends = lambda c: F.broadcast(frontier).select(F.col("entity_id").alias(c), F.lit(True).alias(f"at_{c}"))  # noqa: B023, E731
+        touched = edges.select("a", "b", "n").join(ends("a"), "a", "left").join(ends("b"), "b", "left").filter("at_a OR at_b")
+        strong = touched.orderBy(F.desc("n"), "a", "b").limit(fan)
+        far = strong.select(F.when(F.col("at_a"), F.col("b")).otherwise(F.col("a")).alias("entity_id"), "n").join(F.broadcast(seen), "entity_id", "left_anti")
+        new = far.groupBy("entity_id").agg(F.max("n").alias("n"))
+        most = new.agg(F.greatest(F.max("n"), F.lit(1)).alias("most"))
+        new = new.crossJoin(F.broadcast(most)).select("entity_id", F.lit(hop).alias("hop"), (base * F.col("n") / F.col("most")).alias("score"))  # one row
+        frontier = new.select("entity_id")
+        seen, reached = seen.unionByName(frontier), reached.unionByName(new)
+    named = members.join(F.broadcast(reached), "entity_id").groupBy(F.col("item_id").alias("id")).agg(F.min(F.struct("hop", (-F.col("score")).alias("less"))).alias("m"))
+    scored = thread_bonus(named.select("id", (-F.col("m.less")).alias("score")), threads)
+    dated = items.select("id", "source_date") if since is None else items.select("id", "source_date").filter(F.col("source_date") >= at(since))
+    return top(scored.join(dated, "id").select("id", (F.col("score") * recency(F.col("source_date"), as_of, bias)).alias("score")), k)
+
+
 def thread_bonus(ranked: DataFrame, threads: DataFrame) -> DataFrame:
     """Siblings in the threads (``thread_id, id``) of ranked items: .15 more for
     each shared thread, .55 for a first one of an item that is new; at most 1."""

@@ -131,3 +131,48 @@ def supersede(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Close each row at the next one's time (slowly changing dimension)."""
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("valid_from", F.col(order)).withColumn("valid_until", F.lead(order).over(w)).withColumn("superseded_by", F.lead("id").over(w))
+
+
+# Day tables: what moving windows are merged from.
+
+
+def daily(mentions: DataFrame) -> DataFrame:
+    """(entity_id, role, direction, day, n, first, last, items): counts, bounds and a
+    mergeable sketch of distinct items.  Days of several loads add up when they are read."""
+    day = F.to_date("mention_date").alias("day")
+    return mentions.groupBy("entity_id", "role", "direction", day).agg(F.count("*").alias("n"), F.min("mention_date").alias("first"), F.max("mention_date").alias("last"), F.hll_sketch_agg("item_id", F.lit(14)).alias("items"))
+
+
+def _midnight(as_of: str) -> str:
+    if not as_of.endswith("00:00:00"):
+        raise ValueError(f"windows of days end at midnight, not at {as_of}")
+    return as_of[:10]
+
+
+def _last(as_of: str, days: int) -> Column:
+    """The days before a midnight."""
+    end = F.lit(_midnight(as_of)).cast("date")
+    return (F.col("day") >= F.date_sub(end, days)) & (F.col("day") < end)
+
+
+def weekly_from_days(days: DataFrame, as_of: str, keys: tuple[str, ...], weeks: int = 4) -> DataFrame:
+    """``w1`` (the latest) and so on, as from the mentions before that midnight."""
+    week = lambda k: F.sum(F.when(_last(as_of, 7 * k) & ~_last(as_of, 7 * k - 7), F.col("n")).otherwise(0)).alias(f"w{k}")
+    return days.filter(_last(as_of, 7 * weeks)).groupBy(*keys).agg(*map(week, range(1, weeks + 1)))
+
+
+def baseline_from_days(days: DataFrame, as_of: str, least: int = 3) -> DataFrame:
+    """Baselines of 30 and 7 days of every entity of ``least`` mentions."""
+    month, week = _last(as_of, 30), _last(as_of, 7)
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    own = days.groupBy("entity_id").agg(
+        F.sum("n").alias("n"), F.max("last").alias("last"), total(month).alias("month"), total(week).alias("week"), total(month & (F.col("direction") == "inbound")).alias("inbound"),
+        F.min(F.when(month, F.col("first"))).alias("first_in"), F.max(F.when(month, F.col("last"))).alias("last_in"),
+    )
+    return own.filter(F.col("n") >= least)
+
+
+def window_from_days(days: DataFrame, as_of: str, width: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, mentions, items, days) of a window of days; items by merged sketches."""
+    own = days.filter(_last(as_of, width)).groupBy(*keys)
+    return own.agg(F.sum("n").alias("mentions"), F.hll_sketch_estimate(F.hll_union_agg("items")).alias("items"), F.countDistinct("day").alias("days"))

@@ -90,7 +90,7 @@ def with_tables(body: str) -> str:
     """The SQL with a CTE before it for each canonical table that it names."""
     import re
 
-    used = [f"{k} AS ({v})" for k, v in CTES.items() if re.search(rf"\b(?:FROM|JOIN)\s+{k}\b", body)]
+    used = [f"{k} AS ({v})" for k, v in CTES.items() if re.search(rf"\b(?:FROM|JOIN)\s+{k}\b", body) and not re.search(rf"(?:WITH|,)\s+{k} AS \(", body)]
     own = body.strip()
     if not used:
         return own
