@@ -129,7 +129,7 @@ def webhook_ingest(t: Tables) -> DataFrame:
     e = t.read("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("entity_id"), "value")
     spark, root = e.sparkSession, scratch(e.sparkSession, "webhook")
     schema = "id long, entity_id long, value double"
-    held = streams.VersionedTable(spark, f"{root}/table", schema)
+    held = streams.VersionedTable(spark, f"{root}/table", schema, "id")
     change = lambda old, new: rollups.upsert(old, new.groupBy("id").agg(F.max("entity_id").alias("entity_id"), F.max("value").alias("value")), ["id"])
     e.write.json(f"{root}/in/1")
     stream = spark.readStream.schema(schema).json(f"{root}/in/*")
@@ -195,7 +195,7 @@ def thread_updates(t: Tables) -> DataFrame:
     """Threads first with their early messages, then with the rest and replays."""
     m = t.read("conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("position"), (F.col("role") != "user").alias("sent"))
     spark, root = m.sparkSession, scratch(m.sparkSession, "threads")
-    held = streams.VersionedTable(spark, f"{root}/table", "thread_id long, messages long, last_position long, awaiting_reply boolean")
+    held = streams.VersionedTable(spark, f"{root}/table", "thread_id long, messages long, last_position long, awaiting_reply boolean", "thread_id")
     stream = spark.readStream.schema(m.schema).parquet(f"{root}/in/*")
     m.filter("position < 2").write.parquet(f"{root}/in/1")
     held.sync(stream, f"{root}/checkpoint", streams.thread_update)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -127,25 +127,60 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A keyed Parquet table that micro-batches bring up to date.  A batch writes the
-    next version beside the last, under its own number: one that runs again after a
-    failure writes the same version again, so nothing counts twice."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema, self.version = spark, root, schema, -1
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version if version is None else version
-        return self.spark.createDataFrame([], self.schema) if version < 0 else self.spark.read.schema(self.schema).parquet(f"{self.root}/{version}")
+    """A keyed Parquet table that micro-batches bring up to date, in buckets by key.
+
+    A batch rewrites just the buckets that it touches, beside the last ones and under its own
+    number, and names them when they are whole: one that runs again after a failure writes the
+    same again, so nothing counts twice, and a new process goes on where the last one ended.
+    What no bucket needs any more is deleted after the next batch; a table that was read
+    before then no longer reads."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, buckets: int = 16) -> None:
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root, schema, key, buckets
+
+    def _path(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        """Batches that are whole."""
+        folder, fs = self._path(f"{self.root}/touched")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._path(f"{self.root}/touched/{n}/_SUCCESS")[0]))
+
+    def _latest(self, before: int | None = None) -> dict[int, int]:
+        """The version of each bucket."""
+        own = [v for v in self._versions() if before is None or v < before]
+        if not own:
+            return {}
+        touched = self.spark.read.schema("bucket int, version int").parquet(*(f"{self.root}/touched/{v}" for v in own))
+        return {r.bucket: r.version for r in touched.groupBy("bucket").agg(F.max("version").alias("version")).collect()}  # a row a bucket
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/data/{v}/bucket={b}" for b, v in self._latest(before).items() if only is None or b in only]
+        paths = [p for p in paths if self._path(p)[1].exists(self._path(p)[0])]  # a bucket may have become empty
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def sync(self, stream: DataFrame, checkpoint: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        """One tick: the new table is ``change(table, new rows)`` for each micro-batch."""
+        """One tick: touched buckets become ``change(their rows, new rows)`` with each
+        micro-batch."""
 
         def write(df: DataFrame, batch: int) -> None:
-            change(self.read(batch - 1), df).write.mode("overwrite").parquet(f"{self.root}/{batch}")
-            self.version = batch
+            touched = [r.bucket for r in df.select(self._bucket()).distinct().collect()]  # at most ``buckets`` rows
+            new = change(self.read(batch, touched), df)
+            new.select("*", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/{batch}")
+            self.spark.createDataFrame([(b, batch) for b in touched], "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/touched/{batch}")
 
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        needed = set(self._latest().values())
+        for version in self._versions():
+            if version not in needed:
+                for kind in ("touched", "data"):
+                    path, fs = self._path(f"{self.root}/{kind}/{version}")
+                    fs.delete(path, True)
         return self.read()
 
 

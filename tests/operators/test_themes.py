@@ -111,7 +111,7 @@ def test_passages_by_hand(spark):
 
 
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
-    held = streams.VersionedTable(spark, str(tmp_path / "t"), "thread_id long, messages long, last_position long, awaiting_reply boolean")
+    held = streams.VersionedTable(spark, str(tmp_path / "t"), "thread_id long, messages long, last_position long, awaiting_reply boolean", "thread_id")
     rows = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 1, True), (2, 0, False)], "thread_id long, position long, sent boolean")
     once = streams.thread_update(held.read(), rows)
     again = streams.thread_update(once, rows)

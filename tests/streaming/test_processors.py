@@ -75,3 +75,25 @@ def test_upsert_sink(spark, folder, tmp_path):
     query = p.upsert_sink(stream(spark, folder).select("event_id"), lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "check"))
     query.awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(spark.read.parquet(f"{folder}/*").select("event_id"))
+
+
+def test_a_versioned_table_outlives_its_process(spark, tmp_path):
+    """A new object goes on from what is on disk; untouched buckets stay where they are."""
+    from lorespark.operators.rollups import upsert
+
+    schema, root = "id long, value long", str(tmp_path)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    held = lambda: p.VersionedTable(spark, f"{root}/table", schema, "id", 4)
+    sync = lambda: held().sync(spark.readStream.schema(schema).parquet(f"{root}/in"), f"{root}/checkpoint", lambda old, new: upsert(old, new, ["id"]))
+    read = lambda df: {r.id: r.value for r in df.collect()}
+    put([(i, 0) for i in range(20)])
+    assert read(sync()) == {i: 0 for i in range(20)}
+    assert read(sync()) == read(held().read()) == {i: 0 for i in range(20)}  # no new files
+    put([(3, 1), (40, 1)])
+    assert read(sync()) == {i: int(i in (3, 40)) for i in [*range(20), 40]}
+    touched = {r.bucket for r in spark.read.parquet(f"{root}/table/touched/1").collect()}
+    assert 1 <= len(touched) <= 2 and {int(d.name.split("=")[1]) for d in (tmp_path / "table/data/1").glob("bucket=*")} == touched
+    (tmp_path / "table/data/2").mkdir()  # a batch that broke off
+    assert read(held().read()) == read(sync())
+    put([(i, 2) for i in range(41)])
+    assert set(read(sync()).values()) == {2} and not (tmp_path / "table/data/0").exists()
