@@ -126,17 +126,6 @@ def escalation_level(actions: DataFrame, as_of: str) -> DataFrame:
     return actions.withColumn("next_level", new).withColumn("automatic", (F.col("next_level") >= 1) & (F.col("type") != "email") & (F.col("status") == "pending"))
 
 
-def ambient_priorities(commitments: DataFrame, projects: DataFrame, actions: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Tiers: commitments due soon, projects' next actions, staged actions not expired."""
-    due = commitments.filter(F.col("state").isin(OPEN_STATES) & (F.col("due_date") < ago(as_of, -days)) & (F.col("due_date") >= ago(as_of, 30)))
-    one = due.select(F.lit(1).alias("tier"), F.col("id").cast("string").alias("id"), "project", F.lit(False).alias("stale"))
-    covered = due.select("project").distinct().withColumn("covered", F.lit(True))
-    two = projects.join(covered, "project", "left").select(F.when(F.col("covered"), 4).otherwise(2).alias("tier"), F.col("project").alias("id"), "project", F.lit(False).alias("stale"))
-    age = days_between(at(as_of), F.col("created_at")) * 24
-    three = actions.filter((F.col("status") == "pending") & (age <= 168)).select(F.lit(3).alias("tier"), F.col("id").cast("string").alias("id"), "project", (age > 72).alias("stale"))
-    return one.unionByName(two).unionByName(three).orderBy("tier", "id")
-
-
 def recent_triggers(items: DataFrame, key_entities: DataFrame, as_of: str, minutes: int = 20, k: int = 5) -> DataFrame:
     """The newest items of key entities in the last minutes."""
     own = items.filter(F.col("source_date") >= at(as_of) - F.expr(f"INTERVAL '{minutes}' MINUTE")).join(key_entities, "entity_id", "left_semi")

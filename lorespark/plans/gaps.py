@@ -94,7 +94,7 @@ def project_gaps(t: Tables) -> DataFrame:
     return _project(t)
 
 
-@query("T20", f"WITH {_PREDICTION} SELECT * FROM prediction")
+@query("T20 T31", f"WITH {_PREDICTION} SELECT * FROM prediction")
 def prediction_gaps(t: Tables) -> DataFrame:
     return _prediction(t)
 

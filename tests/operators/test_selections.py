@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
-from lorespark.operators import alerts, context, quality, retrieval
+from lorespark.operators import alerts, context, profiles, quality, retrieval
 from lorespark.sources import files
 
 
@@ -72,12 +72,19 @@ def test_lessons_and_queues(spark):
     assert {r.id for r in context.active_lessons(lessons, "2024-01-31", "mail").collect()} == {1, 4}
 
 
-def test_ambient_tiers(spark):
-    now = "2024-01-31 00:00:00"
-    c = spark.createDataFrame([(1, "p", "active", datetime(2024, 2, 3)), (2, "q", "active", datetime(2024, 3, 3))], "id long, project string, state string, due_date timestamp_ntz")
-    p = spark.createDataFrame([("p",), ("q",)], "project string")
-    a = spark.createDataFrame([(5, "q", "pending", datetime(2024, 1, 30)), (6, "q", "pending", datetime(2024, 1, 26)), (7, "q", "pending", datetime(2024, 1, 1))], "id long, project string, status string, created_at timestamp_ntz")
-    assert [(r.tier, r.id, r.stale) for r in alerts.ambient_priorities(c, p, a, now).collect()] == [(1, "1", False), (2, "q", False), (3, "5", False), (3, "6", True), (4, "p", False)]
+def test_ambient_priorities(spark):
+    now, day = "2024-01-31 00:00:00", lambda m, d: datetime(2024, m, d)
+    c = spark.createDataFrame([(1, "p", "active", day(2, 3)), (2, "q", "active", day(3, 3)), (3, "r", "overdue", day(1, 20)), (4, "s", "dropped", day(1, 20)), (5, "p", "active", day(2, 2))], "id long, project string, state string, due_date timestamp_ntz")
+    p = spark.createDataFrame([("p", "stalling", "call"), ("q", "steady", "write"), ("u", "new", "see"), ("v", "active", None), ("w", "active", "No action needed here")], "project string, status string, next_action string")
+    a = [(5, "q", "pending", 1, False, day(1, 30), None), (6, "q", "pending", 2, False, day(1, 29), None), (7, "q", "pending", 1, False, day(1, 27), None), (8, "q", "pending", 1, True, day(1, 27), None), (9, "q", "pending", 3, True, day(1, 30), None), (10, "q", "pending", 1, True, day(1, 30), day(1, 31)), (11, "q", "done", 1, True, day(1, 30), None)]
+    a = spark.createDataFrame(a, "id long, project string, status string, target long, in_session boolean, created_at timestamp_ntz, expires_at timestamp_ntz")
+    gone = spark.createDataFrame([(3,)], "target long")
+    heard = spark.createDataFrame([(2, day(1, 30)), (1, day(1, 1))], "target long, source_date timestamp_ntz")
+    got = profiles.ambient_priorities(c, p, a, gone, heard, now).collect()
+    assert [(r.id, r.tier, r.urgency, r.stale) for r in got] == [
+        ("commitment-3", 1, "critical", False), ("commitment-5", 1, "high", False), ("project-p", 2, "high", False), ("commitment-1", 1, "medium", False),
+        ("project-u", 1, "medium", False), ("action-5", 2, "medium", False), ("action-6", 2, "medium", True), ("action-8", 2, "medium", False), ("project-q", 1, "low", False),
+    ]
 
 
 def test_facts_and_quotes(spark):
