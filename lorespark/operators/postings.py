@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import is_scratch, scratch
 from .retrieval import FTS_B, FTS_K1, K1, B, recency, top
 
 #: Folders of postings.
@@ -173,9 +174,7 @@ _BUILT: dict[tuple, TermIndex] = {}
 
 def shared_index(spark: SparkSession, name: str, items: Callable[[], DataFrame], fields: list[str], kept: list[str], terms: Callable[[Column], Column] = words) -> TermIndex:
     """The session's index of that name, built when it is first asked for."""
-    from ..session import scratch
-
     key = spark.sparkContext.applicationId, name
-    if key not in _BUILT:
+    if key not in _BUILT or not is_scratch(_BUILT[key].path):
         _BUILT[key] = TermIndex(spark, scratch(spark, "index"), fields, kept, terms).add(items())
     return _BUILT[key]

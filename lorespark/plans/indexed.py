@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import postings, retrieval, vectors
 from ..operators.postings import TermIndex, shared_index
 from ..operators.vectors import VectorIndex
-from ..session import scratch
+from ..session import is_scratch, scratch
 from ..sources.fixtures import TEXT_NOW, Tables
 from .catalog import query
 
@@ -93,7 +93,7 @@ _VECTORS: dict[tuple, VectorIndex] = {}
 
 def vector_index(t: Tables) -> VectorIndex:
     key = t.spark.sparkContext.applicationId, t.sf_dir
-    if key not in _VECTORS:
+    if key not in _VECTORS or not is_scratch(_VECTORS[key].path):
         _VECTORS[key] = VectorIndex(t.spark, scratch(t.spark, "vectors"), ("project",)).build(t.vectors())
     return _VECTORS[key]
 

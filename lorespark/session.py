@@ -36,6 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/lorespark-{uuid.uuid4().hex}-{name}"
+    path = f"{shared_dir(spark)}/lorespark-{uuid.uuid4().hex}-{name}"
+    _SCRATCH.add(path)
+    return path
+
+
+def is_scratch(path: str) -> bool:
+    """Whether a scratch path of this process still stands."""
+    return path in _SCRATCH
+
+
+def forget_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written below ``scratch`` paths, indexes included; to be
+    called when the DataFrames that read it are done with.  The number of paths."""
+    for path in _SCRATCH:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    n = len(_SCRATCH)
+    _SCRATCH.clear()
+    return n

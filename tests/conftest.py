@@ -21,6 +21,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from lorespark.session import forget_scratch
+
+    forget_scratch(session)
     session.stop()
 
 

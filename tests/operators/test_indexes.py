@@ -124,3 +124,18 @@ def test_pivots_leave_out_no_pair(spark, monkeypatch, threshold):
     every = 2 * 150 * 149 // 2
     assert len(got) <= compared <= every
     assert threshold < 0.9 or compared < 0.5 * every
+
+
+def test_scratch_is_forgotten_and_indexes_are_built_again(spark, monkeypatch):
+    from pathlib import Path
+
+    from lorespark import session
+
+    monkeypatch.setattr(session, "_SCRATCH", set())
+    items = lambda: spark.createDataFrame(ROWS, ITEMS)
+    first = postings.shared_index(spark, "own", items, ["title"], [])
+    assert postings.shared_index(spark, "own", items, ["title"], []) is first and Path(first.path.removeprefix("file:")).exists()
+    assert session.forget_scratch(spark) == 1 and not Path(first.path.removeprefix("file:")).exists()
+    again = postings.shared_index(spark, "own", items, ["title"], [])
+    assert again is not first and again.keyword_search("hill", 5, {"title": 3.0}).count() == 1
+    session.forget_scratch(spark)
