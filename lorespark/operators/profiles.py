@@ -74,3 +74,26 @@ def ambient_priorities(commitments: DataFrame, projects: DataFrame, actions: Dat
     every = first.unionByName(second).unionByName(third).withColumn("weight", recency(F.col("on"), as_of))
     rank = F.create_map(*(F.lit(x) for kv in URGENCY_ORDER.items() for x in kv))[F.col("urgency")]
     return every.orderBy(rank, "tier", F.desc("weight"), "id").drop("on")
+
+
+def briefing_rows(items: DataFrame, contacts: DataFrame, commitments: DataFrame, as_of: str, days: int = 2, quiet: int = 7, cold: int = 14, least: int = 3) -> DataFrame:
+    """(section, key, title, days) of what a briefing is made from: recent items; open
+    commitments by state, those past due as overdue too; items that wait for the user for
+    over ``quiet`` days (the longest of a title); people mentioned ``least`` times or more
+    and not for over ``cold`` days; the calendar of this day and the next.
+
+    ``items``: id, title, source, source_date, waiting, days_since_last; ``contacts``: id,
+    contact; ``commitments``: id, text, state, due_date."""
+    now, midnight = at(as_of), F.date_trunc("DAY", at(as_of)).cast("timestamp_ntz")
+    age = lambda c: F.floor(days_between(now, F.col(c)))
+    part = lambda rows, section, key, title, n: rows.select(F.lit(section).alias("section"), key.cast("string").alias("key"), title.alias("title"), n.cast("long").alias("days"))
+    recent = part(items.filter(F.col("source_date") >= ago(as_of, days)), "recent", F.col("id"), F.col("title"), age("source_date"))
+    open_ = commitments.filter(F.col("state").isin("active", "detected"))
+    owed = part(open_, "commitment", F.col("id"), F.col("text"), age("due_date"))
+    late = part(open_.filter(F.col("due_date") < now), "overdue", F.col("id"), F.col("text"), age("due_date"))
+    waiting = items.filter(F.col("waiting") & (F.col("days_since_last") > quiet)).groupBy("title").agg(F.max(F.struct("days_since_last", "id")).alias("m"))
+    dropped = part(waiting, "dropped", F.col("m.id"), F.col("title"), F.col("m.days_since_last"))
+    seen = contacts.join(items.select("id", "source_date"), "id").groupBy("contact").agg(F.count("*").alias("n"), F.max("source_date").alias("last")).filter(F.col("n") >= least)
+    silent = part(seen.filter(age("last") > cold), "cold", F.col("contact"), F.concat(F.col("n").cast("string"), F.lit(" mentions")), age("last"))
+    soon = items.filter((F.col("source") == "calendar") & (F.col("source_date") >= midnight) & (F.col("source_date") < midnight + F.expr("INTERVAL '2' DAY")))
+    return recent.unionByName(owed).unionByName(late).unionByName(dropped).unionByName(silent).unionByName(part(soon, "calendar", F.col("id"), F.col("title"), F.lit(0)))

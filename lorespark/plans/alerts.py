@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.time import since
 from ..operators import alerts
 from ..sources.fixtures import NOW, ORDERS_NOW, Tables
-from .catalog import query
+from . import activity  # noqa: F401  registers what the union reads
+from .catalog import CATALOG, query
 
 _O, _T = f"TIMESTAMP '{ORDERS_NOW}'", f"TIMESTAMP '{NOW}'"
 _LATE = f"(epoch_us({_O}) - epoch_us(due_date)) / 86400000000.0"
@@ -77,6 +78,23 @@ def alerts_union(t: Tables) -> DataFrame:
     return alerts.union_alerts(commitment=alerts.commitment_alerts(t.commitments().filter(since("due_date", ORDERS_NOW, 29.999999)), ORDERS_NOW)).limit(50)
 
 
+@query(
+    "T12 W14",
+    f"""
+WITH c AS ({CATALOG["commitment_alerts"].sql}), d AS ({CATALOG["dropped_balls"].sql}), p AS ({CATALOG["predictor_anomalies"].sql}),
+every AS (SELECT 'commitment' AS family, id::VARCHAR AS id, severity, .8::DOUBLE AS confidence FROM c WHERE days < 30
+  UNION ALL SELECT 'dropped', id::VARCHAR, severity, confidence FROM d UNION ALL SELECT 'rhythm', entity_id::VARCHAR, severity, .8 FROM p WHERE anomaly IS NOT NULL)
+SELECT * FROM every ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, confidence DESC, family, id LIMIT 200""",
+)
+def alerts_of_all_kinds(t: Tables) -> DataFrame:
+    """Commitments, dropped balls and changes of rhythm in one order."""
+    from ..operators.activity import communication_baseline
+
+    rhythm = communication_baseline(t.mentions(), NOW).filter("anomaly IS NOT NULL").select(F.col("entity_id").alias("id"), "severity")
+    owed = alerts.commitment_alerts(t.commitments(), ORDERS_NOW).filter("days < 30")
+    return alerts.union_alerts(commitment=owed, dropped=dropped_balls(t), rhythm=rhythm).limit(200)
+
+
 @query("T37 P10", f"SELECT id, owner, state FROM commitments WHERE state IN ('active', 'overdue') AND due_date BETWEEN {_O} - INTERVAL 48 HOUR AND {_O} + INTERVAL 24 HOUR")
 def urgent_commitments(t: Tables) -> DataFrame:
     return alerts.urgent(t.commitments(), ORDERS_NOW).select("id", "owner", "state")

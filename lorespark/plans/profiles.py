@@ -65,3 +65,26 @@ def ambient_priorities(t: Tables) -> DataFrame:
     heard = orders.filter(F.col("o_orderdate") <= now).select(F.col("o_custkey").alias("target"), F.col("o_orderdate").alias("source_date"))
     due = t.commitments().filter(F.col("due_date") >= ago(ORDERS_NOW, 2))
     return profiles.ambient_priorities(due, plans, actions, gone, heard, ORDERS_NOW).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "C4 T29 T30",
+    f"""
+WITH i AS (SELECT id, 'about ' || project || ' ' || k AS title, CASE WHEN k % 9 = 4 THEN 'calendar' ELSE source END AS source, source_date + CASE WHEN k % 9 = 4 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS source_date, k % 4 = 1 AS waiting, id % 23 AS days_since_last, entity_id FROM knowledge),
+c AS (SELECT id, owner AS text, state, due_date FROM commitments WHERE due_date >= {_O} - INTERVAL 3 DAY),
+seen AS (SELECT 'user_' || entity_id || '/' || (id % 40) AS contact, count(*) AS n, max(source_date) AS last FROM i GROUP BY 1 HAVING count(*) >= 3)
+SELECT 'recent' AS section, id::VARCHAR AS key, title, floor((epoch_us({_T}) - epoch_us(source_date)) / 86400000000.0)::BIGINT AS days FROM i WHERE source_date >= {_T} - INTERVAL 2 DAY
+UNION ALL SELECT 'commitment', id::VARCHAR, text, floor((epoch_us({_T}) - epoch_us(due_date)) / 86400000000.0)::BIGINT FROM c WHERE state IN ('active', 'detected')
+UNION ALL SELECT 'overdue', id::VARCHAR, text, floor((epoch_us({_T}) - epoch_us(due_date)) / 86400000000.0)::BIGINT FROM c WHERE state IN ('active', 'detected') AND due_date < {_T}
+UNION ALL SELECT 'dropped', arg_max(id, days_since_last * 10000000 + id)::VARCHAR, title, max(days_since_last) FROM i WHERE waiting AND days_since_last > 7 GROUP BY title
+UNION ALL SELECT 'cold', contact, n || ' mentions', floor((epoch_us({_T}) - epoch_us(last)) / 86400000000.0)::BIGINT FROM seen WHERE floor((epoch_us({_T}) - epoch_us(last)) / 86400000000.0) > 14
+UNION ALL SELECT 'calendar', id::VARCHAR, title, 0 FROM i WHERE source = 'calendar' AND source_date >= {_T} AND source_date < {_T} + INTERVAL 2 DAY""",
+)
+def briefing_rows(t: Tables) -> DataFrame:
+    k = t.knowledge()
+    event = F.col("k") % 9 == 4
+    moved = F.col("source_date") + F.when(event, F.make_dt_interval(F.lit(10))).otherwise(F.make_dt_interval(F.lit(0)))
+    items = k.select("id", F.concat(F.lit("about "), "project", F.lit(" "), F.col("k").cast("string")).alias("title"), F.when(event, "calendar").otherwise(F.col("source")).alias("source"), moved.alias("source_date"), (F.col("k") % 4 == 1).alias("waiting"), (F.col("id") % 23).alias("days_since_last"))
+    contacts = k.select("id", F.concat(F.lit("user_"), F.col("entity_id").cast("string"), F.lit("/"), (F.col("id") % 40).cast("string")).alias("contact"))
+    owed = t.commitments().filter(F.col("due_date") >= ago(ORDERS_NOW, 3)).select("id", F.col("owner").alias("text"), "state", "due_date")
+    return profiles.briefing_rows(items, contacts, owed, NOW)
