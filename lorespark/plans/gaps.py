@@ -34,8 +34,9 @@ staged AS (SELECT DISTINCT 'q' || k AS project FROM knowledge WHERE source = 'cl
 active AS (SELECT 'q' || k AS project, max(source_date) AS last FROM knowledge WHERE source = 'error' AND k % 2 = 0 GROUP BY 1),
 project AS (SELECT 'project' AS kind, project AS subject, CASE status WHEN 'stalled' THEN 'critical' ELSE 'high' END AS severity, coalesce(round((epoch_us({_T}) - epoch_us(last)) / 86400000000.0)::INTEGER, 999) AS days, status || ' without an action' AS detail
   FROM profiles LEFT JOIN active USING (project) WHERE status IN ('stalled', 'stalling') AND project NOT IN (SELECT project FROM staged))"""
-_PREDICTION = f"""prediction AS (SELECT 'prediction' AS kind, owner AS subject, CASE WHEN {_days(_O, "due_date")} > 7 THEN 'high' ELSE 'medium' END AS severity, {_days(_O, "due_date")} AS days, substring('order ' || id || ' will ship', 1, 80) AS detail
-  FROM commitments WHERE state = 'active' AND due_date < {_O} AND due_date >= {_O} - INTERVAL 20 DAY)"""
+_PREDICTED = f"""prediction AS (SELECT 'prediction' AS kind, owner AS subject, CASE WHEN {_days(_O, "due_date")} > 7 THEN 'high' ELSE 'medium' END AS severity, {_days(_O, "due_date")} AS days, substring('order ' || id || ' will ship', 1, 80) AS detail
+  FROM commitments WHERE state = 'active' AND due_date < {_O})"""
+_PREDICTION = _PREDICTED[:-1] + f" AND due_date >= {_O} - INTERVAL 20 DAY)"  # in the summaries of all kinds
 _EVERY = f"{_COMMUNICATION},\n{_COMMITMENT},\n{_THREAD},\n{_PROJECT},\n{_PREDICTION},\nevery AS (SELECT * FROM communication UNION ALL SELECT * FROM commitment UNION ALL SELECT * FROM thread UNION ALL SELECT * FROM project UNION ALL SELECT * FROM prediction)"
 
 
@@ -67,8 +68,7 @@ def _project(t: Tables) -> DataFrame:
     return gaps.project(profiles, staged, items.filter("source = 'error' AND k % 2 = 0"), NOW)
 
 
-def _prediction(t: Tables) -> DataFrame:
-    own = t.commitments().filter(F.col("due_date") >= ago(ORDERS_NOW, 20))
+def _prediction(own: DataFrame) -> DataFrame:
     outcome = F.when(F.col("state") == "active", "pending").otherwise("correct")
     return gaps.prediction(own.select(F.col("owner").alias("subject"), F.concat(F.lit("order "), F.col("id").cast("string"), F.lit(" will ship")).alias("prediction"), F.col("due_date").alias("check_by"), outcome.alias("outcome")), ORDERS_NOW)
 
@@ -94,13 +94,15 @@ def project_gaps(t: Tables) -> DataFrame:
     return _project(t)
 
 
-@query("T20 T31", f"WITH {_PREDICTION} SELECT * FROM prediction")
+@query("T20 T31", f"WITH {_PREDICTED} SELECT * FROM prediction")
 def prediction_gaps(t: Tables) -> DataFrame:
-    return _prediction(t)
+    """Every prediction that is past its check, however long ago."""
+    return _prediction(t.commitments())
 
 
 def _every(t: Tables) -> DataFrame:
-    return gaps.in_order(_communication(t), _commitment(t), _thread(t), _project(t), _prediction(t))
+    lately = t.commitments().filter(F.col("due_date") >= ago(ORDERS_NOW, 20))
+    return gaps.in_order(_communication(t), _commitment(t), _thread(t), _project(t), _prediction(lately))
 
 
 @query("T21 W14", f"WITH {_EVERY} SELECT * FROM every ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, days DESC, kind, subject, detail LIMIT 60")

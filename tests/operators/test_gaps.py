@@ -72,3 +72,12 @@ def test_claims_by_hand(spark):
     assert got[1] == ["John Smith met them in the hall", ("it was signed by both, " + "x" * 400)[:300], "12 of them came to the house", "12"] and not got[2] and got[3] == []
     drawn = quality.sampled_claims(df, 2, 5)
     assert drawn.count() == 2 and drawn.collect() == quality.sampled_claims(df, 2, 5).collect()
+
+
+def test_prediction_gaps_takes_all_that_is_past_its_check(spark):
+    from lorespark.plans import CATALOG
+    from lorespark.sources.fixtures import ORDERS_NOW, Tables
+
+    found = CATALOG["prediction_gaps"].plan(spark, "/root/testdata/sf0.001")
+    late = Tables(spark, "/root/testdata/sf0.001").commitments().filter(f"state = 'active' AND due_date < timestamp_ntz'{ORDERS_NOW}'")
+    assert found.count() == late.count() and found.agg({"days": "max"}).first()[0] > 20
