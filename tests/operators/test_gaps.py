@@ -81,3 +81,13 @@ def test_prediction_gaps_takes_all_that_is_past_its_check(spark):
     found = CATALOG["prediction_gaps"].plan(spark, "/root/testdata/sf0.001")
     late = Tables(spark, "/root/testdata/sf0.001").commitments().filter(f"state = 'active' AND due_date < timestamp_ntz'{ORDERS_NOW}'")
     assert found.count() == late.count() and found.agg({"days": "max"}).first()[0] > 20
+
+
+def test_quarantine_takes_all_signups(spark):
+    from lorespark.plans import CATALOG
+    from lorespark.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.01"
+    n = {r.entity_id: r.n for r in Tables(spark, sf).mentions().filter("role = 'signup'").groupBy("entity_id").agg({"*": "count"}).toDF("entity_id", "n").collect()}
+    found = CATALOG["quarantine"].plan(spark, sf).collect()
+    assert found and all(r.mentions == n[r.entity_id] for r in found)
