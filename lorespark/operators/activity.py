@@ -165,13 +165,16 @@ def pileups(dates: DataFrame, least_day: int = 3, join_days: int = 3, least_wind
 def date_overlaps(commitments: DataFrame, days: int = 7) -> DataFrame:
     """Pairs of projects with due dates at most ``days`` apart, nearest pair each.
 
-    The range join is an equi-join on date buckets: each row of one side goes to
-    its own bucket and both neighbours."""
-    c = commitments.filter("due_date is not null").select("id", "project", F.to_date("due_date").alias("day")).withColumn("bucket", F.floor(F.unix_date("day") / days))
-    other = c.select(F.col("id").alias("id2"), F.col("project").alias("project2"), F.col("day").alias("day2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    A project's commitments of one day are one row with their number and least id: all
+    pairs of two days have one gap, and the first of them is that of the least ids.  The
+    range join is an equi-join on date buckets: each row of one side goes to its own
+    bucket and both neighbours."""
+    c = commitments.filter("due_date is not null AND project is not null").groupBy("project", F.to_date("due_date").alias("day")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    c = c.withColumn("bucket", F.floor(F.unix_date("day") / days))
+    other = c.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("project").alias("project2"), F.col("day").alias("day2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     gap = F.abs(F.datediff("day", "day2"))
     pairs = c.join(other, "bucket").filter((F.col("project") < F.col("project2")) & (gap <= days))
-    best = pairs.groupBy("project", "project2").agg(F.count("*").alias("pairs"), F.min(F.struct(gap.alias("gap"), "id", "id2")).alias("b"))
+    best = pairs.groupBy("project", "project2").agg(F.sum(F.col("n") * F.col("n2")).alias("pairs"), F.min(F.struct(gap.alias("gap"), "id", "id2")).alias("b"))
     return best.select("project", "project2", "pairs", "b.gap", "b.id", "b.id2")
 
 
