@@ -237,22 +237,32 @@ def mail_duplicates(entities: DataFrame) -> DataFrame:
 def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """The entity of each name (``name, normal, email``) by the first tier that
     matches: exact name, address, normal name, alias, prefix (not dismissed)."""
-    e = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("e_name"), F.col("normal").alias("e_normal"), F.col("email").alias("e_email"), "dismissed")
-    tier = lambda found, k: found.select("name", "entity_id", F.lit(k).alias("tier"))
-    latest = entities.columns.count("last_seen") and entities.select(F.col("id").alias("entity_id"), "last_seen")
+    seen = ["last_seen"] if "last_seen" in entities.columns else []
+    e = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("e_name"), F.col("normal").alias("e_normal"), F.col("email").alias("e_email"), "dismissed", *seen)
+    tier = lambda found, k: found.groupBy("name").agg(F.min("entity_id").alias("entity_id")).withColumn("tier", F.lit(k))
     every = (
         tier(names.join(e, F.col("name") == F.col("e_name")), 1)
         .unionByName(tier(names.join(e, F.lower("email") == F.lower("e_email")), 2))
         .unionByName(tier(names.join(e, F.col("normal") == F.col("e_normal")), 3))
         .unionByName(tier(names.join(aliases.select("entity_id", "alias"), F.col("normal") == F.col("alias")), 4))
-        .unionByName(tier(names.filter(~F.col("name").contains("@")).join(e.filter(~F.col("dismissed")), (F.substring("normal", 1, 3) == F.substring("e_normal", 1, 3)) & F.col("e_normal").startswith(F.col("normal")) & ~F.col("e_name").contains("@")), 5))
+        .unionByName(_by_prefix(names, e).withColumn("tier", F.lit(5)))
     )
-    order = [F.col("tier")]
-    if latest:  # of several that a prefix fits, the one seen last
-        every = every.join(latest, "entity_id")
-        order.append(F.when(F.col("tier") == 5, F.col("last_seen")).desc_nulls_last())
-    place = F.row_number().over(Window.partitionBy("name").orderBy(*order, "entity_id"))
-    return every.withColumn("place", place).filter("place = 1").select("name", "entity_id", "tier")
+    return every.groupBy("name").agg(F.min(F.struct("tier", "entity_id")).alias("m")).select("name", "m.entity_id", "m.tier")
+
+
+def _by_prefix(names: DataFrame, e: DataFrame) -> DataFrame:
+    """(name, entity_id): the entity whose normal name begins with a name's, the one seen
+    last of several (the smallest id where none is known).  Each entity's beginnings of the
+    lengths that names have are dealt out, and one entity kept for each beginning."""
+    asked = names.filter(~F.col("name").contains("@"))
+    lengths = asked.select(F.length("normal").alias("length")).distinct()
+    held = e.filter(~F.col("dismissed") & ~F.col("e_name").contains("@")).crossJoin(F.broadcast(lengths)).filter(F.length("e_normal") >= F.col("length"))  # a row for each length of a name
+    begun = held.withColumn("beginning", F.expr("left(e_normal, length)"))
+    seen = ["last_seen"] if "last_seen" in e.columns else []
+    first = begun.groupBy("beginning", *seen).agg(F.min("entity_id").alias("entity_id"))
+    if seen:  # the latest, nulls last, then the smallest id
+        first = first.groupBy("beginning").agg(F.max(F.struct("last_seen", "entity_id")).alias("m")).select("beginning", "m.entity_id")
+    return asked.join(first, F.col("normal") == F.col("beginning")).select("name", "entity_id")
 
 
 def contact_graph(members: DataFrame, contact, items: DataFrame, relations: DataFrame) -> DataFrame:
