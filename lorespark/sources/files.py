@@ -186,6 +186,62 @@ def table_after(spark: SparkSession, url: str, table: str, column: str, mark: in
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().filter(F.col(column) > mark)
 
 
+def write_databases(rows: DataFrame, path: str, table: str, most: int = 2_000) -> None:
+    """Rows (of numbers and texts) as SQLite databases with a table of at most ``most`` rows
+    each, every database a binary value of a Parquet row: any executor can read it."""
+    import sqlite3
+
+    import pyarrow as pa
+
+    names = rows.columns
+    marks, columns = ", ".join("?" * len(names)), ", ".join(f'"{c}"' for c in names)
+
+    def whole(values: list[tuple]) -> pa.RecordBatch:
+        con = sqlite3.connect(":memory:")
+        con.execute(f'CREATE TABLE "{table}" ({columns})')
+        con.executemany(f'INSERT INTO "{table}" VALUES ({marks})', values)
+        con.commit()
+        blob = con.serialize()
+        con.close()
+        return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["database"])
+
+    def work(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            while len(held) >= most:
+                yield whole(held[:most])
+                del held[:most]
+        if held:
+            yield whole(held)
+
+    rows.mapInArrow(work, "database binary").write.parquet(path)
+
+
+def databases_after(spark: SparkSession, path: str, table: str, column: str, mark: int, schema: str) -> DataFrame:
+    """Rows of SQLite databases (``write_databases``) after a mark; the predicate goes to the
+    databases, each read by the task that has it."""
+    import sqlite3
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    found = spark.read.schema("database binary").parquet(path)
+    kind = to_arrow_schema(found.sparkSession.createDataFrame([], schema).schema)
+    columns = ", ".join(f'"{c}"' for c in kind.names)
+
+    def work(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                con = sqlite3.connect(":memory:")
+                con.deserialize(blob.as_py())
+                rows = con.execute(f'SELECT {columns} FROM "{table}" WHERE "{column}" > ?', (mark,)).fetchall()
+                con.close()
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
+
+    return found.mapInArrow(work, schema)
+
+
 def names_only(rows: DataFrame, column: str) -> DataFrame:
     """An array of structs with a name, as the array of the names."""
     return rows.withColumn(column, F.transform(column, lambda x: x["name"]))

@@ -55,3 +55,26 @@ def test_resolution_by_prefix_and_by_a_foreign_alias(spark, seen):
     names = spark.createDataFrame([("Ann", None), ("Ann Lee", None), ("NICK", None), ("Ann Lex!", None)], "name string, email string").withColumn("normal", F.lower("name"))
     got = {r.name: (r.entity_id, r.tier) for r in graph.resolve(names, e, a).collect()}
     assert got == {"Ann": (2 if seen else 1, 5), "Ann Lee": (1, 1), "NICK": (77, 4)}
+
+
+@pytest.mark.parametrize("wide", [2, 32])
+def test_sharing_by_pairs_and_by_single_entities(spark, monkeypatch, wide):
+    monkeypatch.setattr(graph, "WIDE", wide)
+    has = {1: {1, 2, 3, 4}, 2: {2, 3, 4, 9}, 3: {1, 9}, 4: {1, 9, 7}, 5: {5}, 6: {1, 2, 3, 4, 9}, 7: {7, 8}}
+    rows = spark.createDataFrame([(i, e) for i, es in has.items() for e in es], "item_id long, entity_id long")
+    want = {(a, len(has[a]), b, len(has[b]), len(has[a] & has[b])) for a in has for b in has if a < b and len(has[a] & has[b]) >= 2}
+    got = [tuple(r) for r in graph._sharing(rows.unionByName(rows.limit(3)), 2).select("id", "size", "id_b", "size_b", "shared").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_databases_are_read_by_tasks(spark):
+    from lorespark.session import scratch
+    from lorespark.sources import files
+
+    rows = spark.range(5_001).select(F.col("id").alias("rowid"), F.when(F.col("id") % 2 == 0, "é'\n").alias("text"))
+    path = scratch(spark, "databases")
+    files.write_databases(rows.coalesce(1), path, "messages")
+    assert spark.read.parquet(path).count() == 3
+    got = files.databases_after(spark, path, "messages", "rowid", 4_997, "rowid long, text string")
+    assert sorted(map(tuple, got.collect())) == [(4_998, "é'\n"), (4_999, None), (5_000, "é'\n")]
+    assert files.databases_after(spark, path, "messages", "rowid", 9_999, "rowid long, text string").count() == 0
