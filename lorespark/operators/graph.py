@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
 from ..session import scratch
-from .sets import overlapping
 
 
 def pairs(members: DataFrame, item: str = "item_id", entity: str = "entity_id") -> DataFrame:
@@ -43,15 +42,36 @@ def shared_contacts(members: DataFrame, least: int = 2, common: float = 0.3) ->
     wide = own.groupBy("entity_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter(F.col("n") > common * F.col("items")).select("entity_id")
     kept = own.join(wide, "entity_id", "left_anti")
     met = _sharing(kept, least)
-    return met.select(F.col("id").alias("item_a"), F.col("id_b").alias("item_b"), "shared", F.round(F.col("shared") / F.greatest(F.size("items"), F.size("items_b")), 2).alias("confidence"))
+    return met.select(F.col("id").alias("item_a"), F.col("id_b").alias("item_b"), "shared", F.round(F.col("shared") / F.greatest("size", "size_b"), 2).alias("confidence"))
+
+
+#: Entities of an item up to which its items are found by pairs of entities.
+WIDE = 32
 
 
 def _sharing(members: DataFrame, least: int) -> DataFrame:
-    """(id, items, id_b, items_b, shared) of items with ``least`` or more common entities:
-    they meet by an entity that isn't among the ``least`` - 1 most frequent of either."""
-    sets = members.groupBy(F.col("item_id").alias("id")).agg(F.collect_set("entity_id").alias("items")).withColumn("key", F.lit(0))
-    met = overlapping(sets.filter(F.size("items") >= least), lambda n: n - (least - 1))
-    return met.withColumn("shared", F.size(F.array_intersect("items", "items_b")).cast("long")).filter(F.col("shared") >= least)
+    """(id, size, id_b, size_b, shared) of items, id < id_b, with ``least`` (two or more)
+    common entities.
+
+    Each pair of an item's entities is a key, and items of one key meet: those that share
+    n entities do so n * (n - 1) / 2 times, which tells n, so nothing but ids is moved.  An
+    item of more than ``WIDE`` entities has too many pairs and meets all others by its
+    single entities."""
+    own = members.select("item_id", "entity_id").distinct()
+    sets = own.groupBy(F.col("item_id").alias("id")).agg(F.sort_array(F.collect_list("entity_id")).alias("items")).filter(F.size("items") >= least)
+    small = sets.filter(F.size("items") <= WIDE).select("id", F.size("items").cast("long").alias("size"), "items")
+    one = small.select("id", "size", "items", F.posexplode("items").alias("i", "p"))
+    keys = one.select("id", "size", "p", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("q"))
+    other = keys.select("p", "q", F.col("id").alias("id_b"), F.col("size").alias("size_b"))
+    met = keys.hint("merge").join(other, ["p", "q"]).filter("id < id_b").groupBy("id", "size", "id_b", "size_b").agg(F.count("*").alias("pairs"))
+    found = met.withColumn("shared", F.round((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("long")).drop("pairs")
+    placed = sets.select("id", F.size("items").cast("long").alias("size"), F.explode("items").alias("entity"))
+    wide = placed.filter(F.col("size") > WIDE).select(F.col("id").alias("w"), F.col("size").alias("w_size"), "entity")
+    across = placed.join(wide, "entity").filter((F.col("id") < F.col("w")) | ((F.col("id") > F.col("w")) & (F.col("size") <= WIDE)))
+    swap = F.col("id") > F.col("w")
+    sides = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("id", "w", "id"), ("size", "w_size", "size"), ("id_b", "id", "w"), ("size_b", "size", "w_size"))]
+    far = across.select(*sides).groupBy("id", "size", "id_b", "size_b").agg(F.count("*").alias("shared"))
+    return found.unionByName(far).filter(F.col("shared") >= least)
 
 
 def follow_ups(items: DataFrame, thread: str, order: str, item: str = "id") -> DataFrame:
@@ -187,6 +207,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def threads(candidates: DataFrame) -> DataFrame:
     """Clusters of accepted pairs: three items, or two that share three entities."""
+    path = scratch(candidates.sparkSession, "candidates")  # read twice
+    candidates.write.parquet(path)
+    candidates = candidates.sparkSession.read.schema(candidates.schema).parquet(path)
     part = components(candidates)
     size = part.groupBy("component").agg(F.count("*").alias("items"))
     strong = candidates.filter("shared >= 3").join(part, F.col("a") == F.col("node")).select("component").distinct().withColumn("strong", F.lit(True))
