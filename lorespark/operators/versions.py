@@ -21,9 +21,14 @@ def opened(edges: DataFrame, when: str) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind, F.col("n").cast("long").alias("n"), "confidence", at(when).alias("valid_at"), F.lit(None).cast("timestamp_ntz").alias("invalid_at"))
 
 
+def holds(when: str) -> Column:
+    """Whether a version holds at a time, the moment of closing excluded."""
+    return (F.col("valid_at") <= at(when)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at(when)))
+
+
 def as_of(edges: DataFrame, when: str) -> DataFrame:
-    """The versions that hold at a time, the moment of closing excluded."""
-    return edges.filter((F.col("valid_at") <= at(when)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at(when))))
+    """The versions that hold at a time."""
+    return edges.filter(holds(when))
 
 
 def _touched(edges: DataFrame, nodes: DataFrame) -> DataFrame:

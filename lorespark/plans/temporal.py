@@ -24,7 +24,9 @@ def _mapping(t: Tables) -> DataFrame:
 
 
 def _history(t: Tables) -> DataFrame:
-    start = versions.opened(graph.cooccurrence_edges(t.members()), BUILT)
+    path = scratch(t.spark, "edges")  # written once: what follows reads them several times
+    graph.cooccurrence_edges(t.members()).write.parquet(path)
+    start = versions.opened(t.spark.read.schema("a long, b long, n long, confidence double").parquet(path), BUILT)
     gone = t.read("supplier").filter("s_suppkey % 11 = 4").select(F.col("s_suppkey").alias("node"))
     return versions.merge(versions.dismiss(start, gone, DISMISSED), _mapping(t), MERGED)
 
@@ -45,11 +47,9 @@ merged AS (SELECT coalesce(c.a, s.a) AS a, coalesce(c.b, s.b) AS b, (coalesce(n,
 )
 def edges_over_time(t: Tables) -> DataFrame:
     """The edges as of three times: built, after a dismissal, after a merge."""
-    rows, out = _history(t), None
-    for name, when in (("built", "2024-01-05 00:00:00"), ("dismissed", "2024-01-15 00:00:00"), ("merged", NOW)):
-        own = versions.as_of(rows, when).select(F.lit(name).alias("read_at"), "a", "b", "n", "confidence")
-        out = own if out is None else out.unionByName(own)
-    return out
+    times = (("built", "2024-01-05 00:00:00"), ("dismissed", "2024-01-15 00:00:00"), ("merged", NOW))
+    held = F.array(*(F.when(versions.holds(when), F.lit(name)) for name, when in times))
+    return _history(t).select(F.explode(F.array_compact(held)).alias("read_at"), "a", "b", "n", "confidence")
 
 
 @query(
@@ -142,7 +142,9 @@ def thread_clusters(t: Tables) -> DataFrame:
 @query("Z4 G26", _CLUSTERS + "SELECT node, component FROM t")
 def growing_components(t: Tables) -> DataFrame:
     """The clusters' components, with the pairs taken up in two batches."""
-    pairs = _candidates(t)[0].select("a", "b")
+    path = scratch(t.spark, "pairs")  # each batch reads its pairs several times
+    _candidates(t)[0].select("a", "b").write.parquet(path)
+    pairs = t.spark.read.schema("a long, b long").parquet(path)
     state = versions.GrowingComponents(t.spark, scratch(t.spark, "components"))
     for k in range(2):
         state.add(pairs.filter((F.col("a") + F.col("b")) % 2 == k))
