@@ -34,6 +34,87 @@ def top_neighbours(edges: DataFrame, k: int = 10) -> DataFrame:
     return symmetric(edges).withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("a").alias("entity_id"), F.col("b").alias("neighbour"), "n", "rank")
 
 
+#: Entities of a block of those who meet, and of those whom they meet.
+MEETING, MET = 5_000, 50_000
+
+
+def most_met(members: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(entity_id, other, n): for each entity the ``k`` of ``others`` (``entity_id``) that it
+    meets in the most items, ties by the smaller id.  Ids are whole numbers.
+
+    Edges may be as many as pairs of entities, so none is kept: a block of entities meets a
+    block of others at a time, and each entity's best of the block come out.  A block is
+    moved packed: its items, how many it has of each, and which."""
+    own = members.select("item_id", "entity_id").distinct()
+    known = own.join(others.select("entity_id").distinct(), "entity_id", "left_semi")
+    met, meeting = _packed(known, MET), _packed(own, MEETING)
+    sides = meeting.select("block", F.col("packed").alias("left")).crossJoin(met.select(F.col("block").alias("with_block"), F.col("packed").alias("right")).hint("shuffle_replicate_nl"))
+    best = sides.repartition(F.col("block"), F.col("with_block")).mapInArrow(_best_of_blocks(k), "entity_id long, other long, n long")
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("n"), "other"))
+    return best.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
+def _packed(members: DataFrame, size: int) -> DataFrame:
+    """(block, packed): entities in blocks of about ``size``, with their items."""
+    n = members.agg(F.countDistinct("entity_id")).first()[0]
+    blocks = -(-n // size) or 1
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item_id", "entity_id"])
+        ids, which = np.unique(rows.entity_id.to_numpy(), return_inverse=True)
+        items, counts = np.unique(rows.item_id.to_numpy(), return_counts=True)
+        parts = [ids.astype("<i8"), items.astype("<i8"), counts.astype("<i4"), which.astype("<i4")]
+        return pd.DataFrame({"block": rows.block.iloc[:1], "packed": [b"".join([np.array([len(ids), len(items)], "<i8").tobytes(), *(x.tobytes() for x in parts)])]})
+
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(pack, "block int, packed binary")
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, items, where each item's entities begin, entities by their place among the ids)."""
+    n, m = np.frombuffer(blob, "<i8", 2)
+    ids, items = np.frombuffer(blob, "<i8", n, 16), np.frombuffer(blob, "<i8", m, 16 + 8 * n)
+    counts = np.frombuffer(blob, "<i4", m, 16 + 8 * (n + m))
+    return ids, items, np.concatenate([[0], np.cumsum(counts)]), np.frombuffer(blob, "<i4", -1, 16 + 8 * (n + m) + 4 * m)
+
+
+def _best_of_blocks(k: int):
+    import pyarrow as pa
+
+    def best(left: bytes, right: bytes):
+        ids, items, begin, which = _unpacked(left)
+        others, theirs, their_begin, whom = _unpacked(right)
+        of = np.repeat(np.arange(len(items)), np.diff(begin))
+        order = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[order], np.arange(len(ids) + 1))
+        at = np.searchsorted(theirs, items)
+        held = at < len(theirs)
+        held[held] = theirs[at[held]] == items[held]
+        self_at = np.searchsorted(others, ids)
+        for e in range(len(ids)):
+            found = [whom[their_begin[at[i]] : their_begin[at[i] + 1]] for i in of[order[ends[e] : ends[e + 1]]] if held[i]]
+            if not found:
+                continue
+            n = np.bincount(np.concatenate(found), minlength=len(others))
+            if self_at[e] < len(others) and others[self_at[e]] == ids[e]:
+                n[self_at[e]] = 0
+            many = np.bincount(n)
+            least = max(1, int(np.searchsorted(-np.cumsum(many[::-1])[::-1], -k, side="right")) - 1)
+            top = np.flatnonzero(n > least)
+            top = np.concatenate([top, np.flatnonzero(n == least)[: max(0, k - len(top))]])
+            yield ids[e], others[top], n[top]
+
+    def work(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                rows = list(best(left.as_py(), right.as_py()))
+                if rows:
+                    e = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype("i8")) for x in (e, np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))], ["entity_id", "other", "n"])
+
+    return work
+
+
 def shared_contacts(members: DataFrame, least: int = 2, common: float = 0.3) -> DataFrame:
     """Pairs of items with ``least`` or more shared entities, those in more than a
     share ``common`` of all items aside; confidence is the share of the larger."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import ago
-from ..operators import graph, profiles
+from ..operators import profiles
 from ..sources.fixtures import NOW, ORDERS_NOW, Tables
 from .catalog import query
 
@@ -33,11 +33,11 @@ SELECT *, CASE WHEN days_since IS NULL THEN 'unknown' WHEN days_since <= 3 THEN
 )
 def entity_profiles(t: Tables) -> DataFrame:
     events, customers = t.read("events"), t.read("customer")
-    edges = graph.cooccurrence_edges(events.select((F.col("event_id") % 2000).alias("item_id"), F.col("user_id").alias("entity_id")).distinct())
+    meetings = events.select((F.col("event_id") % 2000).alias("item_id"), F.col("user_id").alias("entity_id"))
     aliases = customers.select(F.col("c_custkey").alias("entity_id"), F.explode(F.array("c_name", "c_mktsegment")).alias("alias"))
     owner = F.concat(F.lit("USER_"), (F.col("o_custkey") % 300).cast("string"), F.lit(" of "), "o_orderpriority")
     owed = t.read("orders").filter("o_orderstatus = 'O' AND o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), owner.alias("owner"), F.lit("active").alias("state"))
-    return profiles.entity_profiles(t.entities(), t.mentions(), t.knowledge(), edges, aliases, owed, NOW)
+    return profiles.entity_profiles(t.entities(), t.mentions(), t.knowledge(), meetings, aliases, owed, NOW)
 
 
 @query(

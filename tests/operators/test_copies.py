@@ -78,3 +78,16 @@ def test_databases_are_read_by_tasks(spark):
     got = files.databases_after(spark, path, "messages", "rowid", 4_997, "rowid long, text string")
     assert sorted(map(tuple, got.collect())) == [(4_998, "é'\n"), (4_999, None), (5_000, "é'\n")]
     assert files.databases_after(spark, path, "messages", "rowid", 9_999, "rowid long, text string").count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 100])
+def test_most_met_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(graph, "MEETING", size)
+    monkeypatch.setattr(graph, "MET", size + 1)
+    has = {i: {x for x in range(1, 30) if x % (i + 1) < 2} for i in range(12)}
+    rows = spark.createDataFrame([(i, e) for i, es in has.items() for e in es] + [(99, 500)], "item_id long, entity_id long")
+    others = spark.range(1, 25).toDF("entity_id")
+    n = lambda a, b: sum(a in es and b in es for es in has.values())
+    want = {(a, b, n(a, b)) for a in range(1, 30) for b in sorted((x for x in range(1, 25) if x != a and n(a, x)), key=lambda x: (-n(a, x), x))[:5]}
+    got = [tuple(r) for r in graph.most_met(rows, others, 5).collect()]
+    assert len(got) == len(want) and set(got) == want
