@@ -17,14 +17,90 @@ def text_files(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
     """Text files below a folder, dot folders and packages aside: path, name,
     extension, modified, content, the front matter as a map."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.substring_index("path", re.sub(r"^\w+:/*", "/", path).rstrip("/"), -1)  # what the folder itself is called doesn't matter
+    return _texts(files.select("path", F.col("modificationTime").alias("modified"), "content"), below, least)
+
+
+def archived_text_files(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
+    """``text_files`` of a folder that ``write_archives`` has packed."""
+    return _texts(archived_files(spark, path), F.col("path"), least)
+
+
+def _texts(files: DataFrame, below: F.Column, least: int) -> DataFrame:
+    """What is kept of files (``path, modified, content``); ``below`` is the path from the folder on."""
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    own = files.select("path", name.alias("name"), extension.alias("extension"), F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
-    below = F.substring_index("path", re.sub(r"^\w+:/*", "/", path).rstrip("/"), -1)  # what the folder itself is called doesn't matter
+    own = files.select("path", name.alias("name"), extension.alias("extension"), "modified", F.col("content").cast("string").alias("content"))
     own = own.filter(F.col("extension").isin(EXTENSIONS) & ~below.rlike(r"/\.[^/]|/node_modules/") & (F.length("content") >= least))
     return own.withColumn("meta", frontmatter(F.col("content")))
 
 
+#: Bytes of files up to which they go into one archive.
+ARCHIVE = 1 << 18
+
+
+def write_archives(files: DataFrame, path: str, most: int = ARCHIVE) -> None:
+    """Files (``path`` below the folder, ``content``) as tar archives of about ``most`` bytes,
+    each a binary value of a Parquet row: a folder of many small files takes neither a file
+    nor a commit for each.  Rows of one path that follow each other are one file's lines; a
+    file that the archive can't hold goes on in the next under the same name."""
+    import io
+    import tarfile
+    import time
+
+    import pyarrow as pa
+
+    def whole(members: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, parts in members:
+                content = b"".join(parts)
+                info = tarfile.TarInfo(name)
+                info.size, info.mtime = len(content), int(time.time())
+                tar.addfile(info, io.BytesIO(content))
+        return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["archive"])
+
+    def work(batches):
+        members: list[tuple[str, list[bytes]]] = []
+        size = 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if members and members[-1][0] == name:
+                    members[-1][1].append(content.as_py() or b"")
+                else:
+                    members.append((name, [content.as_py() or b""]))
+                    size += 1_024  # a header and what fills up the last block
+                size += len(members[-1][1][-1])
+                if size >= most:
+                    yield whole(members)
+                    members, size = [], 0
+        if members:
+            yield whole(members)
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content"))
+    rows.mapInArrow(work, "archive binary").write.option("compression", "none").option("parquet.block.size", 1 << 25).parquet(path)
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder that ``write_archives`` has packed: path (from the folder on,
+    with a slash before it), modified, content."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    kinds = {"path": pa.string(), "modified": pa.timestamp("us", "UTC"), "content": pa.binary()}
+
+    def work(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                with tarfile.open(fileobj=io.BytesIO(blob.as_py())) as tar:
+                    held = [("/" + m.name, int(m.mtime) * 1_000_000, tar.extractfile(m).read()) for m in tar if m.isfile()]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    return spark.read.schema("archive binary").parquet(path).mapInArrow(work, "path string, modified timestamp, content binary")
+
+
 def latest_outputs(files: DataFrame) -> DataFrame:
     """Of versioned outputs (name_v2.md) the highest version, then the newest; with
     a reference of 16 hex digits from the path."""
