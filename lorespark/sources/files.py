@@ -148,6 +148,18 @@ def session_logs(spark: SparkSession, path: str, tool_chars: int = 3_000, sessio
     ``session`` finds the session's name in a file's path; sessions whose names
     begin with agent- or task- are left out."""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=False).withColumn("file", F.input_file_name())
+    return _session_lines(raw, tool_chars, session)
+
+
+def archived_session_logs(spark: SparkSession, path: str, tool_chars: int = 3_000, session: str = r"([^/]+)\.jsonl$") -> DataFrame:
+    """``session_logs`` of a folder that ``write_archives`` has packed."""
+    files = archived_files(spark, path)
+    lines = files.select(F.col("path").alias("file"), F.explode(F.split(F.col("content").cast("string"), "\r\n|\r|\n")).alias("value"))
+    return _session_lines(lines, tool_chars, session)
+
+
+def _session_lines(raw: DataFrame, tool_chars: int, session: str) -> DataFrame:
+    """What is kept of lines (``file, value``)."""
     raw = raw.withColumn("session", F.regexp_extract("file", session, 1)).filter(~F.col("session").rlike("^(agent|task)-"))
     v = F.try_parse_json("value")
     parts = F.from_json(F.get_json_object("value", "$.message.content"), "array<struct<type: string, text: string, content: string>>")

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorespark import session
 from lorespark.plans import CATALOG
@@ -11,9 +12,9 @@ from lorespark.sources import files
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("query", ["file_folder"])
+@pytest.mark.parametrize("query", ["file_folder", "session_messages"])
 def test_documents_take_no_file_each(spark, query):
-    """A folder of 1,000 documents wrote a file and a commit for each."""
+    """Folders of 1,000 documents, and of 200 sessions, wrote a file and a commit for each."""
     before = set(session._SCRATCH)
     assert CATALOG[query].plan(spark, SF).count() > 100
     (path,) = set(session._SCRATCH) - before
@@ -40,3 +41,11 @@ def test_archived_texts_are_those_of_a_folder(spark, tmp_path):
     want = files.text_files(spark, f"{tmp_path}/plain").select(kept).collect()
     assert sorted(map(str, want)) == sorted(map(str, files.archived_text_files(spark, f"{tmp_path}/packed").select(kept).collect()))
     assert [r.name for r in want] == ["n.md"]
+
+
+def test_archived_logs_go_on_in_the_next_archive(spark, tmp_path):
+    line = lambda i: f'{{"timestamp":"{i}","message":{{"role":"user","content":"m{i}"}}}}\n'
+    rows = spark.range(0, 500, 1, 2).select(F.concat(F.when(F.col("id") % 250 < 240, "s1").otherwise("agent-2"), F.lit(".jsonl")).alias("path"), F.udf(line)("id").alias("content"))
+    files.write_archives(rows.unionByName(spark.createDataFrame([("s1.jsonl", "not json\n")], rows.schema)), f"{tmp_path}/packed", 3_000)
+    got = files.archived_session_logs(spark, f"{tmp_path}/packed").collect()
+    assert sorted(int(r.at) for r in got) == [i for i in range(500) if i % 250 < 240] and {r.session_id for r in got} == {"s1"}
