@@ -8,30 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..session import scratch
+from ..session import dealt, scratch
 
 
 def pairs(members: DataFrame, item: str = "item_id", entity: str = "entity_id") -> DataFrame:
-    """(item, a, b) of the entities that meet in an item, a < b.  Items are taken
-    as arrays, so a pair is made where its item is."""
-    met = members.groupBy(item).agg(F.sort_array(F.collect_set(entity)).alias("e")).filter(F.size("e") > 1)
+    """(item, a, b) of the entities that meet in an item, a < b; members may repeat.  Items
+    are taken as arrays, so a pair is made where its item is."""
+    return _pairs(members, members.count(), item, entity)
+
+
+def _pairs(members: DataFrame, count: int, item: str, entity: str) -> DataFrame:
+    met = dealt(members.select(item, entity), count, item).groupBy(item).agg(F.sort_array(F.collect_set(entity)).alias("e")).filter(F.size("e") > 1)
     first = met.select(item, "e", F.posexplode("e").alias("i", "a"))
     return first.select(item, "a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
 
 
 def cooccurrence_edges(members: DataFrame) -> DataFrame:
-    """Edges with counts and confidence: .5 and .1 for each further item, at most 1."""
-    met = pairs(members).groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Edges with counts and confidence: .5 and .1 for each further item, at most 1.
+    Members are counted, and they and their pairs (about two a member where items have some
+    five) dealt by that, so that a task's memory stays the same as the table grows."""
+    count = members.count()
+    met = dealt(_pairs(members, count, "item_id", "entity_id").select("a", "b"), 2 * count, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
     return met.withColumn("confidence", F.least(F.lit(1.0), F.round(0.5 + 0.1 * (F.col("n") - 1), 6)))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b", "n").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    """Each edge from both of its ends; the edges are read once."""
+    end = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col("n"))
+    return edges.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
 
 
-def top_neighbours(edges: DataFrame, k: int = 10) -> DataFrame:
+def top_neighbours(edges: DataFrame, k: int = 10, count: int = 0) -> DataFrame:
+    """Each entity's ``k`` most met; ``count``, where it is known, tells how many ends of edges
+    there are about, to be dealt by."""
+    ends = symmetric(edges)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    return symmetric(edges).withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("a").alias("entity_id"), F.col("b").alias("neighbour"), "n", "rank")
+    return (dealt(ends, count, "a") if count else ends).withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("a").alias("entity_id"), F.col("b").alias("neighbour"), "n", "rank")
 
 
 #: Entities of a block of those who meet, and of those whom they meet.

@@ -81,7 +81,7 @@ def entity_snippets(t: Tables) -> DataFrame:
 )
 def orientation_counts(t: Tables) -> DataFrame:
     n = lambda rows, what: rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return n(t.knowledge(), "items").unionByName(n(t.entities().filter(~F.col("dismissed")), "entities")).unionByName(n(graph.cooccurrence_edges(t.members()), "edges"))
+    return n(t.knowledge(), "items").unionByName(n(t.entities().filter(~F.col("dismissed")), "entities")).unionByName(n(graph.cooccurrence_edges(t.meetings()), "edges"))
 
 
 @query(

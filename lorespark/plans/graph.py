@@ -14,12 +14,13 @@ _ALL = "edges AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM
 
 @query("G7 G8 J8", f"WITH {_ALL} SELECT a, b, n, least(1.0::DOUBLE, round(.5 + .1 * (n - 1), 6)::DOUBLE) AS confidence FROM edges")
 def cooccurrence_edges(t: Tables) -> DataFrame:
-    return graph.cooccurrence_edges(t.members())
+    return graph.cooccurrence_edges(t.meetings())
 
 
 @query("J6 W13 G14", f"WITH {_ALL}, s AS (SELECT a, b, n FROM edges UNION ALL SELECT b, a, n FROM edges) SELECT a AS entity_id, b AS neighbour, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM s) WHERE rank <= 10")
 def neighbors_topk(t: Tables) -> DataFrame:
-    return graph.top_neighbours(graph.cooccurrence_edges(t.members()), 10).withColumn("rank", F.col("rank").cast("long"))
+    met = t.meetings()
+    return graph.top_neighbours(graph.cooccurrence_edges(met), 10, 2 * met.count()).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -112,7 +113,7 @@ def merged_members(t: Tables) -> DataFrame:
 @query("Q21", f"WITH {_ALL}, kept AS (SELECT * FROM members WHERE entity_id % 10 <> 3), p AS (SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM kept a JOIN kept b ON a.item_id = b.item_id AND a.entity_id < b.entity_id) SELECT a, b FROM (SELECT a, b FROM edges EXCEPT SELECT a, b FROM p)")
 def phantom_edges_audit(t: Tables) -> DataFrame:
     """Edges that no item supports any more, here since some entities' mentions are gone."""
-    return graph.phantom_edges(graph.cooccurrence_edges(t.members()), t.members().filter("entity_id % 10 <> 3")).select("a", "b")
+    return graph.phantom_edges(graph.cooccurrence_edges(t.meetings()), t.members().filter("entity_id % 10 <> 3")).select("a", "b")
 
 
 @query("G29")

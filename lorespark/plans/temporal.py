@@ -25,7 +25,7 @@ def _mapping(t: Tables) -> DataFrame:
 
 def _history(t: Tables) -> DataFrame:
     path = scratch(t.spark, "edges")  # written once: what follows reads them several times
-    graph.cooccurrence_edges(t.members()).write.parquet(path)
+    graph.cooccurrence_edges(t.meetings()).write.parquet(path)
     start = versions.opened(t.spark.read.schema("a long, b long, n long, confidence double").parquet(path), BUILT)
     gone = t.read("supplier").filter("s_suppkey % 11 = 4").select(F.col("s_suppkey").alias("node"))
     return versions.merge(versions.dismiss(start, gone, DISMISSED), _mapping(t), MERGED)

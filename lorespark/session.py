@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lorespark", **conf: str) -> SparkSession:
@@ -36,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of a task whose work takes many times the memory of its rows.
+DEALT = 500_000
+
+
+def dealt(rows: DataFrame, count: int, *by: str) -> DataFrame:
+    """The rows by keys in tasks of about ``DEALT`` of ``count`` rows.  A shuffle of its own
+    accord goes by compressed bytes, and what a task makes of so many grows with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // DEALT)), *by)
+
+
 _SCRATCH: set[str] = set()
 
 

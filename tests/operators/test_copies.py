@@ -91,3 +91,18 @@ def test_most_met_in_blocks(spark, monkeypatch, size):
     want = {(a, b, n(a, b)) for a in range(1, 30) for b in sorted((x for x in range(1, 25) if x != a and n(a, x)), key=lambda x: (-n(a, x), x))[:5]}
     got = [tuple(r) for r in graph.most_met(rows, others, 5).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_tasks_stay_small_as_members_grow(spark, monkeypatch):
+    """Shuffles by size packed all items, and then all pairs, into as few tasks as there are cores."""
+    from lorespark import session
+    from lorespark.operators import graph
+
+    rows = spark.range(3_000).selectExpr("id DIV 3 AS item_id", "id * 7 % 500 AS entity_id")
+    want = sorted(map(tuple, graph.cooccurrence_edges(rows).collect()))
+    monkeypatch.setattr(session, "DEALT", 100)
+    edges = graph.cooccurrence_edges(rows.unionByName(rows))  # repeated members change nothing
+    assert edges.rdd.getNumPartitions() >= 60 and graph.pairs(rows).rdd.getNumPartitions() >= 30
+    assert sorted(map(tuple, edges.collect())) == want
+    ends = graph.symmetric(edges)
+    assert sorted((r.a, r.b, r.n) for r in ends.collect()) == sorted([(a, b, n) for a, b, n, _ in want] + [(b, a, n) for a, b, n, _ in want])
