@@ -106,3 +106,15 @@ def test_tasks_stay_small_as_members_grow(spark, monkeypatch):
     assert sorted(map(tuple, edges.collect())) == want
     ends = graph.symmetric(edges)
     assert sorted((r.a, r.b, r.n) for r in ends.collect()) == sorted([(a, b, n) for a, b, n, _ in want] + [(b, a, n) for a, b, n, _ in want])
+
+
+def test_contacts_are_dealt(spark, monkeypatch):
+    from lorespark import session
+    from lorespark.plans import CATALOG, selections
+    from lorespark.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(str, CATALOG["graph_entities"].plan(spark, sf).collect()))
+    monkeypatch.setattr(session, "DEALT", 100)
+    assert selections._contacts(Tables(spark, sf)).rdd.getNumPartitions() >= 60
+    assert sorted(map(str, CATALOG["graph_entities"].plan(spark, sf).collect())) == want
