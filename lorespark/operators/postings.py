@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import is_scratch, scratch
+from ..session import dealt, is_scratch, scratch
 from .retrieval import FTS_B, FTS_K1, K1, B, recency, top
 
-#: Folders of postings.
-BUCKETS = 32
+#: Folders of postings, and terms that a document is taken to have, for dealing documents to tasks.
+BUCKETS, TERMS = 32, 250
 
 
 def letters(text: Column) -> Column:
@@ -52,11 +52,12 @@ class TermIndex:
         docs.write.mode("append").parquet(f"{self.path}/documents")
         marked = lambda bit: lambda t: F.struct(t.alias("term"), F.lit(bit).alias("field"))
         each = F.flatten(F.array(*(F.transform(self.terms(present(f)), marked(1 << i)) for i, f in enumerate(self.fields))))
-        rows = items.select("id", F.explode(each).alias("x")).select("id", "x.term", "x.field")
+        spread = dealt(items.select("id", *self.fields), items.count() * TERMS, "id")  # a document's terms are counted where it is
+        rows = spread.select("id", F.explode(each).alias("x")).select("id", "x.term", "x.field")
         found = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.bit_or("field").alias("fields"))
         found = found.select(self.bucket(F.col("term")).alias("bucket"), "term", "id", new, "tf", "fields")
-        dealt = found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        sorted_ = found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+        sorted_.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         own = self._read("postings").filter(F.col("generation") == self.generation).select("term").distinct()
         if self.generation > 1:
             own = own.join(self._read("terms"), "term", "left_anti")

@@ -139,3 +139,23 @@ def test_scratch_is_forgotten_and_indexes_are_built_again(spark, monkeypatch):
     again = postings.shared_index(spark, "own", items, ["title"], [])
     assert again is not first and again.keyword_search("hill", 5, {"title": 3.0}).count() == 1
     session.forget_scratch(spark)
+
+
+def test_documents_are_dealt_by_count(spark, tmp_path, monkeypatch):
+    """Terms were moved one by one to be counted; a document's are counted where it is now."""
+    from lorespark import session
+
+    monkeypatch.setattr(session, "DEALT", 500)
+    tasks = []
+
+    def seen(rows, count, *by):
+        out = session.dealt(rows, count, *by)
+        tasks.append((by, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(postings, "dealt", seen)
+    rows = [(10 * n + r[0], *r[1:]) for n in range(5) for r in ROWS]
+    index = TermIndex(spark, f"{tmp_path}/dealt", ["title", "body"], ["project"], buckets=4).add(spark.createDataFrame(rows, ITEMS))
+    assert tasks == [(("id",), 15)]
+    got = index.keyword_search("fox hill", 100, {"title": 3.0, "body": 1.0}).collect()
+    assert {r.id: round(r.score, 9) for r in got} == by_hand(rows, "fox hill", {"title": 3.0, "body": 1.0})
