@@ -25,7 +25,7 @@ rc AS (SELECT entity_id, string_agg(item_id::VARCHAR, ',' ORDER BY place) AS rec
 pairs AS (SELECT x.u AS a, y.u AS b, count(*) AS n FROM (SELECT DISTINCT event_id % 2000 AS i, user_id AS u FROM events) x JOIN (SELECT DISTINCT event_id % 2000 AS i, user_id AS u FROM events) y ON x.i = y.i AND x.u < y.u GROUP BY 1, 2),
 both_ AS (SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs),
 cn AS (SELECT entity_id, string_agg(name, ',' ORDER BY place) AS connected FROM (SELECT a AS entity_id, name, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM both_ JOIN e ON e.id = b WHERE NOT dismissed) WHERE place <= 10 GROUP BY 1),
-ow AS (SELECT e.id AS entity_id, count(*) AS commitments FROM e JOIN (SELECT 'USER_' || (o_custkey % 300) || ' of ' || o_orderpriority AS owner FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 50 = 0) c ON contains(lower(owner), lower(name)) GROUP BY 1),
+ow AS (SELECT e.id AS entity_id, count(*) AS commitments FROM e JOIN (SELECT 'USER_' || (o_custkey % 300) || ' of ' || o_orderpriority AS owner FROM orders WHERE o_orderstatus = 'O') c ON contains(lower(owner), lower(name)) GROUP BY 1),
 a AS (SELECT e.id AS entity_id, name, coalesce(mentions, 0) AS mentions, coalesce(inbound, 0) AS inbound, coalesce(outbound, 0) AS outbound, first_seen, last_seen, projects, aliases, recent_items, connected, coalesce(commitments, 0) AS commitments,
   floor((epoch_us({_T}) - epoch_us(last_seen)) / 86400000000.0)::BIGINT AS days_since
   FROM e LEFT JOIN st ON st.entity_id = e.id LEFT JOIN pr ON pr.entity_id = e.id LEFT JOIN al ON al.entity_id = e.id LEFT JOIN rc ON rc.entity_id = e.id LEFT JOIN cn ON cn.entity_id = e.id LEFT JOIN ow ON ow.entity_id = e.id)
@@ -36,7 +36,7 @@ def entity_profiles(t: Tables) -> DataFrame:
     meetings = events.select((F.col("event_id") % 2000).alias("item_id"), F.col("user_id").alias("entity_id"))
     aliases = customers.select(F.col("c_custkey").alias("entity_id"), F.explode(F.array("c_name", "c_mktsegment")).alias("alias"))
     owner = F.concat(F.lit("USER_"), (F.col("o_custkey") % 300).cast("string"), F.lit(" of "), "o_orderpriority")
-    owed = t.read("orders").filter("o_orderstatus = 'O' AND o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), owner.alias("owner"), F.lit("active").alias("state"))
+    owed = t.read("orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), owner.alias("owner"), F.lit("active").alias("state"))
     return profiles.entity_profiles(t.entities(), t.mentions(), t.knowledge(), meetings, aliases, owed, NOW)
 
 

@@ -80,6 +80,27 @@ def test_databases_are_read_by_tasks(spark):
     assert files.databases_after(spark, path, "messages", "rowid", 9_999, "rowid long, text string").count() == 0
 
 
+def test_profiles_count_all_open_commitments(spark):
+    from lorespark.plans import CATALOG
+
+    owners = [f"user_{r.o_custkey % 300} of {r.o_orderpriority.lower()}" for r in spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderstatus = 'O'").collect()]
+    found = CATALOG["entity_profiles"].plan(spark, SF).select("name", "commitments").collect()
+    assert found and {r.name: r.commitments for r in found} == {r.name: sum(r.name in o for o in owners) for r in found}
+
+
+def test_profiles_look_up_owners_once(spark, monkeypatch):
+    from lorespark.operators import profiles
+
+    e = spark.createDataFrame([(1, "Ann", False), (2, "Annabel", False), (3, "Bob", True), (4, "Cy", False)], "id long, name string, dismissed boolean")
+    c = spark.range(30_000).select((F.col("id") % 10_000).alias("id"), F.when(F.col("id") % 2 == 0, "ANN or Annabel").when(F.col("id") % 3 == 0, "bob's").alias("owner"), F.when(F.col("id") < 24_000, "active").when(F.col("id") < 27_000, "fulfilled").alias("state"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    looked_up, whole = [], profiles.names_in_texts
+    monkeypatch.setattr(profiles, "names_in_texts", lambda names, texts: looked_up.append(texts.count()) or whole(names, texts))
+    got = profiles.entity_profiles(e, none("entity_id long, item_id long, direction string, mention_date timestamp_ntz"), none("id long, project string, source_date timestamp_ntz"), none("item_id long, entity_id long"), none("entity_id long, alias string"), c, "2024-01-31 00:00:00")
+    assert {r.entity_id: r.commitments for r in got.collect()} == {1: 12_000, 2: 12_000, 3: 4_000, 4: 0}
+    assert looked_up == [3]  # of 24,000 open ones: two spellings, and those without an owner
+
+
 @pytest.mark.parametrize("size", [2, 100])
 def test_most_met_in_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(graph, "MEETING", size)
