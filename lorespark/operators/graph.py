@@ -79,7 +79,8 @@ def _packed(members: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame({"block": rows.block.iloc[:1], "packed": [b"".join([np.array([len(ids), len(items)], "<i8").tobytes(), *(x.tobytes() for x in parts)])]})
 
     dealt = members.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, packed binary")
+    packed = dealt.groupBy("block").applyInPandas(pack, "block int, packed binary")
+    return packed.coalesce(blocks)  # each partition of one side meets each of the other, empty ones too
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -114,6 +114,19 @@ def test_most_met_in_blocks(spark, monkeypatch, size):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_blocks_meet_in_no_more_tasks_than_pairs_of_blocks(spark):
+    rows = spark.range(60).selectExpr("id DIV 3 AS item_id", "id % 7 AS entity_id")
+    hold = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in hold}
+    try:
+        for k, v in hold.items():
+            spark.conf.set(k, v)
+        assert graph._packed(rows, 3).rdd.getNumPartitions() == 3
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_tasks_stay_small_as_members_grow(spark, monkeypatch):
     """Shuffles by size packed all items, and then all pairs, into as few tasks as there are cores."""
     from lorespark import session
